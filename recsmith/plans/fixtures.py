@@ -179,3 +179,29 @@ def sql_codes_ctes(k: int = CODEBOOK_K, levels: int = CODEBOOK_LEVELS) -> dict[s
     ctes["codes"] = """SELECT item_id, list(CAST(code AS INTEGER) ORDER BY level) AS codes
 FROM codes_long GROUP BY item_id"""
     return ctes
+
+
+# ------------------------------------------------------------------ SID index
+def sid_index(spark: SparkSession, d: str) -> DataFrame:
+    """codes +1 (T2) -> collision suffix (D2) -> tokens (D1): ``item_id, codes, tokens``."""
+    from ..operators import sid as D
+
+    c = codes(spark, d).select("item_id", D.offset_codes("codes", 1).alias("codes"))
+    dd = D.dedup_suffix(c, "codes", "item_id")
+    return dd.select("item_id", "codes", D.codes_to_tokens("codes", 0).alias("tokens"))
+
+
+def sql_sid_ctes() -> dict[str, str]:
+    """Adds ``sid_index(item_id, codes, tokens)`` and ``sid_map(item_id, sid_full, sid3)``."""
+    ctes = sql_codes_ctes()
+    ctes["codes_p1"] = "SELECT item_id, list_transform(codes, lambda c: c + 1) AS codes FROM codes"
+    ctes["codes_dd"] = """SELECT item_id, CASE WHEN count(*) OVER (PARTITION BY codes) > 1
+    THEN list_append(codes, CAST(row_number() OVER (PARTITION BY codes ORDER BY item_id) AS INTEGER))
+    ELSE codes END AS codes FROM codes_p1"""
+    ctes["sid_index"] = """SELECT item_id, codes,
+       list_transform(codes, lambda c, i: '<' || chr(CAST(96 + i AS INTEGER)) || '_' || CAST(c AS VARCHAR) || '>') AS tokens
+FROM codes_dd"""
+    ctes["sid_map"] = """SELECT item_id, array_to_string(tokens, '') AS sid_full,
+       CASE WHEN len(tokens) >= 3 THEN array_to_string(tokens[1:3], '') END AS sid3
+FROM sid_index"""
+    return ctes
