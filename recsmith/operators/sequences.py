@@ -123,3 +123,87 @@ def ids_to_sids(df: DataFrame, list_col: str, key_cols, sid_map: DataFrame, id_c
     return df.join(back.select(*keys, F.transform("_l", lambda s: s["_v"]).alias(name)), keys, "left").withColumn(
         name, F.coalesce(F.col(name), F.array().cast("array<string>"))
     )
+
+
+def to_sequences(inter: DataFrame, items: DataFrame, sid_map: DataFrame, row_key: str = "line_no",
+                 user: str = "user_id", history: str = "history", target: str = "target") -> DataFrame:
+    """Interactions -> sequence rows.
+
+    History SIDs skip items without a SID, history titles skip items absent from the
+    catalogue (title fallback ``Item_{id}``), ids are kept as is (T8); rows whose
+    target has no SID are dropped; user becomes ``A{id}``.  The catalogue and SID
+    map are joined per history element; Catalyst broadcasts them when their
+    estimated size is under the threshold, else AQE splits hot items.
+    """
+    ex = inter.select(row_key, F.posexplode(history).alias("_p", "_id"))
+    it = items.select(F.col("item_id").alias("_id"), F.coalesce(F.col("title"), F.concat(F.lit("Item_"), F.col("item_id").cast("string"))).alias("_title"))
+    sm = sid_map.select(F.col("item_id").alias("_id"), F.col("sid").alias("_sid"))
+    j = ex.join(it, "_id", "left").join(sm, "_id", "left")
+    back = j.groupBy(row_key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_sid").isNotNull(), F.struct("_p", "_sid")))).alias("_s"),
+        F.array_sort(F.collect_list(F.when(F.col("_title").isNotNull(), F.struct("_p", "_title")))).alias("_t"),
+    ).select(row_key, F.transform("_s", lambda s: s["_sid"]).alias("history_item_sid"),
+             F.transform("_t", lambda s: s["_title"]).alias("history_item_title"))
+    tgt = inter.join(sm.withColumnRenamed("_id", target), target).join(
+        it.withColumnRenamed("_id", target), target, "left")
+    out = tgt.join(back, row_key, "left")
+    return out.select(
+        row_key,
+        F.concat(F.lit("A"), F.col(user).cast("string")).alias("user_id"),
+        F.coalesce("history_item_title", F.array().cast("array<string>")).alias("history_item_title"),
+        F.coalesce(F.col("_title"), F.concat(F.lit("Item_"), F.col(target).cast("string"))).alias("item_title"),
+        F.col(history).alias("history_item_id"),
+        F.col(target).alias("item_id"),
+        F.coalesce("history_item_sid", F.array().cast("array<string>")).alias("history_item_sid"),
+        F.col("_sid").alias("item_sid"),
+    )
+
+
+def keep_longest(df: DataFrame, user: str, history: str, line_no: str) -> DataFrame:
+    """One row per user, the longest history; first line on ties (strict ``>`` in
+    the reference).  A partial aggregate of ``max(struct(size, -line_no))``."""
+    best = df.groupBy(user).agg(F.max(F.struct(F.size(history).alias("_n"), (-F.col(line_no)).alias("_neg"))).alias("_b"))
+    keys = best.select(user, (-F.col("_b._neg")).alias(line_no))
+    return df.join(keys, [user, line_no])
+
+
+def sample_n(df: DataFrame, n: int, key_cols, seed: int = 42) -> DataFrame:
+    """Exact, repeatable n-row sample: the n rows with the smallest portable hash
+    (ties by key).  A take-ordered top-n; the limit is the feature."""
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    h = X.portable_hash(*keys, seed=seed)
+    return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
+
+
+def pad_left_batch(df: DataFrame, col: str, batch: str, pad, name: str = "padded") -> DataFrame:
+    """Left pad each list to the longest list of its batch, with a 0/1 mask.
+
+    The batch maximum is a partial aggregate joined back (no per-batch window)."""
+    mx = df.groupBy(batch).agg(F.max(F.size(col)).alias("_mx"))
+    j = df.join(mx, batch)
+    npad = F.col("_mx") - F.size(col)
+    return j.withColumn(name, F.concat(F.array_repeat(F.lit(pad), npad), F.col(col))).withColumn(
+        "mask", F.concat(F.array_repeat(F.lit(0), npad), F.array_repeat(F.lit(1), F.size(col)))).drop("_mx")
+
+
+def mix(dfs, key_cols, seed: int = 42, skip_frac: float = 0.0):
+    """Union several example sets, shuffle by a seeded hash, optionally keep the
+    tail after the first ``skip_frac`` share.  Returns rows with ``mix_ord``."""
+    from ..sources.ordinal import with_ordinal
+
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    out = None
+    for i, d in enumerate(dfs):
+        d = d.withColumn("set_id", F.lit(i).cast("bigint"))
+        out = d if out is None else out.unionByName(d)
+    out = out.withColumn("_h", X.portable_hash("set_id", *keys, seed=seed))
+    o = with_ordinal(out, ["_h", "set_id", *keys], "mix_ord").drop("_h")
+    if skip_frac > 0:
+        total = o.agg(F.count(F.lit(1)).alias("_n"))
+        o = o.crossJoin(F.broadcast(total)).filter(F.col("mix_ord") >= F.floor(F.col("_n") * F.lit(skip_frac))).drop("_n")
+    return o
+
+
+def num_targets(df: DataFrame, batch: str, target: str) -> DataFrame:
+    """Distinct targets per batch."""
+    return df.groupBy(batch).agg(F.countDistinct(target).alias("num_targets"))
