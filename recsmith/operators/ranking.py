@@ -105,3 +105,22 @@ def rank_from_scores(scores: DataFrame, targets: DataFrame, query: str = "query_
     j = scores.join(ts, scores[query] == ts["_q"])
     above = (F.col(score) > F.col("_ts")) | ((F.col(score) == F.col("_ts")) & (F.col(item) < F.col("_t")))
     return j.groupBy(F.col("_q").alias(query)).agg(F.sum(F.when(above, 1).otherwise(0)).cast("bigint").alias("rank0"))
+
+
+def hit_by_behavior(df: DataFrame, rank_col: str = "rk", reward_col: str = "reward", ks=(5, 10, 20),
+                    click: float = 0.2, purchase: float = 1.0) -> DataFrame:
+    """Per K, click/purchase hits and NDCG sums plus the total reward of hits."""
+    r = F.col(rank_col)
+    inside = lambda k: (r >= 1) & (r <= k)
+    gain = F.lit(1.0) / F.log2(r.cast("double") + 1.0)
+    rows = []
+    for k in ks:
+        rows.append(F.struct(
+            F.lit(k).cast("bigint").alias("k"),
+            F.sum(F.when(inside(k) & (F.col(reward_col) == click), 1).otherwise(0)).cast("bigint").alias("click_hits"),
+            F.sum(F.when(inside(k) & (F.col(reward_col) == purchase), 1).otherwise(0)).cast("bigint").alias("purchase_hits"),
+            X.r6(F.sum(F.when(inside(k) & (F.col(reward_col) == click), gain).otherwise(0.0))).alias("click_ndcg"),
+            X.r6(F.sum(F.when(inside(k) & (F.col(reward_col) == purchase), gain).otherwise(0.0))).alias("purchase_ndcg"),
+            X.r6(F.sum(F.when(inside(k), F.col(reward_col)).otherwise(0.0))).alias("total_reward"),
+        ))
+    return df.agg(F.array(*rows).alias("_r")).select(F.explode("_r").alias("_m")).select("_m.*")

@@ -205,3 +205,60 @@ FROM codes_dd"""
        CASE WHEN len(tokens) >= 3 THEN array_to_string(tokens[1:3], '') END AS sid3
 FROM sid_index"""
     return ctes
+
+
+# ------------------------------------------------------------------ predictions / completions
+def sid_map(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import sid as D
+
+    return sid_index(spark, d).select("item_id", D.sid_full("tokens").alias("sid"))
+
+
+def eval_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's held-out last item, kept only when it has a SID (as the reference drops it)."""
+    from ..operators import sequences as S
+
+    _, targets = S.split_last(events(spark, d), "user_id", EVENT_KEY)
+    sm = sid_map(spark, d).select(F.col("item_id").alias("target"), F.col("sid").alias("target_sid"))
+    return targets.join(sm, "target")
+
+
+def candidates(spark: SparkSession, d: str, n: int = PRED_LEN, runs: int = 1) -> DataFrame:
+    """Ranked candidates per user (and run): candidate ``pos`` is
+    ``(user*7 + pos*13 + run*3) % n_items`` with the real target written at
+    position ``(user + run) % 60`` when that is inside the list.  The text is the
+    quoted SID (``item_<id>`` when the item has none), every even position with a
+    trailing newline, as generated text looks."""
+    t = eval_targets(spark, d)
+    n_items = table(spark, d, "part").agg(F.count(F.lit(1)).alias("n_items"))
+    ex = t.crossJoin(F.broadcast(n_items)).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("run", F.col("run").cast("bigint"))
+    ex = ex.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("pos", F.col("pos").cast("bigint"))
+    cand = F.when(F.col("pos") == (F.col("user_id") + F.col("run")) % 60, F.col("target")).otherwise(
+        (F.col("user_id") * 7 + F.col("pos") * 13 + F.col("run") * 3) % F.col("n_items"))
+    ex = ex.withColumn("cand", cand.cast("bigint")).drop("n_items")
+    sm = sid_map(spark, d).select(F.col("item_id").alias("cand"), F.col("sid").alias("_cs"))
+    ex = ex.join(sm, "cand", "left")
+    txt = F.concat(F.lit('"'), F.coalesce(F.col("_cs"), F.concat(F.lit("item_"), F.col("cand").cast("string"))), F.lit('"'),
+                   F.when(F.col("pos") % 2 == 0, F.lit("\n")).otherwise(F.lit("")))
+    return ex.withColumn("pred", txt).withColumn("output", F.concat(F.col("target_sid"), F.lit("\n"))).drop("_cs")
+
+
+def sql_candidate_ctes(n: int = PRED_LEN, runs: int = 1) -> dict[str, str]:
+    ctes = {**event_ctes(), **sql_sid_ctes()}
+    ctes["et"] = "SELECT t.user_id, t.target, sm.sid_full AS target_sid FROM targets t JOIN sid_map sm ON sm.item_id = t.target"
+    ctes["ni"] = "SELECT count(*) AS n_items FROM part"
+    ctes["cand0"] = f"""SELECT et.user_id, et.target, et.target_sid, r.run, p.pos,
+       CASE WHEN p.pos = (et.user_id + r.run) % 60 THEN et.target ELSE (et.user_id * 7 + p.pos * 13 + r.run * 3) % ni.n_items END AS cand
+FROM et, ni, range({runs}) r(run), range({n}) p(pos)"""
+    ctes["preds"] = """SELECT c.*, '"' || coalesce(sm.sid_full, 'item_' || CAST(c.cand AS VARCHAR)) || '"' || CASE WHEN c.pos % 2 = 0 THEN chr(10) ELSE '' END AS pred,
+       c.target_sid || chr(10) AS output
+FROM cand0 c LEFT JOIN sid_map sm ON sm.item_id = c.cand"""
+    return ctes
+
+
+def score_of(q, i):
+    """Score fixture ``((query*31 + item*17) % 1009) / 1009`` (contains ties)."""
+    return ((q * 31 + i * 17) % 1009) / F.lit(1009.0)
+
+
+SCORE_SQL = "((user_id * 31 + cand * 17) % 1009) / 1009.0"
