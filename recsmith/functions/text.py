@@ -160,11 +160,11 @@ def description_longest(desc, title) -> Column:
     unparsable list text -> the text (or title when blank)."""
     d, t = _c(desc), _c(title)
     parsed = F.from_json(F.regexp_replace(d, "'", '"'), "array<string>")
-    nonblank = F.filter(parsed, lambda x: x.isNotNull() & (F.trim(x) != ""))
+    nonblank = F.filter(parsed, lambda x: x.isNotNull() & (X.strip_ws(x) != ""))
     ranked = F.array_sort(F.transform(nonblank, lambda x, i: F.struct((-F.length(x)).alias("l"), i.alias("i"), x.alias("v"))))
     longest = F.try_element_at(ranked, F.lit(1))["v"]
     looks = d.startswith("[") & d.endswith("]")
-    plain = F.when(F.trim(d) != "", d).otherwise(t)
+    plain = F.when(X.strip_ws(d) != "", d).otherwise(t)
     return (F.when(d.isNull() | (d == ""), t)
             .when(looks & parsed.isNull(), plain)
             .when(looks, F.coalesce(longest, t))
