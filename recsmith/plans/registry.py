@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     # importing the modules registers their queries
     from . import (metric_queries, ranking_queries, reward_queries, sequence_queries, sid_queries,  # noqa: F401
-                   text_queries, trie_queries, vector_queries)
+                   quantize_queries, text_queries, trie_queries, vector_queries)
