@@ -11,6 +11,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import expr as X
 
@@ -95,7 +96,7 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """HTML entity decoding (no JVM builtin); Arrow batches, one call per batch."""
     return s.map(lambda v: html.unescape(v) if isinstance(v, str) else v)
