@@ -23,5 +23,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from . import (example_queries, metric_queries, ranking_queries, reward_queries, sequence_queries, sid_queries,  # noqa: F401
+    from . import (example_queries, family_queries, metric_queries, ranking_queries, reward_queries, sequence_queries, sid_queries,  # noqa: F401
                    quantize_queries, text_queries, trie_queries, vector_queries)
