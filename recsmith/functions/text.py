@@ -102,6 +102,13 @@ def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: html.unescape(v) if isinstance(v, str) else v)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def html_unescape_list(s: pd.Series) -> pd.Series:
+    """Element-wise HTML entity decoding of string arrays (a Python UDF cannot sit
+    inside a higher-order lambda, so the whole array goes through one Arrow call)."""
+    return s.map(lambda v: None if v is None else [html.unescape(x) if isinstance(x, str) else x for x in v])
+
+
 def _dots(c: Column) -> Column:
     """Collapse trailing dots to one; the first character is never removed,
     so ``...`` -> ``..`` and '' -> ``.``."""
@@ -127,7 +134,8 @@ def clean_text(col, unescape: bool = True) -> Column:
 
 def clean_text_list(col, unescape: bool = True) -> Column:
     """B1 for a list: clean each element (stripped after tag removal), join by space, dot rule."""
-    parts = F.transform(_c(col), lambda e: X.strip_ws(_clean_core(e, unescape)))
+    arr = html_unescape_list(_c(col)) if unescape else _c(col)
+    parts = F.transform(arr, lambda e: X.strip_ws(_clean_core(e, False)))
     return _blank_long(_dots(F.array_join(parts, " ")))
 
 
