@@ -213,3 +213,38 @@ def init_codebook(old: DataFrame, target_dim: int) -> DataFrame:
     model = PCA(k=target_dim, inputCol="_f", outputCol="_p").fit(feats)
     out = model.transform(feats)
     return out.select("level", "code", vector_to_array("_p").alias("vector"))
+
+
+def repair_collisions(emb: DataFrame, codes: DataFrame, codebook: DataFrame, key: str = "item_id", vec: str = "embedding",
+                      rounds: int = 20, eps: float = 0.003, iters: int = 3) -> DataFrame:
+    """Iterative collision repair.
+
+    Each round finds the items whose full code path is shared, re-assigns their last
+    level with Sinkhorn balanced assignment batched by colliding group (so members
+    of a group are spread over codes), and replaces the last code.  Earlier levels
+    keep their plain nearest-codeword codes.  Stops after ``rounds`` or when no path
+    is shared.  Returns ``key, codes``.
+    """
+    mats = V.codebook_matrices(codebook)
+    last = max(mats)
+    prefix_book = codebook.filter(F.col("level") < last)
+    cur = codes.select(key, "codes")
+    base = emb.select(key, F.col(vec).cast("array<double>").alias(vec))
+    if last > 0:
+        res = V.rq_encode(base, prefix_book, vec=vec, keep_residual=True).select(key, F.col("residual").alias("_res"))
+    else:
+        res = base.select(key, F.col(vec).alias("_res"))
+    res = cut_lineage(res)
+    for _ in range(rounds):
+        path = F.array_join(F.transform("codes", lambda c: c.cast("string")), ",")
+        counts = cur.groupBy(path.alias("_path")).agg(F.count(F.lit(1)).alias("_n"))
+        coll = cur.withColumn("_path", path).join(counts.filter(F.col("_n") > 1), "_path")
+        if coll.limit(1).count() == 0:
+            break
+        todo = coll.select(key, "_path").join(res, key)
+        new = sinkhorn_assign(todo.withColumnRenamed("_res", vec), codebook, key, vec, level=last, eps=eps, iters=iters,
+                              batch="_path")
+        upd = cur.join(new.withColumnRenamed("code", "_new"), key, "left")
+        cur = cut_lineage(upd.select(key, F.when(F.col("_new").isNull(), F.col("codes")).otherwise(
+            F.concat(F.slice("codes", 1, last), F.array(F.col("_new").cast("int")))).alias("codes")))
+    return cur

@@ -75,3 +75,27 @@ def projected_vectors(spark, d):
     p = V.project(v, w, b, "embedding", name="proj")
     return p.select("item_id", F.posexplode("proj").alias("dim", "_v")).select(
         "item_id", F.col("dim").cast("bigint").alias("dim"), X.r6("_v").alias("value"))
+
+
+@register("collision_repair_paths")
+def collision_repair_paths(spark, d):
+    """Repair shared code paths of the fixture codes by Sinkhorn on the last level."""
+    c = FX.codes(spark, d)
+    r = Q.repair_collisions(c.select("item_id", "embedding"), c.select("item_id", "codes"), FX.codebook(spark, d), rounds=5)
+    return r.select("item_id", F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("path"))
+
+
+@register("best_codebook_run")
+def best_codebook_run(spark, d):
+    """Quantizer runs with K in 4, 8, 16 (fixture codebooks); best by collision rate,
+    lowest-loss run tracked separately."""
+    from ..operators import sid as D
+
+    rows = None
+    for k in (4, 8, 16):
+        c = FX.codes(spark, d, k=k)
+        coll = D.collision_rate(c.select("item_id", "codes")).select("collision_rate")
+        loss = V.level_errors(c).agg(F.avg("mse").alias("loss"))
+        r = coll.crossJoin(loss).select(F.lit(f"k{k}").alias("run"), "collision_rate", X.r6("loss").alias("loss"))
+        rows = r if rows is None else rows.unionByName(r)
+    return D.best_codebook(rows)

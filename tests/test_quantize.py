@@ -52,3 +52,26 @@ def test_kmeanspp_distinct_centers(spark):
 def test_pca_init_dims(spark):
     cb = Q.init_codebook(FX.codebook(spark, SF01), 8)
     assert {r["d"] for r in cb.select(F.size("vector").alias("d")).collect()} == {8}
+
+
+def test_collision_repair_reduces_collisions(spark):
+    from recsmith.operators import sid as D
+
+    c = FX.codes(spark, SF01)
+    before = D.collision_rate(c.select("item_id", "codes")).first()["collision_rate"]
+    r = Q.repair_collisions(c.select("item_id", "embedding"), c.select("item_id", "codes"), FX.codebook(spark, SF01), rounds=3)
+    after = D.collision_rate(r).first()["collision_rate"]
+    assert r.count() == c.count()
+    assert after < before
+    # earlier levels are untouched
+    j = r.withColumnRenamed("codes", "new").join(c.select("item_id", "codes"), "item_id")
+    assert j.filter(F.slice("new", 1, 2) != F.slice("codes", 1, 2)).count() == 0
+
+
+def test_best_codebook(spark):
+    from recsmith.operators import sid as D
+
+    log = spark.createDataFrame([("a", 0.2, 1.0), ("b", 0.1, 3.0), ("c", 0.1, 2.0), ("d", 0.5, 0.5)],
+                                "run string, collision_rate double, loss double")
+    r = D.best_codebook(log).first()
+    assert r["best_by_collision"] == "c" and r["best_by_loss"] == "d"
