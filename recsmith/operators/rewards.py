@@ -177,6 +177,23 @@ def policy_loss(logps: DataFrame, kind: str = "default", beta: float = 0.04, seq
     return seq.agg(F.avg("_sl").alias("loss"))
 
 
+def policy_losses(logps: DataFrame, beta: float = 0.04, seq_keys=("batch_id", "group_id", "pos"),
+                  mask: str = "mask", adv: str = "advantage") -> DataFrame:
+    """H13, all three loss forms from one per-sequence aggregate: rows ``(kind, loss)``."""
+    d = logps.withColumn("_kl", per_token_kl()).withColumn("_lr", F.col("logp") - F.col("logp_old"))
+    d = d.withColumn("_tl", -(F.exp("_lr") * F.col(adv) - F.lit(beta) * F.col("_kl")))
+    m = F.col(mask)
+    seq = d.groupBy(*seq_keys).agg(
+        F.sum(F.col("_tl") * m).alias("_tsum"), F.sum(m).alias("_msum"),
+        F.sum(F.col("_lr") * m).alias("_lrsum"), F.sum(F.col("_kl") * m).alias("_klsum"), F.first(adv).alias("_a"))
+    tot = seq.agg(
+        F.avg(F.col("_tsum") / F.col("_msum")).alias("default"),
+        (F.sum("_tsum") / F.sum("_msum")).alias("dapo"),
+        (-F.avg(F.exp(F.col("_lrsum") / F.col("_msum")) * F.col("_a") - F.lit(beta) * F.col("_klsum") / F.col("_msum"))).alias("gspo"),
+    )
+    return tot.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("loss")) for k in ("default", "dapo", "gspo")])).alias("_r")).select("_r.*")
+
+
 def reward_sparsity(df: DataFrame, reward: str, group: str = "group_id") -> DataFrame:
     """Share of groups whose rewards have zero spread, and the hit rate."""
     per = df.groupBy(group).agg(F.max(reward).alias("_mx"), F.min(reward).alias("_mn"), F.avg(reward).alias("_avg"))

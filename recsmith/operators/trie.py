@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 EOS = "</s>"
 
 
@@ -60,29 +62,42 @@ def constrain_scores(scores: DataFrame, trie: DataFrame, temperature: float = 1.
     return j.filter(keep).drop("_ok", "_live")
 
 
-def beam_topk(queries: DataFrame, trie: DataFrame, vocab: DataFrame, logit_fn, beams: int, depth: int,
+def vocabulary(index: DataFrame, tokens: str = "tokens", eos: str = EOS, max_size: int = 1_000_000) -> list[str]:
+    """The SID vocabulary (distinct tokens + EOS) as a sorted list.  It is model-sized
+    (L x K codes plus collision suffixes); the size is checked before it is collected."""
+    voc = index.select(F.explode(tokens).alias("token")).distinct()
+    rows = voc.limit(max_size + 1).collect()
+    if len(rows) > max_size:
+        raise ValueError("vocabulary larger than the broadcast bound")
+    return sorted({r["token"] for r in rows} | {eos})
+
+
+def beam_topk(queries: DataFrame, trie: DataFrame, vocab: list[str], logit_fn, beams: int, depth: int,
               query: str = "query_id") -> DataFrame:
     """Constrained beam search over ``depth`` steps.
 
     ``logit_fn(query_col, prefix_col, token_col) -> Column`` gives the model score of a
     token after a prefix; each step normalises it by log-softmax over the whole
-    ``vocab`` (a bounded, broadcast table), keeps allowed tokens only and sums the
-    log-probs (length penalty 0).  Ties break by the sequence text.
+    vocabulary (a bounded literal array, evaluated per beam row without a shuffle),
+    keeps allowed tokens only and sums the log-probs (length penalty 0).  Ties
+    break by the sequence text.  Each step keeps ``beams`` rows per query.
     """
     cur = queries.select(query).distinct().select(query, F.lit("").alias("prefix"), F.lit(0.0).alias("score"))
-    voc = F.broadcast(vocab.select("token"))
+    # the prefix table is read at every step: materialise it once
+    trie = cut_lineage(trie.select("depth", "prefix", "allowed"))
+    voc = F.array(*[F.lit(t) for t in vocab])
     for d in range(depth):
+        lg = F.transform(voc, lambda t: logit_fn(F.col(query), F.col("prefix"), t))
+        norm = cur.withColumn("_lg", lg).withColumn("_mx", F.array_max("_lg")).select(
+            query, "prefix", "score",
+            (F.col("_mx") + F.log(F.aggregate("_lg", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_mx"))))).alias("_lse"))
         lvl = trie.filter(F.col("depth") == d).select("prefix", F.explode("allowed").alias("token"))
-        cand = cur.join(lvl, "prefix")
-        full = cur.select(query, "prefix").crossJoin(voc).withColumn("_lg", logit_fn(F.col(query), F.col("prefix"), F.col("token")))
-        lse = full.groupBy(query, "prefix").agg(F.max("_lg").alias("_mx"), F.collect_list("_lg").alias("_all"))
-        lse = lse.select(query, "prefix", (F.col("_mx") + F.log(F.aggregate(
-            "_all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_mx"))))).alias("_lse"))
-        cand = cand.join(lse, [query, "prefix"]).withColumn(
+        cand = norm.join(lvl, "prefix").withColumn(
             "score", F.col("score") + logit_fn(F.col(query), F.col("prefix"), F.col("token")) - F.col("_lse"))
-        cand = cand.withColumn("prefix", F.concat(F.col("prefix"), F.col("token"))).select(query, "prefix", "score")
+        cand = cand.select(query, F.concat(F.col("prefix"), F.col("token")).alias("prefix"), "score")
+        # per query at most beams x allowed rows: a bounded window
         w = Window.partitionBy(query).orderBy(F.desc("score"), F.asc("prefix"))
-        cur = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= beams).drop("_r")
+        cur = cut_lineage(cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= beams).drop("_r"))
     w = Window.partitionBy(query).orderBy(F.desc("score"), F.asc("prefix"))
     return cur.withColumn("beam_rank", F.row_number().over(w).cast("bigint"))
 

@@ -100,8 +100,19 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_CODEBOOK_ROWS: dict = {}
+
+
 def codebook(spark: SparkSession, d: str, k: int = CODEBOOK_K, levels: int = CODEBOOK_LEVELS) -> DataFrame:
-    """Codebook fixture built level by level with the residual encoder."""
+    """Codebook fixture built level by level with the residual encoder.
+
+    The result is model-sized (L x K rows); its rows are kept on the driver per
+    (session, folder, K, L) so one query plan does not derive it more than once.
+    """
+    memo_key = (id(spark.sparkContext), d, k, levels)
+    if memo_key in _CODEBOOK_ROWS:
+        rows, schema = _CODEBOOK_ROWS[memo_key]
+        return spark.createDataFrame(rows, schema)
     vec = vectors(spark, d)
     cb = vec.filter(F.col("item_id") < k).select(
         F.lit(0).alias("level"), F.col("item_id").cast("int").alias("code"), F.col("embedding").alias("vector")
@@ -115,14 +126,11 @@ def codebook(spark: SparkSession, d: str, k: int = CODEBOOK_K, levels: int = COD
         cb = cb.unionByName(nxt)
     # model-sized (L x K rows, checked): rebuild it from its rows so later plans
     # do not re-derive every level
-    return _materialise(cb, levels * k)
-
-
-def _materialise(df: DataFrame, bound: int) -> DataFrame:
-    rows = df.limit(bound + 1).collect()
-    if len(rows) > bound:
+    rows = cb.limit(levels * k + 1).collect()
+    if len(rows) > levels * k:
         raise ValueError("codebook larger than L*K rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    _CODEBOOK_ROWS[memo_key] = (rows, cb.schema)
+    return spark.createDataFrame(rows, cb.schema)
 
 
 def codes(spark: SparkSession, d: str, k: int = CODEBOOK_K, levels: int = CODEBOOK_LEVELS) -> DataFrame:
@@ -186,9 +194,14 @@ def sid_index(spark: SparkSession, d: str) -> DataFrame:
     """codes +1 (T2) -> collision suffix (D2) -> tokens (D1): ``item_id, codes, tokens``."""
     from ..operators import sid as D
 
+    from ..session import cut_lineage
+
     c = codes(spark, d).select("item_id", D.offset_codes("codes", 1).alias("codes"))
     dd = D.dedup_suffix(c, "codes", "item_id")
-    return dd.select("item_id", "codes", D.codes_to_tokens("codes", 0).alias("tokens"))
+    # the index is read by several branches of one plan (maps, prefix tables,
+    # vocabularies): write it once to the shared checkpoint folder, as a pipeline
+    # writes its index table, instead of re-deriving it per branch
+    return cut_lineage(dd.select("item_id", "codes", D.codes_to_tokens("codes", 0).alias("tokens")))
 
 
 def sql_sid_ctes() -> dict[str, str]:
@@ -208,35 +221,37 @@ FROM sid_index"""
 
 
 # ------------------------------------------------------------------ predictions / completions
-def sid_map(spark: SparkSession, d: str) -> DataFrame:
+def sid_map(spark: SparkSession, d: str, idx: DataFrame | None = None) -> DataFrame:
     from ..operators import sid as D
 
-    return sid_index(spark, d).select("item_id", D.sid_full("tokens").alias("sid"))
+    idx = sid_index(spark, d) if idx is None else idx
+    return idx.select("item_id", D.sid_full("tokens").alias("sid"))
 
 
-def eval_targets(spark: SparkSession, d: str) -> DataFrame:
+def eval_targets(spark: SparkSession, d: str, idx: DataFrame | None = None) -> DataFrame:
     """Each user's held-out last item, kept only when it has a SID (as the reference drops it)."""
     from ..operators import sequences as S
 
     _, targets = S.split_last(events(spark, d), "user_id", EVENT_KEY)
-    sm = sid_map(spark, d).select(F.col("item_id").alias("target"), F.col("sid").alias("target_sid"))
+    sm = sid_map(spark, d, idx).select(F.col("item_id").alias("target"), F.col("sid").alias("target_sid"))
     return targets.join(sm, "target")
 
 
-def candidates(spark: SparkSession, d: str, n: int = PRED_LEN, runs: int = 1) -> DataFrame:
+def candidates(spark: SparkSession, d: str, n: int = PRED_LEN, runs: int = 1, idx: DataFrame | None = None) -> DataFrame:
     """Ranked candidates per user (and run): candidate ``pos`` is
     ``(user*7 + pos*13 + run*3) % n_items`` with the real target written at
     position ``(user + run) % 60`` when that is inside the list.  The text is the
     quoted SID (``item_<id>`` when the item has none), every even position with a
     trailing newline, as generated text looks."""
-    t = eval_targets(spark, d)
+    idx = sid_index(spark, d) if idx is None else idx
+    t = eval_targets(spark, d, idx)
     n_items = table(spark, d, "part").agg(F.count(F.lit(1)).alias("n_items"))
     ex = t.crossJoin(F.broadcast(n_items)).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("run", F.col("run").cast("bigint"))
     ex = ex.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("pos", F.col("pos").cast("bigint"))
     cand = F.when(F.col("pos") == (F.col("user_id") + F.col("run")) % 60, F.col("target")).otherwise(
         (F.col("user_id") * 7 + F.col("pos") * 13 + F.col("run") * 3) % F.col("n_items"))
     ex = ex.withColumn("cand", cand.cast("bigint")).drop("n_items")
-    sm = sid_map(spark, d).select(F.col("item_id").alias("cand"), F.col("sid").alias("_cs"))
+    sm = sid_map(spark, d, idx).select(F.col("item_id").alias("cand"), F.col("sid").alias("_cs"))
     ex = ex.join(sm, "cand", "left")
     txt = F.concat(F.lit('"'), F.coalesce(F.col("_cs"), F.concat(F.lit("item_"), F.col("cand").cast("string"))), F.lit('"'),
                    F.when(F.col("pos") % 2 == 0, F.lit("\n")).otherwise(F.lit("")))

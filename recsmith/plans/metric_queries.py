@@ -26,8 +26,8 @@ def _metric_sql(src: str, ks, group: str = "") -> str:
 FROM {src}, (VALUES {kv}) v(k) GROUP BY {g}v.k"""
 
 
-def _norm_preds(spark, d, n=FX.PRED_LEN, runs=1):
-    c = FX.candidates(spark, d, n, runs)
+def _norm_preds(spark, d, n=FX.PRED_LEN, runs=1, idx=None):
+    c = FX.candidates(spark, d, n, runs, idx=idx)
     return c.withColumn("npred", TX.norm_pred("pred")).withColumn("ntarget", TX.norm_target("output"))
 
 
@@ -65,8 +65,9 @@ def prediction_rank_metrics(spark, d):
 FROM kn JOIN rk ON rk.user_id = kn.user_id GROUP BY kn.user_id"""))
 def invalid_predictions(spark, d):
     """Predictions not in the SID catalogue, up to the hit (parity) and in total."""
-    c = _norm_preds(spark, d)
-    known = FX.sid_map(spark, d).select(F.col("sid").alias("npred")).distinct().withColumn("known", F.lit(True))
+    idx = FX.sid_index(spark, d)
+    c = _norm_preds(spark, d, idx=idx)
+    known = FX.sid_map(spark, d, idx).select(F.col("sid").alias("npred")).distinct().withColumn("known", F.lit(True))
     k = c.join(known, "npred", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     g = k.groupBy("user_id", "ntarget").agg(F.array_sort(F.collect_list(F.struct("pos", "npred", "known"))).alias("_l"))
     g = g.select("user_id", "ntarget", F.transform("_l", lambda s: s["npred"]).alias("predict"),
@@ -75,8 +76,8 @@ def invalid_predictions(spark, d):
                     F.size(F.filter("known", lambda x: ~x)).cast("bigint").alias("invalid_total"))
 
 
-def _scores(spark, d):
-    c = FX.candidates(spark, d)
+def _scores(spark, d, c=None):
+    c = FX.candidates(spark, d) if c is None else c
     pairs = c.select("user_id", "cand").unionByName(c.select("user_id", F.col("target").alias("cand"))).distinct()
     return pairs.select(F.col("user_id").alias("query_id"), F.col("cand").alias("item_id"),
                         FX.score_of(F.col("user_id"), F.col("cand")).alias("score"))
@@ -94,8 +95,10 @@ FROM sc JOIN ts ON ts.user_id = sc.user_id GROUP BY sc.user_id""",
 @register("score_rank_metrics", FX.with_ctes(_SCORE_CTES, _metric_sql("rk", R.SCORE_KS)))
 def score_rank_metrics(spark, d):
     """Rank of the target inside a score table (count above, ties by item id), HR/NDCG at 1..20."""
-    t = FX.eval_targets(spark, d).select(F.col("user_id").alias("query_id"), F.col("target").alias("item_id"))
-    r = R.rank_from_scores(_scores(spark, d), t)
+    c = FX.candidates(spark, d)
+    # the targets ride along in the candidate table (one per user)
+    t = c.filter(F.col("pos") == 0).select(F.col("user_id").alias("query_id"), F.col("target").alias("item_id"))
+    r = R.rank_from_scores(_scores(spark, d, c), t)
     return R.rank_metrics(r.withColumn("rank", F.col("rank0") + 1), "rank", R.SCORE_KS)
 
 

@@ -106,14 +106,15 @@ def gdpo_advantage(spark, d):
 
 
 def _pool(spark, d):
-    t = FX.eval_targets(spark, d)
+    idx = FX.sid_index(spark, d)
+    t = FX.eval_targets(spark, d, idx)
     n_items = FX.table(spark, d, "part").agg(F.count(F.lit(1)).alias("n_items"))
     p = t.crossJoin(F.broadcast(n_items)).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(int(1.5 * G) - 1))))
     p = p.withColumn("pos", F.col("pos").cast("bigint"))
     cand = F.when(F.col("pos") % 8 == F.col("user_id") % 8, F.col("target")).otherwise(
         (F.col("user_id") * 7 + ((F.col("pos") * F.col("pos")) % 11) * 13) % F.col("n_items"))
     p = p.withColumn("cand", cand)
-    sm = FX.sid_map(spark, d).select(F.col("item_id").alias("cand"), F.col("sid").alias("_s"))
+    sm = FX.sid_map(spark, d, idx).select(F.col("item_id").alias("cand"), F.col("sid").alias("_s"))
     p = p.join(sm, "cand", "left").withColumn("completion", F.coalesce("_s", F.concat(F.lit("item_"), F.col("cand").cast("string"))))
     return p.select(F.col("user_id").alias("group_id"), "user_id", "pos", "completion", F.col("target_sid").alias("target"))
 
@@ -194,13 +195,9 @@ def kl_report(spark, d):
 UNION ALL SELECT 'dapo' AS kind, round((SELECT sum(tl * mask) / sum(mask) FROM tl), 6) AS loss
 UNION ALL SELECT 'gspo' AS kind, round((SELECT -avg(sr * a - 0.04 * skl) FROM sq), 6) AS loss"""))
 def policy_loss(spark, d):
-    """Loss values of the default, DAPO and GSPO forms (beta 0.04)."""
-    lp = _logps(spark, d)
-    out = None
-    for kind in ("default", "dapo", "gspo"):
-        l = H.policy_loss(lp, kind, beta=0.04).select(F.lit(kind).alias("kind"), X.r6("loss").alias("loss"))
-        out = l if out is None else out.unionByName(l)
-    return out
+    """Loss values of the default, DAPO and GSPO forms (beta 0.04), one pass."""
+    l = H.policy_losses(_logps(spark, d), beta=0.04)
+    return l.select("kind", X.r6("loss").alias("loss"))
 
 
 @register("reward_sparsity", FX.with_ctes({**_W, "g": "SELECT group_id, max(rule_reward) AS mx, min(rule_reward) AS mn, avg(rule_reward) AS av FROM rw GROUP BY group_id"},
@@ -242,5 +239,5 @@ def dro_loss(spark, d):
     scores = pairs.select(F.col("user_id").alias("query_id"), F.col("cand").alias("item_id"), FX.score_of(F.col("user_id"), F.col("cand")).alias("score"))
     history, _ = S.split_last(FX.events(spark, d), "user_id", FX.EVENT_KEY)
     prop = S.propensity(history, FX.table(spark, d, "part").select(F.col("p_partkey").alias("item_id")))
-    t = FX.eval_targets(spark, d).select(F.col("user_id").alias("query_id"), F.col("target").alias("item_id"))
+    t = c.filter(F.col("pos") == 0).select(F.col("user_id").alias("query_id"), F.col("target").alias("item_id"))
     return H.dro_loss(scores, prop, t, beta=1.0).select(X.r6("dro_loss").alias("dro_loss"))

@@ -84,7 +84,7 @@ def constrained_scores(spark, d):
     """Temperature 0.7, log-softmax over the vocabulary, mask to allowed tokens; dead prefixes keep EOS."""
     idx = FX.sid_index(spark, d)
     trie = TR.build_trie(idx, "tokens")
-    t = FX.eval_targets(spark, d).join(idx.select(F.col("item_id").alias("target"), "tokens"), "target")
+    t = FX.eval_targets(spark, d, idx).join(idx.select(F.col("item_id").alias("target"), "tokens"), "target")
     q = t.select(F.col("user_id").alias("query_id"), F.lit(2).alias("depth"),
                  F.when(F.col("user_id") % 2 == 1, F.lit("<a_0><b_0>")).otherwise(F.array_join(F.slice("tokens", 1, 2), "")).alias("prefix"))
     # vocabulary: L*K tokens + EOS, bounded
@@ -114,6 +114,6 @@ def beam_top5(spark, d):
     """Constrained beam search (5 beams, 3 steps) per evaluation user."""
     idx = FX.sid_index(spark, d)
     trie = TR.build_trie(idx, "tokens")
-    q = FX.eval_targets(spark, d).select(F.col("user_id").alias("query_id"))
-    b = TR.beam_topk(q, trie, _vocab(idx), TR.token_logit, BEAMS, DEPTH)
+    q = FX.eval_targets(spark, d, idx).select(F.col("user_id").alias("query_id"))
+    b = TR.beam_topk(q, trie, TR.vocabulary(idx), TR.token_logit, BEAMS, DEPTH)
     return b.select("query_id", "beam_rank", F.col("prefix").alias("sid"), X.r6("score").alias("score"))
