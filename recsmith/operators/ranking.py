@@ -18,13 +18,15 @@ SCORE_KS = (1, 3, 5, 10, 20)
 TRAINING_KS = (3, 5, 10, 20)
 
 
-def top_popular(history: DataFrame, k: int, item: str = "item_id") -> DataFrame:
+def top_popular(history: DataFrame, k: int, item: str = "item_id", counts: DataFrame | None = None) -> DataFrame:
     """Top-k items by interaction count, ties by item id.  ``rank`` is 1-based.
 
     Counting is a partial aggregate (a popular item is combined map-side) and the
     top-k is a per-partition take-ordered, so only k rows per partition move.
+    ``counts`` (item, cnt) may be passed instead of the rows.
     """
-    counts = history.groupBy(item).agg(F.count(F.lit(1)).alias("cnt"))
+    if counts is None:
+        counts = history.groupBy(item).agg(F.count(F.lit(1)).alias("cnt"))
     top = counts.orderBy(F.desc("cnt"), F.asc(item)).limit(k)
     # k rows: a global window over them is bounded by k
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), F.asc(item))).cast("bigint"))
@@ -72,14 +74,14 @@ def rank_metrics(df: DataFrame, rank_col: str = "rank", ks=DEFAULT_KS, group_col
     return out
 
 
-def popularity_rank_metrics(history: DataFrame, targets: DataFrame, ks=(10, 20, 50), item: str = "item_id",
-                            target: str = "target") -> DataFrame:
+def popularity_rank_metrics(history: DataFrame | None, targets: DataFrame, ks=(10, 20, 50), item: str = "item_id",
+                            target: str = "target", counts: DataFrame | None = None) -> DataFrame:
     """Flagship: HR@K/NDCG@K of a top-max(K) popularity list against each user's held-out item.
 
     The top list has max(K) rows (a proven bound), so it is broadcast to the
     targets; no row-scale data is shuffled by item.
     """
-    top = top_popular(history, max(ks), item).select(F.col(item).alias("_item"), "rank")
+    top = top_popular(history, max(ks), item, counts).select(F.col(item).alias("_item"), "rank")
     hits = targets.join(F.broadcast(top), targets[target] == top["_item"], "left").select(F.coalesce("rank", F.lit(0)).alias("rank"))
     return rank_metrics(hits, "rank", ks)
 

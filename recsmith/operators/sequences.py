@@ -31,6 +31,18 @@ def split_last(events: DataFrame, user: str, order_cols, item: str = "item_id"):
     return history, targets
 
 
+def history_item_counts(events: DataFrame, user: str, order_cols, item: str = "item_id") -> DataFrame:
+    """Item counts over every user's history (all events but the last) without
+    materialising the history: the history is the events minus exactly one target
+    row per user, so ``count_history = count_all - count_targets``.  Both sides are
+    partial aggregates; no event row is shuffled."""
+    all_counts = events.groupBy(item).agg(F.count(F.lit(1)).alias("_all"))
+    t = last_event(events, user, order_cols, item)
+    t_counts = t.groupBy(item).agg(F.count(F.lit(1)).alias("_t"))
+    c = all_counts.join(t_counts, item, "left").select(item, (F.col("_all") - F.coalesce("_t", F.lit(0))).alias("cnt"))
+    return c.filter(F.col("cnt") > 0)
+
+
 def order_events(events: DataFrame, user: str, order_cols, item: str = "item_id", name: str = "items") -> DataFrame:
     """Each user's items ordered by the total order, as an array (stable)."""
     cols = list(order_cols) if item in order_cols else list(order_cols) + [item]
@@ -88,12 +100,15 @@ def negative_sample(user_col, target_col, n_items: int, seed: int = 0) -> Column
     return F.when(r >= t, r + 1).otherwise(r).cast("bigint")
 
 
-def propensity(history: DataFrame, catalog: DataFrame, item: str = "item_id", power: float = 0.05) -> DataFrame:
+def propensity(history: DataFrame, catalog: DataFrame, item: str = "item_id", power: float = 0.05,
+               counts: DataFrame | None = None) -> DataFrame:
     """``((count+1) / sum(count+1)) ** power`` over the whole catalog, zero-count items included.
 
-    The total is one scalar aggregate joined back as a one-row broadcast.
+    ``counts`` (item, cnt) may be given instead of the history rows.  The total is
+    one scalar aggregate joined back as a one-row broadcast.
     """
-    counts = history.groupBy(item).agg(F.count(F.lit(1)).alias("cnt"))
+    if counts is None:
+        counts = history.groupBy(item).agg(F.count(F.lit(1)).alias("cnt"))
     c = catalog.select(item).distinct().join(counts, item, "left").withColumn("cnt1", F.coalesce("cnt", F.lit(0)) + 1)
     total = c.agg(F.sum("cnt1").alias("_tot"))
     return c.crossJoin(F.broadcast(total)).select(

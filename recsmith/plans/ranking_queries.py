@@ -34,5 +34,7 @@ POPULARITY_SQL = FX.with_ctes(
 def popularity_rank_metrics(spark, d):
     """What HR@K / NDCG@K does a popularity top-50 reach on each customer's last order line?"""
     ev = FX.events(spark, d)
-    history, targets = S.split_last(ev, "user_id", FX.EVENT_KEY)
-    return R.popularity_rank_metrics(history, targets, ks=(10, 20, 50))
+    last = S.last_event(ev, "user_id", FX.EVENT_KEY)
+    targets = last.select("user_id", F.col("item_id").alias("target"))
+    counts = S.history_item_counts(ev, "user_id", FX.EVENT_KEY)
+    return R.popularity_rank_metrics(None, targets, ks=(10, 20, 50), counts=counts)

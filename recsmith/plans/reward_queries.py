@@ -237,7 +237,7 @@ def dro_loss(spark, d):
     c = FX.candidates(spark, d)
     pairs = c.select("user_id", "cand").unionByName(c.select("user_id", F.col("target").alias("cand"))).distinct()
     scores = pairs.select(F.col("user_id").alias("query_id"), F.col("cand").alias("item_id"), FX.score_of(F.col("user_id"), F.col("cand")).alias("score"))
-    history, _ = S.split_last(FX.events(spark, d), "user_id", FX.EVENT_KEY)
-    prop = S.propensity(history, FX.table(spark, d, "part").select(F.col("p_partkey").alias("item_id")))
+    counts = S.history_item_counts(FX.events(spark, d), "user_id", FX.EVENT_KEY)
+    prop = S.propensity(None, FX.table(spark, d, "part").select(F.col("p_partkey").alias("item_id")), counts=counts)
     t = c.filter(F.col("pos") == 0).select(F.col("user_id").alias("query_id"), F.col("target").alias("item_id"))
     return H.dro_loss(scores, prop, t, beta=1.0).select(X.r6("dro_loss").alias("dro_loss"))

@@ -139,9 +139,9 @@ def negative_sample(spark, d):
     "SELECT item_id, CAST(cnt AS BIGINT) AS cnt, round(pow(cnt1 / (SELECT sum(cnt1) FROM j), 0.05), 6) AS propensity FROM j"))
 def item_propensity(spark, d):
     """Popularity propensity over the catalogue (items without events included)."""
-    history, _ = S.split_last(FX.events(spark, d), "user_id", FX.EVENT_KEY)
+    counts = S.history_item_counts(FX.events(spark, d), "user_id", FX.EVENT_KEY)
     cat = FX.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
-    p = S.propensity(history, cat)
+    p = S.propensity(None, cat, counts=counts)
     return p.select("item_id", "cnt", X.r6("propensity").alias("propensity"))
 
 
