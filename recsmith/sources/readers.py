@@ -224,3 +224,9 @@ def write_codebook(df: DataFrame, path: str) -> None:
 def write_info(df: DataFrame, path: str) -> None:
     """Info lines as text."""
     df.select("line").write.mode("overwrite").text(path)
+
+
+def write_metric_log(df: DataFrame, path: str) -> None:
+    """Append metric-log rows ``(stage, tag, step, value)`` partitioned by stage;
+    non-numeric values are dropped first (``operators.reports.metric_log_rows``)."""
+    df.select("stage", "tag", "step", "value").write.mode("append").partitionBy("stage").parquet(path)
