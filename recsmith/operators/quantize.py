@@ -190,13 +190,18 @@ def sinkhorn_assign(emb: DataFrame, codebook: DataFrame, key: str = "item_id", v
     pairs = pairs.withColumn("_d", V.sq_l2_direct(vec, "_cv")).drop(vec, "_cv")
     pairs = V.center_distances(pairs, "_d", b).withColumn("_lq", -F.col("centered") / F.lit(eps)).drop("centered")
     for i in range(iters):
-        col_lse = pairs.groupBy(b, "code").agg(F.max("_lq").alias("_cm"), F.collect_list("_lq").alias("_cl"))
-        col_lse = col_lse.select(b, "code", (F.col("_cm") + F.log(F.aggregate("_cl", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_cm"))))).alias("_clse"))
+        # column log-sum-exp per (batch, code): max, then sum(exp(x - max)) -- two partial
+        # aggregates, so a code shared by every item of a huge batch is combined map-side
+        cm = pairs.groupBy(b, "code").agg(F.max("_lq").alias("_cm"))
+        pc = pairs.join(cm, [b, "code"])
+        col_lse = pc.groupBy(b, "code").agg((F.first("_cm") + F.log(F.sum(F.exp(F.col("_lq") - F.col("_cm"))))).alias("_clse"))
         pairs = pairs.join(col_lse, [b, "code"]).withColumn("_lq", F.col("_lq") - F.col("_clse")).drop("_clse")
-        row_lse = pairs.groupBy(key).agg(F.max("_lq").alias("_rm"), F.collect_list("_lq").alias("_rl"))
-        row_lse = row_lse.select(key, (F.col("_rm") + F.log(F.aggregate("_rl", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_rm"))))).alias("_rlse"))
+        # row log-sum-exp per item over its K codes (bounded by K)
+        rm = pairs.groupBy(key).agg(F.max("_lq").alias("_rm"))
+        pr = pairs.join(rm, key)
+        row_lse = pr.groupBy(key).agg((F.first("_rm") + F.log(F.sum(F.exp(F.col("_lq") - F.col("_rm"))))).alias("_rlse"))
         pairs = pairs.join(row_lse, key).withColumn("_lq", F.col("_lq") - F.col("_rlse")).drop("_rlse")
-        pairs = cut_lineage(pairs) if (i + 1) % 2 == 0 else pairs
+        pairs = cut_lineage(pairs)
     best = pairs.groupBy(key).agg(F.max(F.struct("_lq", (-F.col("code")).alias("_nc"))).alias("_b"))
     return best.select(key, (-F.col("_b._nc")).cast("int").alias("code"))
 

@@ -22,6 +22,16 @@ def last_event(events: DataFrame, user: str, order_cols, item: str = "item_id")
     return best.select(user, *[F.col(f"_last.{c}").alias(c) for c in cols])
 
 
+def user_targets(events: DataFrame, user: str, order_cols, item: str = "item_id", min_events: int = 2) -> DataFrame:
+    """Leave-last-out targets without building any sequence: one partial aggregate per
+    user gives the last item and the event count; users below ``min_events`` drop out.
+    Returns ``user, target, n_hist``."""
+    cols = list(order_cols) if item in order_cols else list(order_cols) + [item]
+    a = events.groupBy(user).agg(F.max(F.struct(*cols)).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    return a.filter(F.col("_n") >= min_events).select(
+        user, F.col(f"_last.{item}").alias("target"), (F.col("_n") - 1).cast("bigint").alias("n_hist"))
+
+
 def split_last(events: DataFrame, user: str, order_cols, item: str = "item_id"):
     """E5 long form: (history rows, target rows).  Users with one event keep no history."""
     last = last_event(events, user, order_cols, item)

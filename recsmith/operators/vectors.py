@@ -195,6 +195,7 @@ def assign(df: DataFrame, codebook: DataFrame, vec: str = "embedding", level: in
 def assign_relational(df: DataFrame, codebook: DataFrame, key: str, vec: str = "embedding", level: int = 0) -> DataFrame:
     """C7 relational form: broadcast cross join of a bounded codebook, then
     ``min(struct(dist, code))`` per row (first code on ties)."""
+    codebook_matrices(codebook.filter(F.col("level") == level))  # size check before broadcasting
     cb = F.broadcast(codebook.filter(F.col("level") == level).select(F.col("code"), F.col("vector").alias("_cv")))
     pairs = df.select(key, vec).crossJoin(cb).withColumn("_dist", sq_l2_direct(vec, "_cv"))
     best = pairs.groupBy(key).agg(F.min(F.struct("_dist", "code")).alias("_b"))
@@ -253,6 +254,7 @@ def rq_decode(codes: DataFrame, codebook: DataFrame, key: str, codes_col: str =
 
     The codebook side is model-sized and broadcast; each row is rebuilt locally.
     """
+    codebook_matrices(codebook)  # size check of the model-sized side before it is broadcast
     cb = F.broadcast(codebook.select(F.col("level").alias("_lvl"), F.col("code").alias("_code"), F.col("vector").alias("_cv")))
     ex = codes.select(key, F.posexplode(codes_col).alias("_lvl", "_code"))
     joined = ex.join(cb, ["_lvl", "_code"])

@@ -31,6 +31,13 @@ def inter(spark, d):
     return s.select(F.col("user_id").alias("line_no"), "user_id", "history", "target", "items")
 
 
+def targets(spark, d):
+    """Per user with >= 2 events: last item and history length, from one partial aggregate
+    (no per-user array is built)."""
+    t = S.user_targets(FX.events(spark, d), "user_id", FX.EVENT_KEY)
+    return t.withColumn("line_no", F.col("user_id"))
+
+
 SEQ_CTES = {
     "ev": FX.EVENTS_SQL,
     "seq": f"SELECT user_id, list(item_id ORDER BY {FX.EVENT_ORDER_SQL}) AS items FROM ev GROUP BY user_id",
@@ -120,7 +127,7 @@ def keep_longest(spark, d):
 @register("sample_users", FX.with_ctes(SEQ_CTES, f"SELECT user_id, target FROM inter ORDER BY {X.portable_hash_sql('user_id', seed=SEED)}, user_id LIMIT 100"))
 def sample_users(spark, d):
     """Exact, repeatable 100-row sample of the evaluation rows."""
-    return S.sample_n(inter(spark, d).select("user_id", "target"), 100, ["user_id"], seed=SEED)
+    return S.sample_n(targets(spark, d).select("user_id", "target"), 100, ["user_id"], seed=SEED)
 
 
 @register("negative_sample", FX.with_ctes({**SEQ_CTES, "ni": "SELECT count(*) AS n FROM part"},
@@ -129,7 +136,7 @@ FROM (SELECT user_id, target, {X.portable_hash_sql('user_id', 'target', seed=SEE
 def negative_sample(spark, d):
     """One uniform negative per row that is never the target."""
     n_items = FX.table(spark, d, "part").count()  # one scalar
-    i = inter(spark, d)
+    i = targets(spark, d)
     return i.select("user_id", "target", S.negative_sample("user_id", "target", n_items, seed=SEED).alias("negative"))
 
 
@@ -155,8 +162,8 @@ _MIX_CTES = {**SEQ_CTES, **ORDER_ROWS_CTES,
 FROM o WHERE mix_ord >= floor((SELECT count(*) FROM o) * 0.2)"""))
 def mix_example_sets(spark, d):
     """Shuffle-mix two example sets by a seeded hash and keep the tail after 20%."""
-    a = inter(spark, d).select("user_id", "line_no")
-    b = _order_rows(spark, d).select("user_id", "line_no")
+    a = targets(spark, d).select("user_id", "line_no")
+    b = FX.events(spark, d).select("user_id", F.col("l_orderkey").alias("line_no")).distinct()
     m = S.mix([a, b], ["user_id", "line_no"], seed=SEED, skip_frac=0.2)
     return m.select("set_id", "user_id", "line_no", "mix_ord")
 
@@ -165,7 +172,7 @@ def mix_example_sets(spark, d):
     "SELECT user_id, CAST(shuffle_ord AS BIGINT) AS shuffle_ord, CAST(rep AS INTEGER) AS rep, CAST(shuffle_ord * 4 + rep AS BIGINT) AS position FROM o, range(4) r(rep)"))
 def repeat_rows(spark, d):
     """Shuffle rows by a seeded hash, then repeat each 4 times consecutively."""
-    i = inter(spark, d).select("user_id").withColumn("_h", X.portable_hash("user_id", seed=SEED))
+    i = targets(spark, d).select("user_id").withColumn("_h", X.portable_hash("user_id", seed=SEED))
     o = O.with_ordinal(i, ["_h", "user_id"], "shuffle_ord").drop("_h")
     r = S.repeat_rows(o, 4, "rep")
     return r.select("user_id", "shuffle_ord", "rep", (F.col("shuffle_ord") * 4 + F.col("rep")).alias("position"))
@@ -174,7 +181,7 @@ def repeat_rows(spark, d):
 @register("batch_ids", FX.with_ctes(SEQ_CTES, "SELECT user_id, CAST((row_number() OVER (ORDER BY user_id) - 1) // 64 AS BIGINT) AS batch FROM inter"))
 def batch_ids(spark, d):
     """Contiguous batches of 64 rows in user order."""
-    o = O.with_ordinal(inter(spark, d).select("user_id"), ["user_id"], "ord")
+    o = O.with_ordinal(targets(spark, d).select("user_id"), ["user_id"], "ord")
     return o.select("user_id", O.batch_id("ord", 64).alias("batch"))
 
 
@@ -182,7 +189,7 @@ def batch_ids(spark, d):
   SELECT target, CAST((row_number() OVER (ORDER BY user_id) - 1) // 64 AS BIGINT) AS batch FROM inter) GROUP BY batch"""))
 def batch_num_targets(spark, d):
     """Distinct targets per batch of 64 rows."""
-    o = O.with_ordinal(inter(spark, d).select("user_id", "target"), ["user_id"], "ord")
+    o = O.with_ordinal(targets(spark, d).select("user_id", "target"), ["user_id"], "ord")
     return S.num_targets(o.withColumn("batch", O.batch_id("ord", 64)), "batch", "target")
 
 
@@ -238,7 +245,7 @@ _SHARD_CTES = {**SEQ_CTES, "o": "SELECT user_id, row_number() OVER (ORDER BY use
 @register("user_shards", FX.with_ctes(_SHARD_CTES, "SELECT user_id, CAST(ord AS BIGINT) AS ord, CAST(((ord + 1) * 4 - 1) // n AS BIGINT) AS shard FROM o"))
 def user_shards(spark, d):
     """Four contiguous shards, shard i = rows [i*n//4, (i+1)*n//4)."""
-    o = O.with_ordinal(inter(spark, d).select("user_id"), ["user_id"], "ord")
+    o = O.with_ordinal(targets(spark, d).select("user_id"), ["user_id"], "ord")
     n = o.agg(F.count(F.lit(1)).alias("n_rows"))
     s = O.shard(o.crossJoin(F.broadcast(n)), "ord", "n_rows", 4)
     return s.select("user_id", "ord", "shard")
@@ -248,7 +255,7 @@ def user_shards(spark, d):
        CAST(row_number() OVER (ORDER BY ((ord + 1) * 4 - 1) // n, ord) - 1 AS BIGINT) AS merged_ord FROM o"""))
 def merge_user_shards(spark, d):
     """Evaluate shards separately, merge them in listed order."""
-    o = O.with_ordinal(inter(spark, d).select("user_id"), ["user_id"], "ord")
+    o = O.with_ordinal(targets(spark, d).select("user_id"), ["user_id"], "ord")
     n = o.agg(F.count(F.lit(1)).alias("n_rows"))
     s = O.shard(o.crossJoin(F.broadcast(n)), "ord", "n_rows", 4)
     parts = [s.filter(F.col("shard") == i) for i in range(4)]

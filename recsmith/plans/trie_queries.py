@@ -61,11 +61,6 @@ def allowed_next_lookup(spark, d):
     return a.select("item_id", F.array_join("allowed", ",").alias("allowed"), F.size("allowed").cast("bigint").alias("n_allowed"))
 
 
-def _vocab(idx):
-    return idx.select(F.explode("tokens").alias("token")).unionByName(
-        idx.sparkSession.range(1).select(F.lit(TR.EOS).alias("token"))).distinct()
-
-
 _VOCAB_SQL = "SELECT DISTINCT token FROM (SELECT unnest(tokens) AS token FROM sid_index UNION ALL SELECT '</s>' AS token)"
 
 
@@ -87,8 +82,9 @@ def constrained_scores(spark, d):
     t = FX.eval_targets(spark, d, idx).join(idx.select(F.col("item_id").alias("target"), "tokens"), "target")
     q = t.select(F.col("user_id").alias("query_id"), F.lit(2).alias("depth"),
                  F.when(F.col("user_id") % 2 == 1, F.lit("<a_0><b_0>")).otherwise(F.array_join(F.slice("tokens", 1, 2), "")).alias("prefix"))
-    # vocabulary: L*K tokens + EOS, bounded
-    sc = q.crossJoin(F.broadcast(_vocab(idx))).withColumn("logit", TR.token_logit(F.col("query_id"), F.col("prefix"), F.col("token")))
+    # vocabulary: L*K tokens + EOS, size-checked when collected
+    voc = spark.createDataFrame([(t,) for t in TR.vocabulary(idx)], "token string")
+    sc = q.crossJoin(F.broadcast(voc)).withColumn("logit", TR.token_logit(F.col("query_id"), F.col("prefix"), F.col("token")))
     c = TR.constrain_scores(sc, trie, temperature=0.7)
     return c.select("query_id", "token", X.r6("logp").alias("logp"))
 
