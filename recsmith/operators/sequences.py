@@ -232,3 +232,30 @@ def mix(dfs, key_cols, seed: int = 42, skip_frac: float = 0.0):
 def num_targets(df: DataFrame, batch: str, target: str) -> DataFrame:
     """Distinct targets per batch."""
     return df.groupBy(batch).agg(F.countDistinct(target).alias("num_targets"))
+
+
+def order_events_chunked(events: DataFrame, user: str, order_cols, item: str = "item_id", chunk_size: int = 64,
+                         keep=None) -> DataFrame:
+    """E1, skew-safe form: each user's ordered items as rows ``(user, chunk, items, n_events)``
+    with at most ``chunk_size`` items per row.
+
+    Positions come from the range-partitioned group ordinal (a user holding a third of
+    all events is split across ranges), and items are collected per (user, chunk), so no
+    task ever holds more than one chunk of one user.  ``keep(pos, n_events)`` filters
+    positions first (e.g. the history of leave-last-out).
+    """
+    pos = positions(events.select(user, item, *[c for c in order_cols if c != item]), user, list(order_cols))
+    if keep is not None:
+        pos = pos.filter(keep(F.col("pos"), F.col("n_events")))
+    pos = pos.withColumn("chunk", F.floor(F.col("pos") / F.lit(chunk_size)).cast("bigint"))
+    g = pos.groupBy(user, "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", item))).alias("_l"),
+                                       F.first("n_events").alias("n_events"))
+    return g.select(user, "chunk", F.transform("_l", lambda s: s[item]).alias("items"), F.col("n_events").cast("bigint").alias("n_events"))
+
+
+def leave_last_out_chunked(events: DataFrame, user: str, order_cols, item: str = "item_id", chunk_size: int = 64) -> DataFrame:
+    """E5, skew-safe form: history chunks (all events but the last) with the target
+    (last item, from a partial aggregate) on every chunk row of the user."""
+    hist = order_events_chunked(events, user, order_cols, item, chunk_size, keep=lambda p, n: p < n - 1)
+    t = user_targets(events, user, order_cols, item)
+    return hist.join(t.select(user, "target"), user)

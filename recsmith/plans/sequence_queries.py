@@ -262,3 +262,29 @@ def merge_user_shards(spark, d):
     m = O.merge_shards(parts)
     mo = O.with_ordinal(m, ["_shard", "ord"], "merged_ord")
     return mo.select("user_id", F.col("_shard").cast("bigint").alias("shard"), "merged_ord")
+
+
+CHUNK = 64
+_CHUNK_CTES = {"ev": FX.EVENTS_SQL,
+               "ps": f"""SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY {FX.EVENT_ORDER_SQL}) - 1 AS BIGINT) AS pos,
+       count(*) OVER (PARTITION BY user_id) AS n_events FROM ev"""}
+
+
+@register("user_sequence_chunks", FX.with_ctes(_CHUNK_CTES, f"""SELECT user_id, CAST(pos // {CHUNK} AS BIGINT) AS chunk,
+       string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY pos) AS items, CAST(any_value(n_events) AS BIGINT) AS n_events
+FROM ps GROUP BY user_id, pos // {CHUNK}"""))
+def user_sequence_chunks(spark, d):
+    """E1 skew-safe form: ordered items in chunks of 64 per user (no task holds a whole user)."""
+    c = S.order_events_chunked(FX.events(spark, d), "user_id", FX.EVENT_KEY, chunk_size=CHUNK)
+    return c.select("user_id", "chunk", _ids("items").alias("items"), "n_events")
+
+
+@register("history_chunks", FX.with_ctes({**_CHUNK_CTES,
+    "tg": "SELECT user_id, item_id AS target FROM ps WHERE pos = n_events - 1 AND n_events >= 2"},
+    f"""SELECT ps.user_id, CAST(pos // {CHUNK} AS BIGINT) AS chunk, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY pos) AS history,
+       any_value(tg.target) AS target
+FROM ps JOIN tg ON tg.user_id = ps.user_id WHERE pos < n_events - 1 GROUP BY ps.user_id, pos // {CHUNK}"""))
+def history_chunks(spark, d):
+    """E5 skew-safe form: leave-last-out history in chunks of 64, target on every chunk row."""
+    c = S.leave_last_out_chunked(FX.events(spark, d), "user_id", FX.EVENT_KEY, chunk_size=CHUNK)
+    return c.select("user_id", "chunk", _ids("items").alias("history"), "target")

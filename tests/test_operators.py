@@ -127,3 +127,31 @@ def test_queries_partition_invariant(spark, parts):
             assert sorted(map(tuple, q[n](spark, SF001).collect())) == rows, n
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_hot_key_is_split_across_ranges(spark):
+    """A key holding a third of the rows is spread over several range partitions."""
+    n = 30000
+    df = spark.range(n).select((F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id"))).alias("user"),
+                               F.col("id").alias("ts"))
+    from recsmith.sources.ordinal import with_ordinal
+
+    o = with_ordinal(df, ["user", "ts"], "ord", num_partitions=8)
+    sizes = [r["c"] for r in o.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()]
+    hot_parts = o.filter(F.col("user") == 0).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert hot_parts >= 2
+    assert max(sizes) <= 2 * (n / 8)
+    assert sorted(r["ord"] for r in o.select("ord").collect()) == list(range(n))
+
+
+def test_chunked_sequences_bounded(spark):
+    from recsmith.plans import fixtures as FX
+
+    from .conftest import SF001
+
+    c = S.order_events_chunked(FX.events(spark, SF001), "user_id", FX.EVENT_KEY, chunk_size=16)
+    assert c.select(F.max(F.size("items"))).first()[0] <= 16
+    whole = S.order_events(FX.events(spark, SF001), "user_id", FX.EVENT_KEY)
+    rebuilt = c.groupBy("user_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "items"))), lambda s: s["items"])).alias("items"))
+    j = whole.join(rebuilt.withColumnRenamed("items", "r"), "user_id")
+    assert j.filter(F.col("items") != F.col("r")).count() == 0 and j.count() == whole.count()
