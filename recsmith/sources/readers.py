@@ -102,21 +102,58 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("_bad", bad)
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """A5: ``.npy`` float matrix -> ``(item_id, embedding)``.  Each file is split into
-    row ranges decoded by ``mapInPandas`` from the file bytes."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def npy_header(path: str):
+    """Shape, dtype and data offset of a ``.npy`` file (reads only the header bytes)."""
+    from numpy.lib import format as npf
+
+    with open(path, "rb") as f:
+        major, _ = npf.read_magic(f)
+        if major == 1:
+            shape, fortran, dtype = npf.read_array_header_1_0(f)
+        else:
+            shape, fortran, dtype = npf.read_array_header_2_0(f)
+        if fortran:
+            raise ValueError("Fortran-ordered .npy is not supported")
+        return shape, dtype, f.tell()
+
+
+def read_npy(spark: SparkSession, path: str, rows_per_task: int = 65536) -> DataFrame:
+    """A5: ``.npy`` matrix (N x d) -> ``(item_id, embedding)``, row position = item id.
+
+    Only the header is read on the driver; the rows are split into ranges of
+    ``rows_per_task`` and each task seeks to its range of the (shared) file and decodes
+    it with numpy, so no task holds more than one range."""
+    shape, dtype, offset = npy_header(path)
+    n = int(shape[0])
+    d = int(np.prod(shape[1:])) if len(shape) > 1 else 1
+    row_bytes = d * dtype.itemsize
+    n_tasks = max(1, -(-n // rows_per_task))
+    starts = spark.range(0, n, rows_per_task, numPartitions=n_tasks).withColumnRenamed("id", "start")
+    dt = dtype.str
 
     def decode(batches):
-        import io
-
         for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"]):
-                m = np.load(io.BytesIO(content))
-                yield pd.DataFrame({"item_id": np.arange(m.shape[0], dtype=np.int64),
-                                    "embedding": list(np.asarray(m, dtype=np.float64))})
+            for start in pdf["start"]:
+                cnt = min(rows_per_task, n - int(start))
+                with open(path, "rb") as f:
+                    f.seek(offset + int(start) * row_bytes)
+                    m = np.frombuffer(f.read(cnt * row_bytes), dtype=np.dtype(dt)).reshape(cnt, d)
+                yield pd.DataFrame({"item_id": np.arange(int(start), int(start) + cnt, dtype=np.int64),
+                                    "embedding": list(m.astype(np.float64))})
+
+    return starts.mapInPandas(decode, "item_id long, embedding array<double>")
+
+
+def read_items_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """A2 for large catalogues: one JSON object per line ``{item_id, title, description, ...}``;
+    splittable, so the catalogue is read by many tasks.  ``item_ord`` is the line ordinal."""
+    from .ordinal import with_ordinal
 
-    return files.mapInPandas(decode, "item_id long, embedding array<double>")
+    schema = "item_id string, title string, description string, item_type string, final_value double"
+    raw = spark.read.schema(schema).json(path).withColumn("_f", F.input_file_name()).withColumn("_id", F.monotonically_increasing_id())
+    o = with_ordinal(raw, ["_f", "_id"], "item_ord")
+    return o.select("item_id", "item_ord", "title", F.col("description").alias("description_raw"),
+                    F.coalesce("item_type", F.lit("O")).alias("item_type"), F.coalesce("final_value", F.lit(0.0)).alias("final_value"))
 
 
 PREF_STRUCT = ("struct<user:string, user_preference:string, split:string, "

@@ -51,8 +51,8 @@ def test_read_npy(spark, tmp_path):
     emb = spark.read.parquet(f"{SF001}/embeddings.parquet").orderBy("vec_id").limit(10).collect()
     m = np.asarray([r["embedding"] for r in emb], dtype=np.float32)
     np.save(tmp_path / "e.npy", m)
-    rows = RD.read_npy(spark, str(tmp_path / "e.npy")).orderBy("item_id").collect()
-    assert len(rows) == 10 and np.allclose(rows[3]["embedding"], m[3])
+    rows = RD.read_npy(spark, str(tmp_path / "e.npy"), rows_per_task=3).orderBy("item_id").collect()
+    assert len(rows) == 10 and np.allclose(rows[3]["embedding"], m[3]) and np.allclose(rows[9]["embedding"], m[9])
 
 
 def test_read_predictions_and_info(spark, tmp_path):
@@ -102,3 +102,21 @@ def test_sinks_round_trip(spark, tmp_path):
     assert back.count() == idx.count()
     RD.write_codebook(FX.codebook(spark, SF001), str(tmp_path / "cb"))
     assert spark.read.parquet(str(tmp_path / "cb")).count() == FX.CODEBOOK_K * FX.CODEBOOK_LEVELS
+
+
+def test_read_items_jsonl(spark, tmp_path):
+    p = tmp_path / "items.jsonl"
+    p.write_text('{"item_id": "5", "title": "a"}\n{"item_id": "3", "title": "b", "item_type": "I", "final_value": 2.5}\n')
+    rows = RD.read_items_jsonl(spark, str(p)).orderBy("item_ord").collect()
+    assert [r["item_id"] for r in rows] == ["5", "3"] and rows[0]["item_type"] == "O" and rows[1]["final_value"] == 2.5
+
+
+def test_write_sequences_and_metric_log(spark, tmp_path):
+    df = spark.createDataFrame([("train", "A1", [1, 2]), ("test", "A2", [3])], "split string, user_id string, history array<bigint>")
+    RD.write_sequences(df, str(tmp_path / "seq"))
+    back = spark.read.parquet(str(tmp_path / "seq"))
+    assert sorted(r["split"] for r in back.collect()) == ["test", "train"]
+    log = spark.createDataFrame([("eval", "hr@10", 1, 0.5)], "stage string, tag string, step long, value double")
+    RD.write_metric_log(log, str(tmp_path / "log"))
+    RD.write_metric_log(log, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
