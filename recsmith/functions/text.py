@@ -240,3 +240,14 @@ def lookup_map(mapping: dict) -> Column:
     for k, v in mapping.items():
         items += [F.lit(k), F.lit(v)]
     return F.create_map(*items)
+
+
+def dataset_full_name(col, amazon14: bool = False) -> Column:
+    """Dataset short name -> full category name (fixed table; unknown names stay NULL)."""
+    table = AMAZON14_FULL_NAMES if amazon14 else AMAZON18_FULL_NAMES
+    return F.element_at(lookup_map(table), _c(col))
+
+
+def category_label(col) -> Column:
+    """Category name -> the phrase used inside prompts (fixed table)."""
+    return F.element_at(lookup_map(CATEGORY_LABELS), _c(col))

@@ -155,3 +155,11 @@ def test_chunked_sequences_bounded(spark):
     rebuilt = c.groupBy("user_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "items"))), lambda s: s["items"])).alias("items"))
     j = whole.join(rebuilt.withColumnRenamed("items", "r"), "user_id")
     assert j.filter(F.col("items") != F.col("r")).count() == 0 and j.count() == whole.count()
+
+
+def test_lookup_tables(spark):
+    df = spark.createDataFrame([("Office",), ("Games",), ("Nope",)], "n string")
+    got = [r[0] for r in df.select(TX.dataset_full_name("n")).collect()]
+    assert got == ["Office_Products", "Video_Games", None]
+    c = spark.createDataFrame([("Industrial_and_Scientific",), ("Books",)], "c string")
+    assert [r[0] for r in c.select(TX.category_label("c")).collect()] == ["industrial and scientific items", "books"]
