@@ -59,3 +59,33 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def size_shuffle_partitions(spark: SparkSession, input_bytes: int, target_bytes: int = 256 * 1024 * 1024,
+                            min_partitions: int | None = None, expansion: float = 3.0,
+                            max_partitions: int = 200_000) -> int:
+    """Size ``spark.sql.shuffle.partitions`` from the input volume.
+
+    Parquet expands in memory (``expansion``); aim for ``target_bytes`` of shuffle data
+    per reducer so partitions fit executor memory without spilling, never fewer than
+    the cluster's cores.  AQE then coalesces small partitions and splits skewed ones
+    around the same advisory size.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    want = int(input_bytes * expansion // target_bytes) + 1
+    # most plans aggregate map-side before the shuffle; the cap keeps the reducer count
+    # (and the driver's task bookkeeping) sane at 100 TB, AQE splits what is still large
+    n = min(max(want, min_partitions or cores), max_partitions)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(target_bytes, 128 * 1024 * 1024)))
+    return n
+
+
+def folder_bytes(path: str) -> int:
+    """Total size of the files under a local or mounted folder."""
+    total = 0
+    for root, _, files in os.walk(path):
+        for f in files:
+            total += os.path.getsize(os.path.join(root, f))
+    return total
