@@ -8,6 +8,7 @@ from ..functions import expr as X
 from ..functions import text as TX
 from ..operators import ranking as R
 from ..operators import reports as RP
+from ..operators import sid as D
 from ..sources import ordinal as O
 from . import fixtures as FX
 from .registry import register
@@ -67,8 +68,8 @@ def invalid_predictions(spark, d):
     """Predictions not in the SID catalogue, up to the hit (parity) and in total."""
     idx = FX.sid_index(spark, d)
     c = _norm_preds(spark, d, idx=idx)
-    known = FX.sid_map(spark, d, idx).select(F.col("sid").alias("npred")).distinct().withColumn("known", F.lit(True))
-    k = c.join(known, "npred", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    # Membership of each normalised prediction in the SID catalogue
+    k = D.is_known(c, "npred", FX.sid_map(spark, d, idx), "sid", name="known")
     g = k.groupBy("user_id", "ntarget").agg(F.array_sort(F.collect_list(F.struct("pos", "npred", "known"))).alias("_l"))
     g = g.select("user_id", "ntarget", F.transform("_l", lambda s: s["npred"]).alias("predict"),
                  F.transform("_l", lambda s: s["known"]).alias("known"))
