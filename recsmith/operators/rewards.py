@@ -69,9 +69,12 @@ def combine_rewards(df: DataFrame, weights: dict[str, float], name: str = "rewar
     return df.withColumn(name, total)
 
 
-def reward_logs(df: DataFrame, cols) -> DataFrame:
-    """H5 logs: per-function means, reward mean and mean group std."""
-    return df.agg(*[F.avg(c).alias(f"mean_{c}") for c in cols])
+def reward_logs(df: DataFrame, cols, reward: str = "reward", group: str = "group_id") -> DataFrame:
+    """H5 logs: per-function means, the reward mean and the mean of the per-group reward
+    std (sample std, as logged by the trainer)."""
+    means = df.agg(*[F.avg(c).alias(f"mean_{c}") for c in cols])
+    std = df.groupBy(group).agg(F.stddev_samp(reward).alias("_s")).agg(F.avg("_s").alias("reward_std"))
+    return means.crossJoin(std)  # two one-row aggregates
 
 
 def grpo_advantage(df: DataFrame, reward: str = "reward", group: str = "group_id", name: str = "advantage") -> DataFrame:

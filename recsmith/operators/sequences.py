@@ -167,8 +167,12 @@ def to_sequences(inter: DataFrame, items: DataFrame, sid_map: DataFrame, row_key
     back = j.groupBy(row_key).agg(
         F.array_sort(F.collect_list(F.when(F.col("_sid").isNotNull(), F.struct("_p", "_sid")))).alias("_s"),
         F.array_sort(F.collect_list(F.when(F.col("_title").isNotNull(), F.struct("_p", "_title")))).alias("_t"),
+        F.array_sort(F.collect_list(F.struct("_p", "_id", "_title", "_sid"))).alias("_a"),
     ).select(row_key, F.transform("_s", lambda s: s["_sid"]).alias("history_item_sid"),
-             F.transform("_t", lambda s: s["_title"]).alias("history_item_title"))
+             F.transform("_t", lambda s: s["_title"]).alias("history_item_title"),
+             # The parity lists skip missing items independently; this one keeps them paired
+             F.transform("_a", lambda s: F.struct(s["_id"].alias("item_id"), s["_title"].alias("title"),
+                                                  s["_sid"].alias("sid"))).alias("history_aligned"))
     tgt = inter.join(sm.withColumnRenamed("_id", target), target).join(
         it.withColumnRenamed("_id", target), target, "left")
     out = tgt.join(back, row_key, "left")
@@ -181,6 +185,7 @@ def to_sequences(inter: DataFrame, items: DataFrame, sid_map: DataFrame, row_key
         F.col(target).alias("item_id"),
         F.coalesce("history_item_sid", F.array().cast("array<string>")).alias("history_item_sid"),
         F.col("_sid").alias("item_sid"),
+        "history_aligned",
     )
 
 

@@ -75,8 +75,9 @@ def cf_reward(spark, d):
     return r.select(F.col("query_id").alias("user_id"), "pos", X.r6("cf_reward").alias("cf_reward"))
 
 
-@register("reward_logs", FX.with_ctes(_W, """SELECT round(avg(rule_reward), 6) AS mean_rule_reward, round(avg(ndcg_reward), 6) AS mean_ndcg_reward,
-       round(avg(reward), 6) AS mean_reward FROM rc"""))
+@register("reward_logs", FX.with_ctes({**_W, "gs": "SELECT group_id, stddev_samp(reward) AS s FROM rc GROUP BY group_id"},
+    """SELECT round(avg(rule_reward), 6) AS mean_rule_reward, round(avg(ndcg_reward), 6) AS mean_ndcg_reward,
+       round(avg(reward), 6) AS mean_reward, (SELECT round(avg(s), 6) FROM gs) AS reward_std FROM rc"""))
 def reward_logs(spark, d):
     """H5: weighted reward sum and per-function means."""
     r = _rewards(spark, d)

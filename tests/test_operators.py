@@ -163,3 +163,14 @@ def test_lookup_tables(spark):
     assert got == ["Office_Products", "Video_Games", None]
     c = spark.createDataFrame([("Industrial_and_Scientific",), ("Books",)], "c string")
     assert [r[0] for r in c.select(TX.category_label("c")).collect()] == ["industrial and scientific items", "books"]
+
+
+def test_sequence_rows_keep_aligned_history(spark):
+    inter = spark.createDataFrame([(1, 10, [5, 6, 7], 8)], "line_no long, user_id long, history array<bigint>, target bigint")
+    items = spark.createDataFrame([(5, "a"), (7, "c"), (8, "t")], "item_id long, title string")
+    sm = spark.createDataFrame([(6, "<s6>"), (7, "<s7>"), (8, "<s8>")], "item_id long, sid string")
+    r = S.to_sequences(inter, items, sm).first()
+    # parity lists skip missing items independently (T8): no SID for 5, no catalogue row for 6
+    assert r["history_item_sid"] == ["<s6>", "<s7>"] and r["history_item_title"] == ["a", "c"]
+    assert [(x["item_id"], x["sid"]) for x in r["history_aligned"]] == [(5, None), (6, "<s6>"), (7, "<s7>")]
+    assert r["user_id"] == "A10" and r["item_sid"] == "<s8>" and r["item_title"] == "t"
