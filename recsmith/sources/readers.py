@@ -267,3 +267,21 @@ def write_metric_log(df: DataFrame, path: str) -> None:
     """Append metric-log rows ``(stage, tag, step, value)`` partitioned by stage;
     non-numeric values are dropped first (``operators.reports.metric_log_rows``)."""
     df.select("stage", "tag", "step", "value").write.mode("append").partitionBy("stage").parquet(path)
+
+
+def write_sequences_csv(df: DataFrame, path: str) -> None:
+    """A14, CSV form: list columns written as JSON text (readable back by ``read_sequences``)."""
+    cols = [F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name)
+            for f in df.schema.fields]
+    df.select(*cols).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def write_sid_index_object(df: DataFrame, path: str, max_items: int = 1_000_000) -> None:
+    """A15, single-object form ``{item_id: [tokens]}`` for small catalogues only: the
+    whole index becomes one row, so its size is checked first (use ``write_sid_index``
+    for large catalogues)."""
+    n = df.count()
+    if n > max_items:
+        raise ValueError(f"{n} items: too many for a single JSON object; write JSON lines instead")
+    obj = df.select(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("item_id").cast("string"), "tokens")))).alias("m"))
+    obj.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)

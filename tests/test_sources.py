@@ -120,3 +120,23 @@ def test_write_sequences_and_metric_log(spark, tmp_path):
     RD.write_metric_log(log, str(tmp_path / "log"))
     RD.write_metric_log(log, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_sequences_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("A1", ['x "q"', "y"], "t", [1, 2], 3, ["<a_1>"], "<a_2>")],
+                               "user_id string, history_item_title array<string>, item_title string, history_item_id array<bigint>, "
+                               "item_id bigint, history_item_sid array<string>, item_sid string")
+    RD.write_sequences_csv(df, str(tmp_path / "csv"))
+    r = RD.read_sequences(spark, str(tmp_path / "csv")).first()
+    assert r["history_item_title"] == ['x "q"', "y"] and r["history_item_id"] == [1, 2] and not r["_bad"]
+
+
+def test_sid_index_object_round_trip(spark, tmp_path):
+    from recsmith.plans import fixtures as FX
+
+    idx = FX.sid_index(spark, SF001)
+    RD.write_sid_index_object(idx, str(tmp_path / "obj"))
+    back = RD.read_sid_index(spark, str(tmp_path / "obj"))
+    assert back.count() == idx.count()
+    j = back.join(idx.select(F.col("item_id").cast("string").alias("item_id"), F.col("tokens").alias("t0")), "item_id")
+    assert j.filter(F.col("tokens") != F.col("t0")).count() == 0
