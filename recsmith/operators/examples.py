@@ -202,15 +202,22 @@ def sid_eval_examples(seq: DataFrame, example_id: str = "line_no") -> DataFrame:
 
 
 def sid_gpr_examples(seq: DataFrame, items: DataFrame, user_features: DataFrame, sid_map: DataFrame,
-                     example_id: str = "line_no", user_key: str = "user_id_original_str") -> DataFrame:
+                     example_id: str = "line_no", user_key: str = "user_id_original_str", aligned: bool = True) -> DataFrame:
     """heterogeneous prompt -- user token (default ``[USER_UNKNOWN]``), context token
     ``[CTX_HOMEPAGE]``, ``[O_TOKEN]``/``[I_TOKEN]`` prefix by item type (anything but 'O' is
     ``[I_TOKEN]``), target weight ``final_value`` (default 0.0).  History pairs each item
     with its own SID (the aligned form; items without a SID are skipped, T8)."""
     it = items.select(F.col("item_id").alias("_id"), F.col("item_type").alias("_type"), F.col("final_value").alias("_fv"))
     sm = sid_map.select(F.col("item_id").alias("_id"), F.col("sid").alias("_sid"))
-    ex = seq.select(example_id, F.posexplode("history_item_id").alias("_p", "_id"))
-    j = ex.join(sm, "_id").join(it, "_id", "left")
+    if aligned:
+        ex = seq.select(example_id, F.posexplode("history_item_id").alias("_p", "_id"))
+        j = ex.join(sm, "_id").join(it, "_id", "left")
+    else:
+        # parity (T8): the i-th id is paired with the i-th entry of the SID list, which
+        # skipped items without a SID, so pairs can drift; missing entries become ''
+        ex = seq.select(example_id, "history_item_sid", F.posexplode("history_item_id").alias("_p", "_id"))
+        ex = ex.withColumn("_sid", F.coalesce(F.try_element_at("history_item_sid", F.col("_p") + 1), F.lit(""))).drop("history_item_sid")
+        j = ex.join(it, "_id", "left")
     pref = F.when(F.coalesce(F.col("_type"), F.lit("O")) == "O", F.lit(O_TOKEN)).otherwise(F.lit(I_TOKEN))
     back = j.groupBy(example_id).agg(F.array_sort(F.collect_list(F.struct("_p", F.concat(pref, F.col("_sid")).alias("_v")))).alias("_l"))
     back = back.select(example_id, F.array_join(F.transform("_l", lambda s: s["_v"]), ", ").alias("_hist"))

@@ -106,16 +106,19 @@ def _capacity_assign(data: DataFrame, centers: np.ndarray, key: str, vec: str, l
     dists = cut_lineage(data.mapInPandas(dist_batches, schema))
     prices = np.zeros(k)
     scale = 1.0
+
+    def priced_choice(pr):
+        pl = [F.lit(float(p)) for p in pr]
+        cost = F.transform("dists", lambda dd, i: dd + F.element_at(F.array(*pl), i + 1))
+        return (F.array_position(cost, F.array_min(cost)) - 1).cast("int")
+
     for _ in range(rounds):
-        pl = [F.lit(float(p)) for p in prices]
-        choice = F.array_position(
-            F.transform("dists", lambda dd, i: dd + F.element_at(F.array(*pl), i + 1)),
-            F.array_min(F.transform("dists", lambda dd, i: dd + F.element_at(F.array(*pl), i + 1)))) - 1
-        counts = dict(dists.select(choice.alias("c")).groupBy("c").count().collect())
+        counts = dict(dists.select(priced_choice(prices).alias("c")).groupBy("c").count().collect())
         over = np.array([counts.get(i, 0) - hi for i in range(k)], dtype=np.float64)
         under = np.array([lo - counts.get(i, 0) for i in range(k)], dtype=np.float64)
         if (over <= 0).all() and (under <= 0).all():
-            break
+            # prices alone meet both bounds: every item keeps its priced choice
+            return dists.select(key, priced_choice(prices).alias("code")).join(data, key)
         step = scale * 0.05
         prices = prices + step * np.sign(np.maximum(over, 0)) - step * np.sign(np.maximum(under, 0))
         scale *= 0.9

@@ -174,3 +174,17 @@ def test_sequence_rows_keep_aligned_history(spark):
     assert r["history_item_sid"] == ["<s6>", "<s7>"] and r["history_item_title"] == ["a", "c"]
     assert [(x["item_id"], x["sid"]) for x in r["history_aligned"]] == [(5, None), (6, "<s6>"), (7, "<s7>")]
     assert r["user_id"] == "A10" and r["item_sid"] == "<s8>" and r["item_title"] == "t"
+
+
+def test_gpr_parity_pairing(spark):
+    seq = spark.createDataFrame([(1, "1", [5, 6, 7], ["<s6>", "<s7>"], 8, "<s8>")],
+                                "line_no long, user_id_original_str string, history_item_id array<bigint>, history_item_sid array<string>, item_id long, item_sid string")
+    items = spark.createDataFrame([(5, "O", 1.0), (6, "I", 2.0), (7, "O", 3.0), (8, "I", 4.0)], "item_id long, item_type string, final_value double")
+    sm = spark.createDataFrame([(6, "<s6>"), (7, "<s7>"), (8, "<s8>")], "item_id long, sid string")
+    uf = spark.createDataFrame([], "user_id string, u_token string")
+    al = EX.sid_gpr_examples(seq, items, uf, sm).first()
+    par = EX.sid_gpr_examples(seq, items, uf, sm, aligned=False).first()
+    assert "items [I_TOKEN]<s6>, [O_TOKEN]<s7> in" in al["prompt"]
+    assert "items [O_TOKEN]<s6>, [I_TOKEN]<s7>, [O_TOKEN] in" in par["prompt"]
+    assert al["completion"] == "[I_TOKEN]<s8>\n" and al["final_value"] == 4.0
+    assert al["prompt"].count("[USER_UNKNOWN] [CTX_HOMEPAGE]") == 1
