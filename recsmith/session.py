@@ -31,6 +31,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -89,3 +90,31 @@ def folder_bytes(path: str) -> int:
         for f in files:
             total += os.path.getsize(os.path.join(root, f))
     return total
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``recsmith`` importable in the Python workers (the ``--py-files`` mechanism).
+
+    Arrow UDFs and ``mapInPandas`` functions reference helpers of this package, so the
+    executors need it on their path whatever the caller's working directory is.  The
+    package is zipped once per driver process and added once per SparkContext.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="recsmith-pyfiles-"), "recsmith.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
