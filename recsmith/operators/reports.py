@@ -68,7 +68,7 @@ def early_stop(log: DataFrame, patience: int, key=("run",), step: str = "step",
 
 def discover_runs(paths: DataFrame, path: str = "path") -> DataFrame:
     """A10: runs/checkpoints from ``.../<run>/checkpoint-N`` names; unparsable names are
-    ignored; each run gets a baseline row at step 0; ranks by step."""
+    ignored; each run gets a baseline row at step 0 (order by ``run, step`` to walk them)."""
     step = F.expr(f"try_cast(regexp_extract({path}, 'checkpoint-([^/]*)$', 1) AS BIGINT)")
     run = F.regexp_extract(path, r"([^/]+)/checkpoint-[^/]*$", 1)
     d = paths.select(run.alias("run"), step.alias("step"), F.col(path).alias("path")).filter(F.col("step").isNotNull())

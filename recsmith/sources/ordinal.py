@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_PERSISTED: list = []
+
+
+def release_persisted() -> None:
+    """Unpersist the range-sorted frames kept by ``with_ordinal`` (call once their
+    consumers have run, e.g. between independent jobs of a long session)."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+
+
 def with_ordinal(df: DataFrame, order_cols, name: str = "ord", num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -26,6 +36,7 @@ def with_ordinal(df: DataFrame, order_cols, name: str = "ord", num_partitions: i
         .withColumn("_lidx", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    _PERSISTED.append(local)
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the partition count, safe to broadcast
