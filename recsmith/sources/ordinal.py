@@ -70,19 +70,35 @@ def batch_id(ord_col, batch_size: int):
     return F.floor(c / F.lit(batch_size)).cast("bigint")
 
 
-def group_row_number(df: DataFrame, keys, order_cols, name: str = "rn", with_count: str | None = None) -> DataFrame:
-    """1-based row number inside each group without a per-group window.
-
-    A window ``partition by key`` sends a whole group to one task; here the rank is
-    ``global ordinal - first ordinal of the group + 1`` with the global ordinal from
-    a range-partitioned sort (hot groups are split across ranges) and the group
-    start from a partial aggregate.
+def group_row_number(df: DataFrame, keys, order_cols, name: str = "rn", with_count: str | None = None,
+                     num_partitions: int | None = None) -> DataFrame:
+    """1-based row number inside each group without a per-group window or a join on
+    the bare group key.
+
+    The frame is range-partitioned on ``keys + order_cols`` (a group holding a third
+    of all rows spans many ranges) and sorted inside each range.  Per (range, group)
+    a small table holds the first local index and the row count; a window over that
+    table (one row per range the group touches) gives the rows of the group in earlier
+    ranges.  Rows join it back on (range, group), a key no group can make hot.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    o = with_ordinal(df, keys + list(order_cols), "_gord")
-    aggs = [F.min("_gord").alias("_g0")]
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c) for c in keys + list(order_cols)]
+    local = (
+        df.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_lidx", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    _PERSISTED.append(local)
+    parts = local.groupBy("_pid", *keys).agg(F.min("_lidx").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*keys).orderBy("_pid")
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if with_count:
-        aggs.append(F.count(F.lit(1)).alias(with_count))
-    first = o.groupBy(*keys).agg(*aggs)
-    out = o.join(first, keys).withColumn(name, F.col("_gord") - F.col("_g0") + F.lit(1))
-    return out.drop("_gord", "_g0")
+        parts = parts.withColumn(with_count, F.sum("_cnt").over(Window.partitionBy(*keys)))
+    cols = ["_pid", *keys, "_first", "_before"] + ([with_count] if with_count else [])
+    out = local.join(parts.select(*cols), ["_pid", *keys])
+    out = out.withColumn(name, F.col("_before") + F.col("_lidx") - F.col("_first") + F.lit(1))
+    return out.drop("_pid", "_lidx", "_first", "_before")
