@@ -3,10 +3,13 @@
 import inspect
 
 import __spark_entry__ as E
+from recsmith.plans import registry
 
 
 def test_contract_shapes():
-    q, s = E.queries(), E.oracle_sql()
+    registry.load_all()
+    q, s = registry.QUERIES, registry.ORACLE
+    assert set(q) <= set(E.queries()) and set(s) <= set(E.oracle_sql())
     assert set(s) <= set(q)
     assert len(q) >= 100
     for name, fn in q.items():
