@@ -8,7 +8,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_texts
 from .tokens import text_ids
@@ -94,7 +94,7 @@ def pack(pieces: DataFrame, size: int = 1024, open_bins: int = OPEN_BINS, length
     numbers are the partition's number in the high bits.  Places with a null length are
     an error; an empty table gives no rows.
     """
-    schema = pieces.schema.add("sequence_id", "bigint").add("offset", "bigint")
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     at = pieces.columns.index(length_col)
 
     def run(batches):
@@ -118,4 +118,4 @@ def pack_documents(
     Null texts are empty (a piece of the end id alone); null and repeated ids and rows
     are documents of their own; an empty table gives no rows; other columns are ignored.
     """
-    return pack(tokenised_pieces(df, tokenizer_path, size, end_id, id_col, text_col), size, open_bins).withColumn("piece", F.col("piece").cast("int"))
+    return pack(tokenised_pieces(df, tokenizer_path, size, end_id, id_col, text_col), size, open_bins)

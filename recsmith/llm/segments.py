@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 
 # Python's \s also holds \x1c-\x1f; taking more characters as white space only means fewer cuts.
 _RISKY_ASCII = tuple(c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-_RISKY_OTHER = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000] ")
+_RISKY_OTHER = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _AFTER_WORD = re.compile(r"(?<=\S) ")
 
 
