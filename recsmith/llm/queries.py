@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import bpe_round_trip
 from .common import table
 from .packing import pack_documents
+from .simhash import simhash_components
 from .tokens import token_counts
+from .url_rules import rule_frame, url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +23,16 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+#: Rules of the URL query: host, path, verdict.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+@register
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents (3-word shingles, 2 bits)."""
+    return simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2, seed=42)
+
+
 @register
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document (byte-level BPE, 1024-token limit)."""
@@ -37,3 +49,31 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the multilingual ranks and decoded again."""
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the longest fitting rule."""
+    return url_verdicts(table(spark, sf_dir, "pages"), rule_frame(spark, URL_RULES), default="allow")
+
+
+ORACLE["op10_url_rules"] = """
+WITH u AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0
+                       THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages
+), p AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), r(rhost, rpath, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM (
+  SELECT p.*, r.rhost || r.rpath AS rule, r.verdict,
+         row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)
+) WHERE k = 1
+"""
