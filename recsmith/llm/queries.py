@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import bpe_round_trip
 from .common import table
 from .packing import pack_documents
+from .quality import fit_quality, quality_rules
 from .simhash import simhash_components
 from .tokens import token_counts
+from .toxicity import fit_lexicon, toxicity
 from .url_rules import rule_frame, url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +53,21 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and quality verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a lexicon learnt from the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_lexicon(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 @register
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the longest fitting rule."""
