@@ -143,7 +143,7 @@ def fit_lexicon(
     exceptions: tuple[str, ...] = EXCEPTIONS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    demand: int = 8,
+    demand: int = 3,
 ) -> Lexicon:
     """Learn the lexicon and the score from labelled rows that are not held out.
 
@@ -171,10 +171,10 @@ def fit_lexicon(
                 found[term][y] += 1
         return {"term": list(found), "clean": [v[0] for v in found.values()], "toxic": [v[1] for v in found.values()]}
 
-    least = max(3, sizes[1] // 500)
+    least = max(3, sizes[1] // 100)
     counted = map_texts(texts, count, "term string, clean bigint, toxic bigint", "_y", "_text").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
-    strong = counted.where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") > 2.5)
+    strong = counted.where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") > 3)
     weight = {r["term"]: r["odds"] for r in strong.orderBy(F.desc("toxic"), "term").limit(10 * max_terms).collect()}
     if not weight:
         return empty
