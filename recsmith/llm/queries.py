@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import bpe_round_trip
 from .common import table
 from .packing import pack_documents
+from .pii import fit_field, personal_data
 from .quality import fit_quality, quality_rules
+from .secrets import fit_findings, secret_scan
 from .simhash import simhash_components
 from .tokens import token_counts
 from .toxicity import fit_lexicon, toxicity
@@ -29,6 +31,12 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+@register
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's verdict."""
+    return secret_scan(table(spark, sf_dir, "documents"), fit_findings())
+
+
 @register
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents (3-word shingles, 2 bits)."""
@@ -41,6 +49,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+@register
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans and those the field adds."""
+    return personal_data(table(spark, sf_dir, "documents"), fit_field())
+
+
 @register
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into 1024-token sequences."""
