@@ -92,3 +92,23 @@ def simhash_components(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def near_dedup(
+    df: DataFrame, shingle: int = 3, max_bits: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Keep the rows of one document (the smallest id) of each near-duplicate class, all columns as given.
+
+    Only the ids to drop are joined to the documents.  Rows that repeat an id are one
+    document: the smallest row stays.  Rows with a null id cannot be named and all stay.
+    An empty table gives no rows.
+    """
+    classes = cut_lineage(simhash_components(df, shingle, max_bits, seed, id_col, text_col))
+    dropped = classes.where("component_id != doc_id").select(F.col("doc_id").alias("_drop")).distinct()
+    kept = df.join(dropped, F.col(id_col) == F.col("_drop"), "left_anti")
+    repeated = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    if repeated.isEmpty():
+        return kept
+    same = F.col(id_col) == F.col("_again")
+    first = kept.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias("_again")).agg(F.min(F.struct(*[F.col(c) for c in df.columns])).alias("_row"))
+    return kept.join(repeated, same, "left_anti").unionByName(first.select("_row.*"))
