@@ -9,6 +9,7 @@ import re
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -363,8 +364,6 @@ def personal_data(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", te
 
 def mask_personal_data(text: Column, weights: np.ndarray) -> Column:
     """The text with every span replaced by its kind in brackets (overlapping spans as one); null stays null."""
-    import pandas as pd
-
     def masked(t: str) -> str:
         out, done = [], 0
         for kind, s, e in all_spans(t, weights):

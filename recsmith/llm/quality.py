@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -126,8 +127,6 @@ def quality_rules(df: DataFrame, model: Forest | None, threshold: float = 0.5, i
 
 def quality_kept(text: Column, model: Forest | None, threshold: float = 0.5) -> Column:
     """The verdict of ``quality_rules`` as a column, for filters that keep whole rows."""
-    import pandas as pd
-
     @F.pandas_udf(BooleanType())
     def kept(texts: pd.Series) -> pd.Series:
         return pd.Series(_verdicts([statistics(t) for t in texts], model, threshold)[1], dtype=bool)

@@ -12,6 +12,7 @@ import string
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -189,8 +190,6 @@ def secret_scan(df: DataFrame, model: Forest, threshold: float = 0.5, id_col: st
 
 def mask_secrets(text: Column, model: Forest, threshold: float = 0.5, mask: str = "[SECRET]") -> Column:
     """The text with every kept secret replaced by ``mask``; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf(StringType())
     def masked(texts: pd.Series) -> pd.Series:
         whole = [t or "" for t in texts]

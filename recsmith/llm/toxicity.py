@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -243,8 +244,6 @@ def toxicity(df: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: st
 
 def toxicity_score(text: Column, lexicon: Lexicon) -> Column:
     """The score as a column, for filters that keep whole rows."""
-    import pandas as pd
-
     @F.pandas_udf(DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(_score([hits(t, lexicon) for t in texts], lexicon.line))
