@@ -111,30 +111,32 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _choose(seen: dict[str, set], support: dict[str, float], least: int, demand: int, most: int) -> list[str]:
-    """Greedy cover: entries that explain documents not yet explained ``demand`` times."""
-    need: Counter = Counter()
-    for docs in seen.values():
-        need.update(dict.fromkeys(docs, 0))
-    need = Counter(dict.fromkeys(need, demand))
+def _choose(seen: dict[str, dict[int, int]], weight: dict[str, float], least: int, demand: int, most: int) -> list[str]:
+    """Greedy cover: entries that explain texts in which fewer than ``demand`` places are explained yet.
+
+    ``seen`` has for each entry the texts and the number of places in them.
+    """
+    need = dict.fromkeys({d for docs in seen.values() for d in docs}, demand)
     chosen: list[str] = []
     left = dict(seen)
     while left and len(chosen) < most:
-        gain = {t: sum(need[d] > 0 for d in docs) * support[t] for t, docs in left.items()}
-        best = max(gain, key=lambda t: (gain[t], t))
-        if gain[best] < least * support[best]:
+        gain = {t: sum(need[d] > 0 for d in docs) for t, docs in left.items()}
+        best = max(gain, key=lambda t: (gain[t] * weight[t], t))
+        if gain[best] < least:
             break
-        stem = best.strip()
-        family = [t for t in left if (t.startswith(stem) or stem.startswith(t.strip())) and gain[t] >= 0.9 * gain[best]]
+        family = [t for t in left if _kin(t, best) and gain[t] >= 0.9 * gain[best]]
         best = max(family, key=lambda t: (t.endswith(" "), len(t), t))
         chosen.append(best)
-        for d in left[best]:
-            need[d] -= 1
-        stem = best.strip()
-        left = {t: docs for t, docs in left.items() if not (t.startswith(stem) or stem.startswith(t.strip()))}
+        for d, places in left[best].items():
+            need[d] -= places
+        left = {t: docs for t, docs in left.items() if not _kin(t, best)}
     return chosen
 
 
+def _kin(a: str, b: str) -> bool:
+    return a.strip().startswith(b.strip()) or b.strip().startswith(a.strip())
+
+
 def fit_lexicon(
     docs: DataFrame,
     labels: DataFrame,
@@ -144,14 +146,14 @@ def fit_lexicon(
     exceptions: tuple[str, ...] = EXCEPTIONS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    demand: int = 3,
+    demand: int = 6,
 ) -> Lexicon:
     """Learn the lexicon and the score from labelled rows that are not held out.
 
     Of each class at most ``max_rows`` rows are taken in a fixed pseudo-random order.
-    Spark counts in how many texts of each class words and word starts occur; those that
-    mark toxic texts compete in a greedy cover, where a finding between the same two
-    neighbour words counts once, so copies of one text add nothing.  Without labels of
+    Spark counts the places of words and word starts in texts of each class; those far
+    more frequent in toxic texts compete in a greedy cover, where a place between the same
+    two neighbour words counts once, so copies of one text add nothing.  Without labels of
     both classes the lexicon is empty and every score is low.
     """
     empty = Lexicon((), tuple(exceptions), (-3.0, 0.0, 0.0))
@@ -166,17 +168,23 @@ def fit_lexicon(
         return empty
 
     def count(ys: list, bodies: list[str]) -> dict:
-        found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        found: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])  # places in clean and toxic texts, toxic texts
         for y, body in zip(ys, bodies, strict=True):
-            for term in {t for w in set(_WORD.findall(fold(body))) for t in _terms(w)}:
-                found[term][y] += 1
-        return {"term": list(found), "clean": [v[0] for v in found.values()], "toxic": [v[1] for v in found.values()]}
+            places = Counter(t for w in _WORD.findall(fold(body)) for t in _terms(w))
+            for term, n in places.items():
+                found[term][y] += n
+                found[term][2] += y
+            found[""][y] += sum(n for t, n in places.items() if t[-1] == " ")
+        return {"term": list(found), **{k: [v[i] for v in found.values()] for i, k in enumerate(("clean", "toxic", "texts"))}}
 
     least = max(3, sizes[1] // 100)
-    counted = map_texts(texts, count, "term string, clean bigint, toxic bigint", "_y", "_text").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
-    strong = counted.where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") > 3)
-    weight = {r["term"]: r["odds"] for r in strong.orderBy(F.desc("toxic"), "term").limit(10 * max_terms).collect()}
+    counted = map_texts(texts, count, "term string, clean bigint, toxic bigint, texts bigint", "_y", "_text")
+    counted = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "texts")]).where((F.col("texts") >= least) | (F.col("term") == ""))
+    counted = cut_lineage(counted)
+    words = counted.where("term = ''").first()
+    odds = F.log((F.col("toxic") + 0.5) / (words["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (words["clean"] + 1))
+    strong = counted.where("term != ''").withColumn("odds", odds).where(F.col("odds") > 3)
+    weight = {r["term"]: r["odds"] for r in strong.orderBy(F.desc("texts"), "term").limit(10 * max_terms).collect()}
     if not weight:
         return empty
 
@@ -194,8 +202,10 @@ def fit_lexicon(
         return out
 
     found = map_texts(texts.where("_y = 1"), places, "term string, place bigint, doc bigint", "_y", "_text")
-    by_place = found.groupBy("term", "place").agg(F.min("doc").alias("doc"))
-    seen = {r["term"]: set(r["docs"]) for r in by_place.groupBy("term").agg(F.collect_set("doc").alias("docs")).collect()}
+    by_place = found.groupBy("term", "place").agg(F.min("doc").alias("doc")).groupBy("term", "doc").count()
+    seen: dict[str, dict[int, int]] = defaultdict(dict)
+    for r in by_place.collect():  # at most max_rows texts with entries of a bounded list
+        seen[r["term"]][r["doc"]] = r["count"]
     chosen = _choose(seen, weight, least, demand, max_terms)
     terms = tuple((t.strip(), t.endswith(" "), round(float(weight[t]), 6)) for t in sorted(chosen))
     draft = Lexicon(terms, tuple(exceptions), (0.0, 0.0, 0.0))
@@ -215,10 +225,10 @@ def hash_of(text: str) -> int:
 
 
 def _fit_line(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge; classes weigh the same."""
+    """Logistic regression by Newton steps with a small ridge."""
     a = np.column_stack([np.ones(len(x)), np.log1p(x)])
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    beta, ridge = np.zeros(3), np.diag([1e-4, 1e-3, 1e-3])
+    weight = np.full(len(y), 1 / len(y))
+    beta, ridge = np.zeros(3), np.diag([1e-6, 1e-4, 1e-4])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         grad = a.T @ (weight * (p - y)) + ridge @ beta
