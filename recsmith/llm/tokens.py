@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .bpe_codec import byte_characters
 from .common import map_texts
 from .segments import PieceCache
 
 #: Entries of a worker's cache of encoded words (about 100 MB at most).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
+
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_FIRST = frozenset(" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: A space at most in front, then letters, marks and single line breaks that stand between others.
+_PLAIN = re.compile(f"(?: ?[{_LETTERS}{_MARKS}]+)(?:\n[{_LETTERS}{_MARKS}]+)*")
+_PARTS = re.compile(f" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n")
 
 
 @functools.lru_cache(maxsize=4)
@@ -28,16 +37,63 @@ def _added(path: str) -> tuple[str, ...]:
     return tuple(t.content for t in _tokenizer(path).get_added_tokens_decoder().values())
 
 
-@functools.lru_cache(maxsize=4)
+class WordEncoder:
+    """The library's ids for words; letters, marks and line breaks in them are encoded apart.
+
+    Letters (here those of Latin alphabets) with a space before them, a run of marks
+    without an apostrophe and a lone line break are always pre-tokens of their own, so the
+    library's model can encode each by itself, and ``word``, ``word,`` and ``word.`` share
+    their work.  Words of anything else go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = _tokenizer(path)
+        self.model = Tokenizer(self.tokenizer.model)  # no pre-tokenizer: one string, one pre-token
+        self.table = dict(enumerate(byte_characters()))
+        self.space = self.table[32]
+        self.known: dict[str, bytes] = {}
+
+    def _mapped(self, part: str) -> str:
+        if part.isascii() and part[1:].isalpha() and part[0] == " ":
+            return self.space + part[1:]
+        return part.encode().decode("latin-1").translate(self.table)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        split: list[tuple | list | None] = []
+        for w in words:
+            if w.isascii() and w[1:].isalpha() and w[0] in _FIRST:
+                split.append((w,))
+            else:
+                split.append(_PARTS.findall(w) if _PLAIN.fullmatch(w) else None)
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        known = self.known
+        missing = list({part for s in split if s is not None for part in s} - known.keys())
+        known.update(zip(missing, _ids(self.model, list(map(self._mapped, missing))), strict=True))
+        others = iter(_ids(self.tokenizer, [w for w, s in zip(words, split, strict=True) if s is None]))
+        return [next(others) if s is None else known[s[0]] if len(s) == 1 else b"".join([known[x] for x in s]) for s in split]
+
+
+def _ids(tokenizer, words: list[str]) -> list[bytes]:
+    return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
+@functools.lru_cache(maxsize=2)
 def _length_cache(path: str) -> PieceCache:
-    tok = _tokenizer(path)
-    return PieceCache(lambda words: map(len, tok.encode_batch_fast(words, add_special_tokens=False)), CACHE_ENTRIES)
+    encode = _encoder(path)
+    return PieceCache(lambda words: (len(x) // 4 for x in encode(words)), CACHE_ENTRIES)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _id_cache(path: str) -> PieceCache:
-    tok = _tokenizer(path)
-    return PieceCache(lambda words: (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)), CACHE_ENTRIES)
+    return PieceCache(_encoder(path), CACHE_ENTRIES)
 
 
 def _whole(texts: list[str], path: str) -> dict[int, str]:
