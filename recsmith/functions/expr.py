@@ -41,7 +41,8 @@ def last(col) -> Column:
 def strip_chars(col, chars: str) -> Column:
     """Python ``str.strip(chars)``: remove any of ``chars`` from both ends."""
     cls = "[" + re.escape(chars) + "]"
-    return F.regexp_replace(_c(col), f"^{cls}+|{cls}+$", "")
+    # \z, not $: Java's $ also matches before a final line break
+    return F.regexp_replace(_c(col), rf"\A{cls}+|{cls}+\z", "")
 
 
 def strip_chars_sql(expr: str, chars: str) -> str:
@@ -50,13 +51,25 @@ def strip_chars_sql(expr: str, chars: str) -> str:
     return f"regexp_replace({expr}, '^{cls}+|{cls}+$', '', 'g')"
 
 
+#: What Python's ``str.strip()`` takes off: code points (first, last) of Unicode white space.
+WHITE_SPACE = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+               (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+
+
+def _white(form: str) -> str:
+    return "[" + "".join(form.format(a) + "-" + form.format(b) for a, b in WHITE_SPACE) + "]"
+
+
 def strip_ws(col) -> Column:
-    """Python ``str.strip()`` (whitespace), unlike Spark ``trim`` which only drops spaces."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` (Unicode white space), unlike Spark ``trim`` which only drops spaces."""
+    w = _white(r"\x{{{:x}}}")
+    return F.regexp_replace(_c(col), rf"\A{w}+|{w}+\z", "")
 
 
 def strip_ws_sql(expr: str) -> str:
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    """Without a regex: ``trim`` with the list of characters."""
+    chars = " || ".join(f"chr({c})" for a, b in WHITE_SPACE for c in range(a, b + 1))
+    return f"trim({expr}, {chars})"
 
 
 def portable_hash(*cols, seed: int = 0) -> Column:

@@ -6,6 +6,7 @@ JVM builtin and runs as an Arrow-batched ``pandas_udf`` (``html.unescape``).
 
 from __future__ import annotations
 
+import ast
 import html
 
 import pandas as pd
@@ -112,7 +113,7 @@ def html_unescape_list(s: pd.Series) -> pd.Series:
 def _dots(c: Column) -> Column:
     """Collapse trailing dots to one; the first character is never removed,
     so ``...`` -> ``..`` and '' -> ``.``."""
-    return F.concat(F.regexp_replace(c, r"(?s)^(.)(.*?)\.*$", "$1$2"), F.lit("."))
+    return F.concat(F.regexp_replace(c, r"(?s)\A(.)(.*?)\.*\z", "$1$2"), F.lit("."))
 
 
 def _blank_long(c: Column) -> Column:
@@ -156,23 +157,40 @@ def word_drop(text_col, key_col, p: float, seed: int = 0) -> Column:
     return F.array_join(keep, " ")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def literal_list(s: pd.Series) -> pd.Series:
+    """List literals as lists of texts; null for what is no list literal (``ast.literal_eval``, never ``eval``)."""
+
+    def parse(v):
+        if v is None:
+            return None
+        try:
+            x = ast.literal_eval(v)
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return None
+        return [None if e is None else str(e) for e in x] if isinstance(x, (list, tuple)) else None
+
+    return s.map(parse)
+
+
 def description_first(col) -> Column:
-    """When the text looks like a list literal take element 0, else the text."""
+    """Element 0 of a text that looks like a list of quoted texts (``['...']``); any other text,
+    an empty list or a literal that does not parse stays as it is."""
     c = _c(col)
-    parsed = F.from_json(F.regexp_replace(c, "'", '"'), "array<string>")
-    looks = c.startswith("[") & c.endswith("]")
-    return F.when(looks & parsed.isNotNull(), F.try_element_at(parsed, F.lit(1))).otherwise(c)
+    looks = c.startswith("['") & c.endswith("']")
+    parsed = literal_list(F.when(looks, c))
+    return F.when(F.size(parsed) > 0, F.try_element_at(parsed, F.lit(1))).otherwise(c)
 
 
 def description_longest(desc, title) -> Column:
     """Empty -> title; list -> longest non-blank (first on ties); all blank -> title;
     unparsable list text -> the text (or title when blank)."""
     d, t = _c(desc), _c(title)
-    parsed = F.from_json(F.regexp_replace(d, "'", '"'), "array<string>")
+    looks = d.startswith("[") & d.endswith("]")
+    parsed = literal_list(F.when(looks, d))
     nonblank = F.filter(parsed, lambda x: x.isNotNull() & (X.strip_ws(x) != ""))
     ranked = F.array_sort(F.transform(nonblank, lambda x, i: F.struct((-F.length(x)).alias("l"), i.alias("i"), x.alias("v"))))
     longest = F.try_element_at(ranked, F.lit(1))["v"]
-    looks = d.startswith("[") & d.endswith("]")
     plain = F.when(X.strip_ws(d) != "", d).otherwise(t)
     return (F.when(d.isNull() | (d == ""), t)
             .when(looks & parsed.isNull(), plain)
@@ -205,11 +223,6 @@ def norm_target(col) -> Column:
     return X.strip_chars(col, ' \n"')
 
 
-def norm_list_target(col) -> Column:
-    """List target ``strip('"')`` then ``strip(' ')``."""
-    return X.strip_chars(X.strip_chars(col, '"'), " ")
-
-
 def completion_text(col) -> Column:
     """Text after the last ``Response:\\n``, stripped."""
     return X.strip_ws(F.substring_index(_c(col), "Response:\n", -1))

@@ -36,18 +36,17 @@ def sid_examples(seq: DataFrame, example_id: str = "line_no", family: str = "sid
     """F4 (and F5 with the instruction frame): SID history -> SID.
 
     ``history_item_sid`` array<string>, ``item_sid`` string; the history key joins the
-    SIDs with ``::``; the repeat flag compares the target with the last history SID.
+    SIDs with ``::`` (F5: with ``, ``); the repeat flag compares the target with the last history SID.
     """
     hist = F.array_join("history_item_sid", ", ")
-    inp = F.concat(F.lit("The user has interacted with items "), hist,
-                   F.lit(" in chronological order. Can you predict the next possible item that the user may expect?"))
+    inp = fill(SID_INPUT, history=hist)
     prompt = user_frame(inp, F.lit(""))
     if instruction:
         prompt = F.concat(F.lit(INSTRUCTION), prompt)
     return seq.select(
         F.lit(family).alias("family"), F.col(example_id).alias("example_id"), prompt.alias("prompt"),
         F.concat(F.col("item_sid"), F.lit("\n")).alias("completion"),
-        F.array_join("history_item_sid", "::").alias("history_key"),
+        (hist if instruction else F.array_join("history_item_sid", "::")).alias("history_key"),
         F.coalesce(X.last("history_item_sid") == F.col("item_sid"), F.lit(False)).alias("is_repeat"),
     )
 
@@ -233,21 +232,23 @@ def sid_gpr_examples(seq: DataFrame, items: DataFrame, user_features: DataFrame,
 
 
 def item_maps(items: DataFrame, index: DataFrame) -> DataFrame:
-    """Per item with at least three tokens: sid3, title, first-element description and the
-    index ordinal that decides dictionary overwrites (T21)."""
-    from ..functions.text import description_first
+    """Per item with at least three tokens: sid3, title, first-element (B6) and longest
+    description and the index ordinal that decides dictionary overwrites (T21)."""
+    from ..functions.text import description_first, description_longest
 
     j = index.filter(F.size("tokens") >= 3).join(items, "item_id")
     return j.select("item_id", "idx_ord", F.array_join(F.slice("tokens", 1, 3), "").alias("sid3"), "title",
-                    description_first("description_raw").alias("description"))
+                    description_first("description_raw").alias("description"),
+                    description_longest("description_raw", "title").alias("long_description"))
 
 
 def _lww(df, key, value):
     return df.groupBy(key).agg(F.max(F.struct("idx_ord", value)).alias("_w")).select(key, F.col(f"_w.{value}").alias(value))
 
 
-def sid_title_examples(maps: DataFrame, with_instruction: bool = True) -> DataFrame:
-    """F8: sid2title and title2sid pairs from the last-write-wins maps."""
+def sid_title_examples(maps: DataFrame, with_instruction: bool = True, sample: int = -1, seed: int = 0) -> DataFrame:
+    """F8: sid2title and title2sid pairs from the last-write-wins maps; with ``sample`` > 0 that
+    many pairs of the union, chosen by a seeded hash."""
     s2t = _lww(maps, "sid3", "title")
     t2s = _lww(maps, "title", "sid3")
     frame = (lambda p: F.concat(instruction_frame(ITEM_ID_INSTRUCTION), user_frame(p, F.lit("")))) if with_instruction else (
@@ -256,7 +257,11 @@ def sid_title_examples(maps: DataFrame, with_instruction: bool = True) -> DataFr
                    frame(fill(SID2TITLE_PROMPT, sid=F.col("sid3"))).alias("prompt"), F.concat("title", F.lit("\n")).alias("completion"))
     b = t2s.select(F.lit("title2sid").alias("task"), F.col("title").alias("input"),
                    frame(fill(TITLE2SID_PROMPT, title=F.col("title"))).alias("prompt"), F.concat("sid3", F.lit("\n")).alias("completion"))
-    return a.unionByName(b)
+    both = a.unionByName(b)
+    if sample <= 0:
+        return both
+    drawn = X.portable_hash(X.string_key("task"), X.string_key("input"), seed=seed)
+    return both.withColumn("_h", drawn).orderBy("_h", "task", "input").limit(sample).drop("_h")
 
 
 def title_desc_to_sid_examples(maps: DataFrame) -> DataFrame:
@@ -298,12 +303,13 @@ def sid_history_to_title_examples(seq: DataFrame, items: DataFrame, dedup: bool
     return out.filter(~F.col("is_repeat")) if dedup else out
 
 
-def fusion_examples(seq: DataFrame, maps: DataFrame, task: str = "title", example_id: str = "line_no") -> DataFrame:
-    """SID history -> title (live branch) or description.  The target SID of the
+def fusion_examples(seq: DataFrame, maps: DataFrame, task: str = "title", example_id: str = "line_no", dedup: bool = False) -> DataFrame:
+    """SID history -> title (live branch) or longest description (B7); ``dedup`` drops rows
+    whose target repeats the last history SID.  The target SID of the
     row is looked up in the 3-token maps as is, so suffixed SIDs miss and fall back
     (title -> the SID itself; description -> ``An item with semantic ID {sid}``), T1."""
     s2t = _lww(maps, "sid3", "title").withColumnRenamed("sid3", "item_sid")
-    s2d = _lww(maps, "sid3", "description").withColumnRenamed("sid3", "item_sid")
+    s2d = _lww(maps, "sid3", "long_description").withColumnRenamed("sid3", "item_sid")
     s = seq.join(s2t, "item_sid", "left").join(s2d, "item_sid", "left")
     hist = F.array_join("history_item_sid", ", ")
     if task == "title":
@@ -311,21 +317,24 @@ def fusion_examples(seq: DataFrame, maps: DataFrame, task: str = "title", exampl
         target = F.coalesce("title", "item_sid")
     else:
         p = fill(FUSION_DESC_PROMPT, history=hist)
-        target = F.coalesce("description", fill(FUSION_DESC_FALLBACK, sid=F.col("item_sid")))
+        target = F.coalesce("long_description", fill(FUSION_DESC_FALLBACK, sid=F.col("item_sid")))
     prompt = F.concat(instruction_frame(FUSION_INSTRUCTION), user_frame(p, F.lit("")))
-    return _rows(s, f"fusion_{task}", example_id, prompt, F.concat(target, F.lit("\n")), hist,
-                 X.last("history_item_sid") == F.col("item_sid"))
+    out = _rows(s, f"fusion_{task}", example_id, prompt, F.concat(target, F.lit("\n")), hist,
+                X.last("history_item_sid") == F.col("item_sid"))
+    return out.filter(~F.col("is_repeat")) if dedup else out
 
 
-def title_history_to_sid_sft(seq: DataFrame, id2sid: DataFrame, category: str, example_id: str = "line_no") -> DataFrame:
-    """quoted titles -> 3-token SID of the target (fallback: the id text), with instruction."""
+def title_history_to_sid_sft(seq: DataFrame, id2sid: DataFrame, category: str, example_id: str = "line_no", dedup: bool = False) -> DataFrame:
+    """quoted titles -> 3-token SID of the target (fallback: the id text), with instruction;
+    ``dedup`` drops rows whose target repeats the last history id."""
     m = id2sid.select(F.col("item_id"), F.col("sid3").alias("_s3"))
     s = seq.join(m, "item_id", "left")
     target = F.coalesce("_s3", F.col("item_id").cast("string"))
     inp = fill(TITLE2SID_SFT_INPUT, category=category, titles=_quoted("history_item_title", ", "))
     prompt = F.concat(instruction_frame(TITLE2SID_SFT_INSTRUCTION), user_frame(inp, F.lit("")))
-    return _rows(s, "title_history_to_sid_sft", example_id, prompt, F.concat(target, F.lit("\n")),
-                 F.array_join("history_item_title", "::"), X.last("history_item_id") == F.col("item_id"))
+    out = _rows(s, "title_history_to_sid_sft", example_id, prompt, F.concat(target, F.lit("\n")),
+                F.array_join("history_item_title", "::"), X.last("history_item_id") == F.col("item_id"))
+    return out.filter(~F.col("is_repeat")) if dedup else out
 
 
 def preference_examples(pref: DataFrame, id2sid: DataFrame, kind: str = "reasoning") -> DataFrame:

@@ -42,22 +42,23 @@ def pivot_metrics(metrics: DataFrame, ks) -> DataFrame:
 def curve(metrics: DataFrame, metric: str = "ndcg", k: int = 10) -> DataFrame:
     """G9 curve rows: value per step next to the step-0 baseline."""
     m = metrics.filter((F.col("metric") == metric) & (F.col("k") == k))
-    base = m.filter(F.col("step") == 0).select(F.col("value").alias("baseline"))
-    return m.crossJoin(F.broadcast(base.limit(1))).select("run", "step", "value", "baseline",
+    # one row: the step-0 value, of the first run by name when several runs have one
+    base = m.filter(F.col("step") == 0).agg(F.min_by("value", "run").alias("baseline")).filter("baseline is not null")
+    return m.crossJoin(F.broadcast(base)).select("run", "step", "value", "baseline",
                                                           X.r6(F.col("value") - F.col("baseline")).alias("gain"))
 
 
 def early_stop(log: DataFrame, patience: int, key=("run",), step: str = "step", value: str = "value") -> DataFrame:
     """First step where the evaluations since the best exceed ``patience``.
 
-    A non-improvement is ``value <= running best`` (T35).  Per key: running max,
+    A non-improvement is ``value <= running best`` (T35); the best starts at 0.  Per key: running max,
     islands of non-improvement, first row whose run length > patience.  One key is
     one training run (a handful of evaluations): the window is bounded by it.
     """
     key = list(key)
     w = Window.partitionBy(*key).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     d = log.withColumn("_best", F.max(value).over(w))
-    d = d.withColumn("_improve", F.col("_best").isNull() | (F.col(value) > F.col("_best")))
+    d = d.withColumn("_improve", F.col(value) > F.greatest(F.coalesce(F.col("_best"), F.lit(0.0)), F.lit(0.0)))
     w2 = Window.partitionBy(*key).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_island", F.sum(F.col("_improve").cast("int")).over(w2))
     w3 = Window.partitionBy(*key, "_island").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)

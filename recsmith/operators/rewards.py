@@ -139,9 +139,9 @@ def categorical_diversity(df: DataFrame, group: str = "group_id", completion: st
 
 
 def token_diversity(df: DataFrame, tokens: str, pad: int = 0) -> DataFrame:
-    """Distinct non-pad token ids / total non-pad token ids."""
+    """Distinct non-pad token ids / total non-pad token ids; 0 when all are pads."""
     ex = df.select(F.explode(tokens).alias("_t")).filter(F.col("_t") != pad)
-    return ex.agg((F.countDistinct("_t") / F.count(F.lit(1))).alias("token_diversity"))
+    return ex.agg(F.coalesce(F.try_divide(F.countDistinct("_t"), F.count(F.lit(1))), F.lit(0.0)).alias("token_diversity"))
 
 
 def per_token_kl(logp: str = "logp", ref: str = "ref_logp") -> Column:
@@ -153,7 +153,7 @@ def per_token_kl(logp: str = "logp", ref: str = "ref_logp") -> Column:
 def kl_report(logps: DataFrame, seq_keys=("batch_id", "group_id", "pos"), mask: str = "mask") -> DataFrame:
     """Mean over sequences of the masked mean KL, and mean completion length."""
     d = logps.withColumn("_kl", per_token_kl())
-    seq = d.groupBy(*seq_keys).agg((F.sum(F.col("_kl") * F.col(mask)) / F.sum(mask)).alias("_skl"), F.sum(mask).alias("_len"))
+    seq = d.groupBy(*seq_keys).agg(F.try_divide(F.sum(F.col("_kl") * F.col(mask)), F.sum(mask)).alias("_skl"), F.sum(mask).alias("_len"))
     return seq.agg(F.avg("_skl").alias("mean_kl"), F.avg("_len").alias("completion_length"))
 
 
@@ -168,11 +168,11 @@ def policy_loss(logps: DataFrame, kind: str = "default", beta: float = 0.04, seq
     d = d.withColumn("_tl", -(F.exp("_lr") * F.col(adv) - F.lit(beta) * F.col("_kl")))
     m = F.col(mask)
     if kind == "dapo":
-        return d.agg((F.sum(F.col("_tl") * m) / F.sum(m)).alias("loss"))
+        return d.agg(F.try_divide(F.sum(F.col("_tl") * m), F.sum(m)).alias("loss"))
     seq = d.groupBy(*seq_keys).agg(
-        (F.sum(F.col("_tl") * m) / F.sum(m)).alias("_sl"),
-        F.exp(F.sum(F.col("_lr") * m) / F.sum(m)).alias("_s"),
-        (F.sum(F.col("_kl") * m) / F.sum(m)).alias("_skl"),
+        F.try_divide(F.sum(F.col("_tl") * m), F.sum(m)).alias("_sl"),
+        F.exp(F.try_divide(F.sum(F.col("_lr") * m), F.sum(m))).alias("_s"),
+        F.try_divide(F.sum(F.col("_kl") * m), F.sum(m)).alias("_skl"),
         F.first(adv).alias("_a"),
     )
     if kind == "gspo":
@@ -190,9 +190,10 @@ def policy_losses(logps: DataFrame, beta: float = 0.04, seq_keys=("batch_id", "g
         F.sum(F.col("_tl") * m).alias("_tsum"), F.sum(m).alias("_msum"),
         F.sum(F.col("_lr") * m).alias("_lrsum"), F.sum(F.col("_kl") * m).alias("_klsum"), F.first(adv).alias("_a"))
     tot = seq.agg(
-        F.avg(F.col("_tsum") / F.col("_msum")).alias("default"),
-        (F.sum("_tsum") / F.sum("_msum")).alias("dapo"),
-        (-F.avg(F.exp(F.col("_lrsum") / F.col("_msum")) * F.col("_a") - F.lit(beta) * F.col("_klsum") / F.col("_msum"))).alias("gspo"),
+        F.avg(F.try_divide(F.col("_tsum"), F.col("_msum"))).alias("default"),
+        F.try_divide(F.sum("_tsum"), F.sum("_msum")).alias("dapo"),
+        (-F.avg(F.exp(F.try_divide(F.col("_lrsum"), F.col("_msum"))) * F.col("_a")
+                - F.lit(beta) * F.try_divide(F.col("_klsum"), F.col("_msum")))).alias("gspo"),
     )
     return tot.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("loss")) for k in ("default", "dapo", "gspo")])).alias("_r")).select("_r.*")
 
@@ -226,6 +227,19 @@ def bce(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg(y * softplus(-s) + (F.lit(1.0) - y) * softplus(s)).alias("bce"))
 
 
+def total_loss(base: Column, dro: Column, alpha: float) -> Column:
+    """``base + alpha * dro`` (the base loss alone when ``alpha`` is 0)."""
+    return base if alpha == 0.0 else base + F.lit(alpha) * dro
+
+
+def cross_entropy(scores: DataFrame, targets: DataFrame, query: str = "query_id", item: str = "item_id") -> DataFrame:
+    """H16 base loss ``ce``: mean over queries of log-sum-exp of all scores minus the target's score."""
+    top = scores.groupBy(query).agg(F.max("score").alias("_m"))
+    lse = scores.join(top, query).groupBy(query).agg((F.first("_m") + F.log(F.sum(F.exp(F.col("score") - F.col("_m"))))).alias("_lse"))
+    hit = scores.join(targets.select(query, item).distinct(), [query, item]).select(query, "score")
+    return lse.join(hit, query).agg(F.avg(F.col("_lse") - F.col("score")).alias("ce"))
+
+
 def dro_loss(scores: DataFrame, prop: DataFrame, targets: DataFrame, beta: float = 1.0, query: str = "query_id",
              item: str = "item_id") -> DataFrame:
     """``mean_q log(sum_j exp(s_j^2 ps_j / b) - exp(s_t^2 ps_t / b) + exp((s_t-1)^2 ps_t / b) + 1e-24)``."""

@@ -114,7 +114,8 @@ def propensity(history: DataFrame, catalog: DataFrame, item: str = "item_id", po
                counts: DataFrame | None = None) -> DataFrame:
     """``((count+1) / sum(count+1)) ** power`` over the whole catalog, zero-count items included.
 
-    ``counts`` (item, cnt) may be given instead of the history rows.  The total is
+    ``history`` holds one row per training target (the next items, not the histories);
+    ``counts`` (item, cnt) may be given instead.  The total is
     one scalar aggregate joined back as a one-row broadcast.
     """
     if counts is None:

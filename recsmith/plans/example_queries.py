@@ -34,8 +34,9 @@ def _examples_sql(family: str, instruction: bool) -> str:
     if instruction:
         lit = EX.INSTRUCTION.replace("'", "''").replace("\n", "' || chr(10) || '")
         prefix = f"'{lit}' || "
+    key_sep = ", " if instruction else "::"
     return f"""SELECT '{family}' AS family, line_no AS example_id, {prefix}{_SID_PROMPT_SQL} AS prompt, item_sid || chr(10) AS completion,
-       array_to_string(hsid, '::') AS history_key, CAST(coalesce(hsid[len(hsid)] = item_sid, false) AS BIGINT) AS is_repeat FROM sr"""
+       array_to_string(hsid, '{key_sep}') AS history_key, CAST(coalesce(hsid[len(hsid)] = item_sid, false) AS BIGINT) AS is_repeat FROM sr"""
 
 
 def _out(e):
@@ -56,7 +57,7 @@ def sid_instruction_examples(spark, d):
 
 @register("history_to_target_table", FX.with_ctes({**_SEQ_ROWS,
     "ex": f"""SELECT 0 AS set_order, line_no AS example_id, array_to_string(hsid, '::') AS history_key, item_sid || chr(10) AS completion FROM sr
-UNION ALL SELECT 1 AS set_order, line_no AS example_id, array_to_string(hsid, '::') AS history_key, item_sid || chr(10) AS completion FROM sr"""},
+UNION ALL SELECT 1 AS set_order, line_no AS example_id, array_to_string(hsid, ', ') AS history_key, item_sid || chr(10) AS completion FROM sr"""},
     "SELECT history_key, arg_max(completion, (set_order, example_id)) AS target FROM ex GROUP BY history_key"))
 def history_to_target_table(spark, d):
     """history key -> target over two example sets, last write wins in load order."""

@@ -54,13 +54,13 @@ FROM hx LEFT JOIN sid_map sm ON sm.item_id = hx.hid LEFT JOIN it ON it.item_id =
 FROM inter i JOIN sid_map sm ON sm.item_id = i.target LEFT JOIN it ON it.item_id = i.target LEFT JOIN hs ON hs.line_no = i.line_no"""}
 
 MAPS = {"mp": """SELECT s.item_id, s.item_id AS idx_ord, array_to_string(s.tokens[1:3], '') AS sid3, it.title,
-       CASE WHEN starts_with(it.description_raw, '[') AND ends_with(it.description_raw, ']') AND json_valid(replace(it.description_raw, '''', '"'))
-            THEN json_extract_string(replace(it.description_raw, '''', '"'), '$[0]') ELSE it.description_raw END AS description
+       it.description[1] AS description,
+       CASE WHEN length(it.description[2]) > length(it.description[1]) THEN it.description[2] ELSE it.description[1] END AS long_description
 FROM sid_index s JOIN it ON it.item_id = s.item_id WHERE len(s.tokens) >= 3""",
         "s2t": "SELECT sid3, arg_max(title, idx_ord) AS title FROM mp GROUP BY sid3",
         "t2s": "SELECT title, arg_max(sid3, idx_ord) AS sid3 FROM mp GROUP BY title",
         "d2s": "SELECT description, arg_max(sid3, idx_ord) AS sid3 FROM mp GROUP BY description",
-        "s2d": "SELECT sid3, arg_max(description, idx_ord) AS description FROM mp GROUP BY sid3"}
+        "s2d": "SELECT sid3, arg_max(long_description, idx_ord) AS description FROM mp GROUP BY sid3"}
 
 ROW_COLS = "family, example_id, prompt, completion, history_key, is_repeat"
 
@@ -113,13 +113,13 @@ def sid_eval_examples(spark, d):
 
 
 def _user_features(spark, d):
-    c = FX.table(spark, d, "customer").filter(F.col("c_acctbal") > 0)
+    c = FX.table(spark, d, "customer")
     return c.select(F.col("c_custkey").cast("string").alias("user_id"),
                     F.concat(F.lit("["), F.upper("c_mktsegment"), F.lit("]")).alias("u_token"))
 
 
 _GPR = {**BASE,
-        "uf": "SELECT CAST(c_custkey AS VARCHAR) AS uid, '[' || upper(c_mktsegment) || ']' AS u_token FROM customer WHERE c_acctbal > 0",
+        "uf": "SELECT CAST(c_custkey AS VARCHAR) AS uid, '[' || upper(c_mktsegment) || ']' AS u_token FROM customer",
         "gh": """SELECT hx.line_no, string_agg(CASE WHEN coalesce(it.item_type, 'O') = 'O' THEN '[O_TOKEN]' ELSE '[I_TOKEN]' END || sm.sid_full, ', ' ORDER BY hx.p) AS gh
 FROM hx JOIN sid_map sm ON sm.item_id = hx.hid LEFT JOIN it ON it.item_id = hx.hid GROUP BY hx.line_no""",
         "g": """SELECT sr.*, coalesce(gh.gh, '') AS ghist, coalesce(uf.u_token, '[USER_UNKNOWN]') AS ut,
@@ -191,10 +191,8 @@ def _fusion_sql(task: str) -> str:
         p = fill_sql(EX.FUSION_DESC_PROMPT, history="array_to_string(hsid, ', ')")
         tgt = f"coalesce(s2d.description, {fill_sql(EX.FUSION_DESC_FALLBACK, sid='sr.item_sid')})"
     prompt = f"{lit(EX.INSTRUCTION_HEAD + EX.FUSION_INSTRUCTION + chr(10) + chr(10))} || {frame_sql(p)}"
-    src = "(SELECT sr.*, s2t.title AS _t FROM sr LEFT JOIN s2t ON s2t.sid3 = sr.item_sid LEFT JOIN s2d ON s2d.sid3 = sr.item_sid) q"
     body = _rows_sql(f"fusion_{task}", prompt, "_tgt || chr(10)", "array_to_string(hsid, ', ')", "hsid[len(hsid)] = item_sid", src="fu")
     ctes = {**BASE, **MAPS, "fu": f"SELECT sr.*, {tgt} AS _tgt FROM sr LEFT JOIN s2t ON s2t.sid3 = sr.item_sid LEFT JOIN s2d ON s2d.sid3 = sr.item_sid"}
-    del src
     return FX.with_ctes(ctes, body)
 
 
@@ -223,19 +221,26 @@ def title_history_to_sid_sft_examples(spark, d):
 
 
 def _preferences(spark, d):
-    """Preference records: a user's history/target with the reasoning text of its conversation's
-    first assistant turn (``conv_id = user``)."""
+    """Preference records of every user: history and target with the assistant's texts, in turn order,
+    of one conversation; users are dealt over the conversations that have such texts."""
+    from ..sources import ordinal as O
+
     i = inter(spark, d)
-    c = FX.table(spark, d, "conversations").filter((F.col("turn") == 1) & (F.col("role") == "assistant"))
-    j = i.join(c.select(F.col("conv_id").alias("user_id"), F.col("text").alias("user_preference")), "user_id")
+    said = FX.table(spark, d, "conversations").filter(F.col("role") == "assistant")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    c = said.groupBy("conv_id").agg(F.array_join(texts, " ").alias("user_preference"))
+    ranked = O.with_ordinal(c, ["conv_id"], "_conv")
+    n = c.agg(F.count(F.lit(1)).alias("_n"))
+    j = i.crossJoin(F.broadcast(n)).withColumn("_conv", F.col("user_id") % F.col("_n")).join(ranked, "_conv")
     return j.select(F.col("user_id").cast("string").alias("user"), "user_preference", F.lit("train").alias("split"),
                     F.struct(F.col("history").alias("history_items"), F.col("target").alias("target_item")).alias("context"),
                     F.col("user_id").alias("example_id"))
 
 
 _PREF = {**BASE, **MAPS,
-         "pf": """SELECT i.user_id, c.text AS pref, i.history, i.target FROM inter i
-JOIN conversations c ON c.conv_id = i.user_id AND c.turn = 1 AND c.role = 'assistant'""",
+         "cv": "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS pref FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
+         "cr": "SELECT pref, row_number() OVER (ORDER BY conv_id) - 1 AS k FROM cv",
+         "pf": """SELECT i.user_id, cr.pref, i.history, i.target FROM inter i JOIN cr ON cr.k = i.user_id % (SELECT count(*) FROM cr)""",
          "px": "SELECT user_id, unnest(history) AS hid, generate_subscripts(history, 1) AS p FROM pf",
          "ph": """SELECT px.user_id, string_agg(coalesce(mp.sid3, CAST(px.hid AS VARCHAR)), ', ' ORDER BY px.p) AS hist
 FROM px LEFT JOIN mp ON mp.item_id = px.hid GROUP BY px.user_id""",

@@ -197,7 +197,7 @@ def pivot_metrics(spark, d):
 
 
 @register("metric_curve", FX.with_ctes(_RUNS_CTES, """SELECT m.run, m.step, m.value, b.value AS baseline, round(m.value - b.value, 6) AS gain
-FROM metrics m, (SELECT value FROM metrics WHERE metric = 'ndcg' AND k = 10 AND step = 0) b WHERE m.metric = 'ndcg' AND m.k = 10"""))
+FROM metrics m, (SELECT arg_min(value, run) AS value FROM metrics WHERE metric = 'ndcg' AND k = 10 AND step = 0) b WHERE m.metric = 'ndcg' AND m.k = 10"""))
 def metric_curve(spark, d):
     """NDCG@10 per step against the step-0 baseline."""
     return RP.curve(run_metrics_df(spark, d), "ndcg", 10)
@@ -206,7 +206,7 @@ def metric_curve(spark, d):
 @register("early_stop", FX.with_ctes({**_RUNS_CTES,
     "lg": "SELECT 'all' AS series, step, value FROM metrics WHERE metric = 'hr' AND k = 50",
     "b1": "SELECT *, max(value) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM lg",
-    "b2": "SELECT *, (best IS NULL OR value > best) AS imp FROM b1",
+    "b2": "SELECT *, value > greatest(coalesce(best, 0), 0) AS imp FROM b1",
     "b3": "SELECT *, sum(CASE WHEN imp THEN 1 ELSE 0 END) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS island FROM b2",
     "b4": "SELECT *, sum(CASE WHEN imp THEN 0 ELSE 1 END) OVER (PARTITION BY island ORDER BY step ROWS UNBOUNDED PRECEDING) AS bad FROM b3"},
     "SELECT 'all' AS series, (SELECT min(step) FROM b4 WHERE bad > 1) AS stop_step"))

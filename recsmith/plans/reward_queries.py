@@ -224,7 +224,7 @@ def bce_loss(spark, d):
     return H.bce(H.bce_pairs(t, "ps", "ns", "user_id")).select(X.r6("bce").alias("bce"))
 
 
-@register("dro_loss", FX.with_ctes({**FX.sql_candidate_ctes(), "c": "SELECT item_id, count(*) AS cnt FROM hist GROUP BY item_id",
+@register("dro_loss", FX.with_ctes({**FX.sql_candidate_ctes(), "c": "SELECT target AS item_id, count(*) AS cnt FROM targets GROUP BY target",
     "cat": "SELECT DISTINCT p_partkey AS item_id FROM part",
     "j": "SELECT cat.item_id, coalesce(c.cnt, 0) + 1 AS cnt1 FROM cat LEFT JOIN c ON c.item_id = cat.item_id",
     "prop": "SELECT item_id, pow(cnt1 / (SELECT sum(cnt1) FROM j), 0.05) AS ps FROM j",
@@ -238,7 +238,8 @@ def dro_loss(spark, d):
     c = FX.candidates(spark, d)
     pairs = c.select("user_id", "cand").unionByName(c.select("user_id", F.col("target").alias("cand"))).distinct()
     scores = pairs.select(F.col("user_id").alias("query_id"), F.col("cand").alias("item_id"), FX.score_of(F.col("user_id"), F.col("cand")).alias("score"))
-    counts = S.history_item_counts(FX.events(spark, d), "user_id", FX.EVENT_KEY)
+    _, last = S.split_last(FX.events(spark, d), "user_id", FX.EVENT_KEY)
+    counts = last.groupBy(F.col("target").alias("item_id")).agg(F.count(F.lit(1)).alias("cnt"))
     prop = S.propensity(None, FX.table(spark, d, "part").select(F.col("p_partkey").alias("item_id")), counts=counts)
     t = c.filter(F.col("pos") == 0).select(F.col("user_id").alias("query_id"), F.col("target").alias("item_id"))
     return H.dro_loss(scores, prop, t, beta=1.0).select(X.r6("dro_loss").alias("dro_loss"))

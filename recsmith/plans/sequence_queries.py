@@ -140,13 +140,13 @@ def negative_sample(spark, d):
     return i.select("user_id", "target", S.negative_sample("user_id", "target", n_items, seed=SEED).alias("negative"))
 
 
-@register("item_propensity", FX.with_ctes({**FX.event_ctes(), "c": "SELECT item_id, count(*) AS cnt FROM hist GROUP BY item_id",
+@register("item_propensity", FX.with_ctes({**FX.event_ctes(), "c": "SELECT target AS item_id, count(*) AS cnt FROM targets GROUP BY target",
     "cat": "SELECT DISTINCT p_partkey AS item_id FROM part",
     "j": "SELECT cat.item_id, coalesce(c.cnt, 0) AS cnt, coalesce(c.cnt, 0) + 1 AS cnt1 FROM cat LEFT JOIN c ON c.item_id = cat.item_id"},
     "SELECT item_id, CAST(cnt AS BIGINT) AS cnt, round(pow(cnt1 / (SELECT sum(cnt1) FROM j), 0.05), 6) AS propensity FROM j"))
 def item_propensity(spark, d):
     """Popularity propensity over the catalogue (items without events included)."""
-    counts = S.history_item_counts(FX.events(spark, d), "user_id", FX.EVENT_KEY)
+    counts = targets(spark, d).groupBy(F.col("target").alias("item_id")).agg(F.count(F.lit(1)).alias("cnt"))
     cat = FX.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
     p = S.propensity(None, cat, counts=counts)
     return p.select("item_id", "cnt", X.r6("propensity").alias("propensity"))

@@ -77,10 +77,7 @@ def word_drop(spark, d):
     return FX.table(spark, d, "documents").select("doc_id", TX.word_drop("text", "doc_id", 0.1, seed=7).alias("text"))
 
 
-@register("description_first", FX.with_ctes({"it": FX.ITEMS_SQL}, """SELECT item_id,
-       CASE WHEN starts_with(description_raw, '[') AND ends_with(description_raw, ']')
-            AND json_valid(replace(description_raw, '''', '"'))
-       THEN json_extract_string(replace(description_raw, '''', '"'), '$[0]') ELSE description_raw END AS description FROM it"""))
+@register("description_first", FX.with_ctes({"it": FX.ITEMS_SQL}, "SELECT item_id, description[1] AS description FROM it"))
 def description_first(spark, d):
     """First element of a list-literal description."""
     return FX.items(spark, d).select("item_id", TX.description_first("description_raw").alias("description"))

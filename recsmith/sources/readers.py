@@ -8,14 +8,14 @@ large catalogues.
 
 from __future__ import annotations
 
-import ast
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import literal_list
+
 
 def read_inter(spark: SparkSession, path: str, split: str) -> DataFrame:
     """A1: TSV ``user \\t space-separated history \\t target``; header skipped, lines
@@ -59,28 +59,12 @@ def read_sid_index(spark: SparkSession, path: str) -> DataFrame:
     return r.select(F.col("key").alias("item_id"), F.col("ord").cast("bigint").alias("idx_ord"), F.col("value").alias("tokens"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _literal_list(s: pd.Series) -> pd.Series:
-    def parse(v):
-        if v is None:
-            return None
-        try:
-            x = ast.literal_eval(v)
-        except (ValueError, SyntaxError):
-            return None
-        if not isinstance(x, (list, tuple)):
-            return None
-        return [None if e is None else str(e) for e in x]
-
-    return s.map(parse)
-
-
 def parse_list_literal(col) -> F.Column:
     """Strict ``from_json`` first, then ``ast.literal_eval`` in Arrow batches
     for the rows JSON rejects (``\\x`` escapes, ``None``); never ``eval``."""
     c = F.col(col) if isinstance(col, str) else col
     js = F.from_json(c, "array<string>")
-    return F.when(js.isNotNull(), js).otherwise(_literal_list(c))
+    return F.when(js.isNotNull(), js).otherwise(literal_list(F.when(js.isNull(), c)))
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
