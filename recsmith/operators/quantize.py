@@ -57,39 +57,59 @@ def kmeanspp_seed(emb: DataFrame, k: int, key: str = "item_id", vec: str = "embe
     return _codebook_df(spark, np.stack(centers), 0)
 
 
-def balanced_kmeans(emb: DataFrame, k: int, key: str = "item_id", vec: str = "embedding", max_iter: int = 10,
-                    seed: int = 0, level: int = 0, price_rounds: int = 20):
+def balanced_kmeans(emb: DataFrame, k: int, key: str = "item_id", vec: str = "embedding", max_iter: int = 100,
+                    seed: int = 0, level: int = 0, price_rounds: int = 8, tol: float = 1e-4, n_init: int = 1):
     """Size-bounded k-means; every cluster size within ``[max(1, n//k - 1), n//k + 1]``.
 
-    Lloyd iterations where the assignment step is capacity constrained:
-    each item ranks the codes by ``distance + price``; prices of over-full codes rise
-    (auction rounds over a broadcast K-vector), then an exact fill places the items:
-    per code the cheapest items up to the upper bound are kept, the rest move to their
-    best code that still has room, until everyone is placed.  Returns (codebook, assigned).
+    Lloyd iterations with a capacity-bounded assignment, until the centres move less than
+    ``tol`` (relative to their spread) or ``max_iter``; the best of ``n_init`` starts by
+    the sum of squared distances.  Every item is placed: the sizes add up to n.  With
+    fewer distinct vectors than codes the spare centres repeat chosen ones.
+    Returns (codebook, assigned).
     """
-    spark = emb.sparkSession
     n = emb.count()
     if n < k:
         raise ValueError("balanced k-means needs n >= k")
-    lo, hi = max(1, n // k - 1), n // k + 1
-    cb = kmeanspp_seed(emb, k, key, vec, seed)
-    data = emb.select(key, vec)
-    for it in range(max_iter):
-        centers = V.codebook_matrices(cb)[0]
-        assigned = _capacity_assign(data, centers, key, vec, lo, hi, price_rounds)
-        assigned = cut_lineage(assigned)
-        means = V.mean_vector(assigned, "code", vec, "vector").select("code", "vector")
-        cb_new = _codebook_df(spark, centers, level)
-        # codes keep their centre when empty (cannot happen with lo >= 1)
-        cb = cb_new.join(means.withColumnRenamed("vector", "_m"), "code", "left").select(
-            F.lit(level).alias("level"), "code", F.coalesce("_m", "vector").alias("vector"))
-        cb = _codebook_df(spark, V.codebook_matrices(cb)[level], level)
-    return cb, assigned
-
-
-def _capacity_assign(data: DataFrame, centers: np.ndarray, key: str, vec: str, lo: int, hi: int, rounds: int) -> DataFrame:
+    data = cut_lineage(emb.select(key, vec))
+    best = None
+    for start in range(n_init):
+        found = _balanced_run(data, n, k, key, vec, max_iter, seed + 1000 * start, price_rounds, tol)
+        if best is None or found[0] < best[0]:
+            best = found
+    _, centers, assigned = best
+    return _codebook_df(emb.sparkSession, centers, level), assigned
+
+
+def _balanced_run(data, n, k, key, vec, max_iter, seed, price_rounds, tol):
+    centers = V.codebook_matrices(kmeanspp_seed(data, k, key, vec, seed))[0]
+    if len(centers) < k:  # fewer distinct vectors than codes
+        centers = np.concatenate([centers, centers[np.arange(k - len(centers)) % len(centers)]])
+    for _ in range(max(1, max_iter)):
+        assigned = cut_lineage(_capacity_assign(data, centers, n, key, vec, price_rounds))
+        means = V.mean_vector(assigned, "code", vec, "vector").select("code", "vector").limit(k).collect()  # K rows
+        moved = centers.copy()
+        for r in means:
+            moved[r["code"]] = r["vector"]
+        shift = float(((moved - centers) ** 2).sum()) / max(float(moved.var(axis=0).sum()) * k, 1e-300)
+        centers = moved
+        if shift <= tol:
+            break
+    books = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
+    loss = assigned.agg(F.sum(V.sq_l2_direct(vec, F.element_at(books, F.col("code") + 1)))).first()[0]
+    return float(loss), centers, assigned
+
+
+def _capacity_assign(data: DataFrame, centers: np.ndarray, n: int, key: str, vec: str, rounds: int) -> DataFrame:
+    """Assign every row to a code with all sizes inside the bounds.
+
+    Prices on popular codes (an auction on K numbers, steps scaled by the spread of the
+    distances) even the demand out; then codes take their cheapest items up to quotas that
+    add up to n, the larger quotas going to the codes most asked for, and the rest try
+    their next choice.  A refused code is full, so everyone is placed after at most K tries.
+    """
     spark = data.sparkSession
     k = centers.shape[0]
+    lo, hi = max(1, n // k - 1), n // k + 1
     bc = spark.sparkContext.broadcast(centers)
     schema = T.StructType([data.schema[key], T.StructField("dists", T.ArrayType(T.DoubleType()))])
 
@@ -104,47 +124,48 @@ def _capacity_assign(data: DataFrame, centers: np.ndarray, key: str, vec: str, l
             yield pdf[[key]].assign(dists=list(np.maximum(d, 0.0)))
 
     dists = cut_lineage(data.mapInPandas(dist_batches, schema))
+    spread = dists.agg(F.avg(F.array_max("dists") - F.array_min("dists"))).first()[0] or 1.0
     prices = np.zeros(k)
-    scale = 1.0
 
-    def priced_choice(pr):
-        pl = [F.lit(float(p)) for p in pr]
-        cost = F.transform("dists", lambda dd, i: dd + F.element_at(F.array(*pl), i + 1))
+    def priced(pr):
+        pl = F.array(*[F.lit(float(p)) for p in pr])
+        return F.zip_with("dists", pl, lambda d, p: d + p)
+
+    def choice(pr):
+        cost = priced(pr)
         return (F.array_position(cost, F.array_min(cost)) - 1).cast("int")
 
-    for _ in range(rounds):
-        counts = dict(dists.select(priced_choice(prices).alias("c")).groupBy("c").count().collect())
-        over = np.array([counts.get(i, 0) - hi for i in range(k)], dtype=np.float64)
-        under = np.array([lo - counts.get(i, 0) for i in range(k)], dtype=np.float64)
-        if (over <= 0).all() and (under <= 0).all():
-            # prices alone meet both bounds: every item keeps its priced choice
-            return dists.select(key, priced_choice(prices).alias("code")).join(data, key)
-        step = scale * 0.05
-        prices = prices + step * np.sign(np.maximum(over, 0)) - step * np.sign(np.maximum(under, 0))
-        scale *= 0.9
-    # exact fill of the upper bound: round by round, codes accept their cheapest
-    # pending items up to the remaining room; the rest retry their next choice.
-    room = {i: hi for i in range(k)}
-    pl = [F.lit(float(p)) for p in prices]
-    cost = F.transform("dists", lambda dd, i: dd + F.element_at(F.array(*pl), i + 1))
+    step = spread / 4
+    for _ in range(rounds + 1):
+        counts = dict(dists.select(choice(prices).alias("c")).groupBy("c").count().collect())
+        size = np.array([counts.get(i, 0) for i in range(k)], dtype=np.float64)
+        if (size <= hi).all() and (size >= lo).all():
+            return dists.select(key, choice(prices).alias("code")).join(data, key)
+        prices = prices + step * np.clip(size * k / n - 1, -1, 1)
+        step *= 0.7
+    quota = np.full(k, n // k)
+    quota[np.argsort(-size, kind="stable")[: n % k]] += 1
+    cost = priced(prices)
     order = F.transform(F.array_sort(F.transform(cost, lambda c, i: F.struct(c.alias("c"), i.alias("i")))), lambda s: s["i"])
     pending = dists.select(key, "dists", order.alias("_order")).withColumn("_try", F.lit(1))
     placed = None
-    for _ in range(k):
+    while True:
         cand = pending.withColumn("code", F.element_at("_order", F.col("_try")).cast("int")).withColumn(
             "_cost", F.element_at("dists", F.col("code") + 1))
-        rm = F.element_at(F.array(*[F.lit(room[i]) for i in range(k)]), F.col("code") + 1)
+        room = F.element_at(F.array(*[F.lit(int(q)) for q in quota]), F.col("code") + 1)
         # rank inside each code without a per-code window (a popular code is split)
         ranked = group_row_number(cand, ["code"], ["_cost", key], name="_r")
-        ok = cut_lineage(ranked.withColumn("_ok", F.col("_r") <= rm))
+        ok = cut_lineage(ranked.withColumn("_ok", F.col("_r") <= room))
         acc = ok.filter("_ok").select(key, "code")
         placed = acc if placed is None else placed.unionByName(acc)
         for row in acc.groupBy("code").count().collect():
-            room[int(row["code"])] -= int(row["count"])
-        pending = ok.filter(~F.col("_ok")).select(key, "dists", "_order", (F.col("_try") + 1).alias("_try"))
-        if pending.limit(1).count() == 0:
-            break
-    return placed.join(data, key)
+            quota[int(row["code"])] -= int(row["count"])
+        if not quota.sum():
+            return placed.join(data, key)
+        # straight to the first choice that still has room
+        open_ = F.array(*[F.lit(int(i)) for i in np.nonzero(quota)[0]])
+        left = F.filter("_order", lambda c: F.array_contains(open_, c.cast("int")))
+        pending = ok.filter(~F.col("_ok")).select(key, "dists", left.alias("_order"), F.lit(1).alias("_try"))
 
 
 def residual_kmeans(emb: DataFrame, ks, key: str = "item_id", vec: str = "embedding", seed: int = 0,
@@ -177,54 +198,125 @@ def residual_kmeans(emb: DataFrame, ks, key: str = "item_id", vec: str = "embedd
     return allbooks, codes
 
 
+#: Batches of at most so many items are assigned inside one task; larger ones in distributed rounds.
+SINKHORN_TASK_ITEMS = 8192
+
+
+def _row_normal(lq: np.ndarray, u: np.ndarray) -> np.ndarray:
+    s = lq - u
+    top = s.max(axis=1, keepdims=True)
+    return s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))
+
+
+def _log_sum(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column maxima and the sums of exponentials above them."""
+    top = s.max(axis=0)
+    return top, np.exp(s - top).sum(axis=0)
+
+
+def _matrix(col) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in col])
+
+
 def sinkhorn_assign(emb: DataFrame, codebook: DataFrame, key: str = "item_id", vec: str = "embedding", level: int = 0,
-                    eps: float = 0.003, iters: int = 3, batch: str | None = None) -> DataFrame:
+                    eps: float = 0.003, iters: int = 50, batch: str | None = None) -> DataFrame:
     """Sinkhorn balanced assignment in the log domain.
 
-    Distances are centred to [-1, 1] per batch (C17); ``log Q = -d/eps``; rows are
-    normalised locally, columns by a K-vector of log-sums per batch (one aggregate
-    per iteration); the code is the argmax of the final plan.
+    Distances are centred to [-1, 1] per batch (C17) and ``log Q = -d / eps``.  Each round
+    normalises every item over its codes, then every code over the items of its batch;
+    the code is the argmax of the final plan (ties: the lowest code).
+
+    An item is one row with K numbers, and what a round changes is one K-vector per batch:
+    what the codes have been divided by.  Tasks add up their items' shares by code, so a
+    round moves K sums per task and batch, never the items.  Without ``batch`` all rows are one batch whose
+    K-vector the driver passes on.  With ``batch``, batches of up to
+    ``SINKHORN_TASK_ITEMS`` are done inside a task; larger ones share the rounds.
     """
-    cb = codebook.filter(F.col("level") == level).select("code", F.col("vector").alias("_cv"))
-    pairs = emb.select(key, vec, *( [batch] if batch else [])).crossJoin(F.broadcast(cb))  # K codes per row
+    centers = V.codebook_matrices(codebook.filter(F.col("level") == level))[level]
+    bc = emb.sparkSession.sparkContext.broadcast(centers)  # size checked by codebook_matrices
     b = batch or "_b"
-    if not batch:
-        pairs = pairs.withColumn("_b", F.lit(0))
-    pairs = pairs.withColumn("_d", V.sq_l2_direct(vec, "_cv")).drop(vec, "_cv")
-    pairs = V.center_distances(pairs, "_d", b).withColumn("_lq", -F.col("centered") / F.lit(eps)).drop("centered")
+    rows = emb if batch else emb.withColumn("_b", F.lit(0))
+    kind, group = rows.schema[key], rows.schema[b]
+
+    def distances(batches):
+        c = bc.value
+        for pdf in batches:
+            if len(pdf):
+                x = _matrix(pdf[vec])
+                yield pdf[[key, b]].assign(d=list(np.stack([((x - row) ** 2).sum(axis=1) for row in c], axis=1)))
+
+    numbers = T.ArrayType(T.DoubleType())
+    items = cut_lineage(rows.select(key, b, vec).mapInPandas(distances, T.StructType([kind, group, T.StructField("d", numbers)])))
+    span = items.groupBy(b).agg(F.max(F.array_max("d")).alias("_hi"), F.min(F.array_min("d")).alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    mid, half = (F.col("_hi") + F.col("_lo")) / 2, (F.col("_hi") - F.col("_lo")) / 2 + F.lit(1e-5)
+    items = items.join(span, b).select(key, b, "_n", F.transform("d", lambda x: -((x - mid) / half) / F.lit(eps)).alias("lq"))
+    items = cut_lineage(items)
+    out = T.StructType([kind, T.StructField("code", T.IntegerType())])
+
+    def in_task(pdf):
+        lq, u = _matrix(pdf["lq"]), np.zeros(len(centers))
+        for _ in range(iters):
+            top, total = _log_sum(_row_normal(lq, u))
+            u = u + top + np.log(total)
+        return pdf[[key]].assign(code=(lq - u).argmax(axis=1).astype(np.int32))
+
+    large = items
+    small = None
+    if batch:
+        small = items.filter(F.col("_n") <= SINKHORN_TASK_ITEMS).groupBy(b).applyInPandas(in_task, out)
+        large = items.filter(F.col("_n") > SINKHORN_TASK_ITEMS)
+        if large.isEmpty():
+            return small
+    done = _distributed_rounds(large, b, len(centers), iters).select(key, "code")
+    return done if small is None else small.unionByName(done)
+
+
+def _distributed_rounds(items: DataFrame, b: str, k: int, iters: int) -> DataFrame:
+    """Sinkhorn rounds over batches of any size; ``u`` is one K-vector per batch."""
+    cols = cut_lineage(items.select(b).distinct().withColumn("u", F.array_repeat(F.lit(0.0), k)))
+    numbers = T.ArrayType(T.DoubleType())
+    partial = T.StructType([items.schema[b], T.StructField("top", numbers), T.StructField("total", numbers), T.StructField("u", numbers)])
+
+    def shares(batches):
+        for pdf in batches:
+            for name, part in pdf.groupby(b, sort=False):
+                u = np.asarray(part["u"].iloc[0], dtype=np.float64)
+                top, total = _log_sum(_row_normal(_matrix(part["lq"]), u))
+                yield part.iloc[:1][[b]].assign(top=[top], total=[total], u=[u])
+
     for i in range(iters):
-        # column log-sum-exp per (batch, code): max, then sum(exp(x - max)) -- two partial
-        # aggregates, so a code shared by every item of a huge batch is combined map-side
-        cm = pairs.groupBy(b, "code").agg(F.max("_lq").alias("_cm"))
-        pc = pairs.join(cm, [b, "code"])
-        col_lse = pc.groupBy(b, "code").agg((F.first("_cm") + F.log(F.sum(F.exp(F.col("_lq") - F.col("_cm"))))).alias("_clse"))
-        pairs = pairs.join(col_lse, [b, "code"]).withColumn("_lq", F.col("_lq") - F.col("_clse")).drop("_clse")
-        # row log-sum-exp per item over its K codes (bounded by K)
-        rm = pairs.groupBy(key).agg(F.max("_lq").alias("_rm"))
-        pr = pairs.join(rm, key)
-        row_lse = pr.groupBy(key).agg((F.first("_rm") + F.log(F.sum(F.exp(F.col("_lq") - F.col("_rm"))))).alias("_rlse"))
-        pairs = pairs.join(row_lse, key).withColumn("_lq", F.col("_lq") - F.col("_rlse")).drop("_rlse")
-        pairs = cut_lineage(pairs)
-    best = pairs.groupBy(key).agg(F.max(F.struct("_lq", (-F.col("code")).alias("_nc"))).alias("_b"))
-    return best.select(key, (-F.col("_b._nc")).cast("int").alias("code"))
+        parts = items.join(cols, b).select(b, "lq", "u").mapInPandas(shares, partial)
+        # a K-vector for each Arrow batch: merged by code with partial aggregates in two steps
+        long = parts.select(b, F.posexplode(F.arrays_zip("top", "total", "u")).alias("code", "p")).select(b, "code", "p.top", "p.total", "p.u")
+        high = long.groupBy(b, "code").agg(F.collect_list(F.struct("top", "total")).alias("l"), F.first("u").alias("u"))
+        m = F.array_max(F.transform("l", lambda x: x["top"]))
+        lse = m + F.log(F.aggregate("l", F.lit(0.0), lambda acc, x: acc + x["total"] * F.exp(x["top"] - m)))
+        new = high.select(b, "code", (F.col("u") + lse).alias("v"))
+        cols = new.groupBy(b).agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "v"))), lambda x: x["v"]).alias("u"))
+        cols = cut_lineage(cols)
+    best = F.zip_with("lq", "u", lambda x, u: x - u)
+    return items.join(cols, b).withColumn("code", (F.array_position(best, F.array_max(best)) - 1).cast("int"))
 
 
 def init_codebook(old: DataFrame, target_dim: int) -> DataFrame:
-    """New codebook from a prior one; when the dimension differs, centre the
-    vectors and project them with ``pyspark.ml`` PCA (which does not centre)."""
+    """New codebook from a prior one; when the dimension differs, each level's vectors are
+    centred and projected on their own principal axes (one PCA per level)."""
     d = old.select(F.size("vector").alias("d")).first()["d"]
     if d == target_dim:
         return old
-    mean = V.mean_vector(old.withColumn("_all", F.lit(1)), "_all", "vector", "_mu").select("_mu")
-    cen = old.crossJoin(F.broadcast(mean)).withColumn("_c", V.sub("vector", "_mu"))
-    feats = cen.withColumn("_f", array_to_vector("_c"))
-    model = PCA(k=target_dim, inputCol="_f", outputCol="_p").fit(feats)
-    out = model.transform(feats)
-    return out.select("level", "code", vector_to_array("_p").alias("vector"))
+    out = None
+    for level in sorted(r["level"] for r in old.select("level").distinct().collect()):
+        book = old.filter(F.col("level") == level)
+        mean = V.mean_vector(book, "level", "vector", "_mu").select("_mu")
+        feats = book.crossJoin(F.broadcast(mean)).withColumn("_f", array_to_vector(V.sub("vector", "_mu")))  # one row
+        model = PCA(k=target_dim, inputCol="_f", outputCol="_p").fit(feats)
+        part = model.transform(feats).select("level", "code", vector_to_array("_p").alias("vector"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def repair_collisions(emb: DataFrame, codes: DataFrame, codebook: DataFrame, key: str = "item_id", vec: str = "embedding",
-                      rounds: int = 20, eps: float = 0.003, iters: int = 3) -> DataFrame:
+                      rounds: int = 20, eps: float = 0.003, iters: int = 50) -> DataFrame:
     """Iterative collision repair.
 
     Each round finds the items whose full code path is shared, re-assigns their last

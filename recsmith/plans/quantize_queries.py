@@ -32,14 +32,14 @@ def residual_kmeans_codes(spark, d):
 @register("balanced_kmeans_sizes")
 def balanced_kmeans_sizes(spark, d):
     """Size-bounded k-means; cluster sizes (all within [n//K-1, n//K+1])."""
-    _, a = Q.balanced_kmeans(FX.vectors(spark, d).select("item_id", "embedding"), K, max_iter=3, seed=1)
+    _, a = Q.balanced_kmeans(FX.vectors(spark, d).select("item_id", "embedding"), K, max_iter=100, seed=1, tol=1e-2)
     return a.groupBy("code").agg(F.count(F.lit(1)).alias("size"))
 
 
 @register("sinkhorn_codes")
 def sinkhorn_codes(spark, d):
-    """Sinkhorn balanced assignment to the level-0 fixture codebook (eps 0.003, 3 iterations)."""
-    s = Q.sinkhorn_assign(FX.vectors(spark, d).select("item_id", "embedding"), FX.codebook(spark, d), eps=0.003, iters=3)
+    """Sinkhorn balanced assignment to the level-0 fixture codebook (eps 0.003, 50 iterations)."""
+    s = Q.sinkhorn_assign(FX.vectors(spark, d).select("item_id", "embedding"), FX.codebook(spark, d), eps=0.003, iters=50)
     return s
 
 
@@ -81,7 +81,7 @@ def projected_vectors(spark, d):
 def collision_repair_paths(spark, d):
     """Repair shared code paths of the fixture codes by Sinkhorn on the last level."""
     c = FX.codes(spark, d)
-    r = Q.repair_collisions(c.select("item_id", "embedding"), c.select("item_id", "codes"), FX.codebook(spark, d), rounds=5)
+    r = Q.repair_collisions(c.select("item_id", "embedding"), c.select("item_id", "codes"), FX.codebook(spark, d), rounds=20)
     return r.select("item_id", F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("path"))
 
 

@@ -21,6 +21,57 @@ def test_balanced_kmeans_bounds(spark):
     assert min(sizes.values()) >= max(1, n // k - 1)
 
 
+def _sizes(assigned):
+    return sorted(r["count"] for r in assigned.groupBy("code").count().collect())
+
+
+def test_balanced_kmeans_far_centre_and_few_distinct_vectors(spark):
+    rng = np.random.default_rng(1)
+    near = [(i, (rng.normal(size=4) * 0.1 + np.eye(4)[i % 3] * 2).tolist()) for i in range(31)]
+    emb = spark.createDataFrame([*near, (31, [50.0, 50.0, 50.0, 50.0])], "item_id bigint, embedding array<double>")
+    _, a = Q.balanced_kmeans(emb, 4, max_iter=4, seed=1)
+    assert sum(_sizes(a)) == 32 and all(7 <= s <= 9 for s in _sizes(a)) and len(_sizes(a)) == 4
+    two = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(32)], "item_id bigint, embedding array<double>")
+    cb, a = Q.balanced_kmeans(two, 4, max_iter=3, seed=1)
+    assert cb.count() == 4 and sum(_sizes(a)) == 32 and all(7 <= s <= 9 for s in _sizes(a))
+    assert a.select("item_id").distinct().count() == 32
+
+
+def _plain_sinkhorn(d, eps, iters):
+    mid = (d.max() + d.min()) / 2
+    q = np.exp(-((d - mid) / (d.max() - mid + 1e-5)) / eps)
+    q /= q.sum()
+    for _ in range(iters):
+        q /= q.sum(axis=1, keepdims=True) * len(q)
+        q /= q.sum(axis=0, keepdims=True) * q.shape[1]
+    return q.argmax(axis=1)
+
+
+def test_sinkhorn_order_against_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(60, 6)), rng.normal(size=(5, 6))
+    emb = spark.createDataFrame([(i, int(i % 3 == 0), v.tolist()) for i, v in enumerate(x)], "item_id bigint, part int, embedding array<double>")
+    cb = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(c)], "level int, code int, vector array<double>")
+    d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+    got = {r.item_id: r.code for r in Q.sinkhorn_assign(emb, cb, eps=0.05, iters=4).collect()}
+    assert [got[i] for i in range(60)] == _plain_sinkhorn(d, 0.05, 4).tolist()
+    want = {int(i): int(v) for part in (0, 1) for sel in [np.nonzero((np.arange(60) % 3 == 0) == part)[0]] for i, v in zip(sel, _plain_sinkhorn(d[sel], 0.05, 4))}
+    assert {r.item_id: r.code for r in Q.sinkhorn_assign(emb, cb, eps=0.05, iters=4, batch="part").collect()} == want
+    monkeypatch.setattr(Q, "SINKHORN_TASK_ITEMS", 30)  # the larger batch in distributed rounds
+    assert {r.item_id: r.code for r in Q.sinkhorn_assign(emb, cb, eps=0.05, iters=4, batch="part").collect()} == want
+
+
+def test_pca_init_per_level(spark):
+    rng = np.random.default_rng(5)
+    books = rng.normal(size=(2, 9, 6))
+    old = spark.createDataFrame([(lv, i, v.tolist()) for lv in range(2) for i, v in enumerate(books[lv])], "level int, code int, vector array<double>")
+    got = {(r.level, r.code): r.vector for r in Q.init_codebook(old, 3).collect()}
+    for lv in range(2):
+        cen = books[lv] - books[lv].mean(axis=0)
+        want = cen @ np.linalg.svd(cen, full_matrices=False)[2][:3].T
+        assert np.allclose(np.abs([got[lv, i] for i in range(9)]), np.abs(want), atol=1e-8)
+
+
 def test_residual_error_non_increasing(spark):
     emb = FX.vectors(spark, SF01).select("item_id", "embedding")
     cb, codes = Q.residual_kmeans(emb, [8, 8, 8], seed=2)
