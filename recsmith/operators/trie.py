@@ -62,44 +62,51 @@ def constrain_scores(scores: DataFrame, trie: DataFrame, temperature: float = 1.
     return j.filter(keep).drop("_ok", "_live")
 
 
-def vocabulary(index: DataFrame, tokens: str = "tokens", eos: str = EOS, max_size: int = 1_000_000) -> list[str]:
-    """The SID vocabulary (distinct tokens + EOS) as a sorted list.  It is model-sized
-    (L x K codes plus collision suffixes); the size is checked before it is collected."""
-    voc = index.select(F.explode(tokens).alias("token")).distinct()
-    rows = voc.limit(max_size + 1).collect()
-    if len(rows) > max_size:
-        raise ValueError("vocabulary larger than the broadcast bound")
-    return sorted({r["token"] for r in rows} | {eos})
+def vocabulary(index: DataFrame, tokens: str = "tokens", eos: str = EOS) -> DataFrame:
+    """The SID vocabulary as a table ``token`` (distinct tokens and EOS)."""
+    eos_row = index.sparkSession.createDataFrame([(eos,)], "token string")
+    return index.select(F.explode(tokens).alias("token")).union(eos_row).distinct()
 
 
-def beam_topk(queries: DataFrame, trie: DataFrame, vocab: list[str], logit_fn, beams: int, depth: int,
-              query: str = "query_id") -> DataFrame:
-    """Constrained beam search over ``depth`` steps.
+def beam_topk(queries: DataFrame, trie: DataFrame, vocab: DataFrame, logit_fn, beams: int, depth: int | None = None,
+              query: str = "query_id", eos: str = EOS) -> DataFrame:
+    """Constrained beam search until every beam has ended.
 
     ``logit_fn(query_col, prefix_col, token_col) -> Column`` gives the model score of a
     token after a prefix; each step normalises it by log-softmax over the whole
-    vocabulary (a bounded literal array, evaluated per beam row without a shuffle),
-    keeps allowed tokens only and sums the log-probs (length penalty 0).  Ties
-    break by the sequence text.  Each step keeps ``beams`` rows per query.
+    vocabulary, keeps allowed tokens only and sums the log-probs (length penalty 0).  EOS
+    is a scored step; a beam that has taken it is carried on unchanged.  Ties break by
+    the sequence text.  Each step keeps ``beams`` rows per query; the number of steps
+    follows from the prefix table (its deepest prefix and the EOS after it).
+
+    The vocabulary travels inside the plan as one row with one array and never reaches
+    the driver; the prefixes of a level join by equality, the single root row by a
+    one-row cross join.
     """
-    cur = queries.select(query).distinct().select(query, F.lit("").alias("prefix"), F.lit(0.0).alias("score"))
     # the prefix table is read at every step: materialise it once
     trie = cut_lineage(trie.select("depth", "prefix", "allowed"))
-    voc = F.array(*[F.lit(t) for t in vocab])
-    for d in range(depth):
-        lg = F.transform(voc, lambda t: logit_fn(F.col(query), F.col("prefix"), t))
-        norm = cur.withColumn("_lg", lg).withColumn("_mx", F.array_max("_lg")).select(
+    words = cut_lineage(vocab.agg(F.array_sort(F.collect_set("token")).alias("_voc")))
+    last = trie.agg(F.max("depth")).first()[0]
+    steps = (0 if last is None else last + 1) if depth is None else depth
+    cur = queries.select(query).distinct().select(query, F.lit("").alias("prefix"), F.lit(0.0).alias("score"), F.lit(False).alias("ended"))
+    for d in range(steps):
+        lg = F.transform("_voc", lambda t: logit_fn(F.col(query), F.col("prefix"), t))
+        norm = cur.filter(~F.col("ended")).crossJoin(F.broadcast(words)).withColumn("_lg", lg).withColumn("_mx", F.array_max("_lg")).select(
             query, "prefix", "score",
             (F.col("_mx") + F.log(F.aggregate("_lg", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_mx"))))).alias("_lse"))
-        lvl = trie.filter(F.col("depth") == d).select("prefix", F.explode("allowed").alias("token"))
-        cand = norm.join(lvl, "prefix").withColumn(
+        lvl = trie.filter(F.col("depth") == d)
+        # depth 0 has the one root prefix: its row goes to every query without an exchange on ""
+        at = norm.crossJoin(F.broadcast(lvl.select("allowed"))) if d == 0 else norm.join(lvl.select("prefix", "allowed"), "prefix")
+        cand = at.select(query, "prefix", "score", "_lse", F.explode("allowed").alias("token")).withColumn(
             "score", F.col("score") + logit_fn(F.col(query), F.col("prefix"), F.col("token")) - F.col("_lse"))
-        cand = cand.select(query, F.concat(F.col("prefix"), F.col("token")).alias("prefix"), "score")
+        cand = cand.select(query, F.concat(F.col("prefix"), F.col("token")).alias("prefix"), "score", (F.col("token") == eos).alias("ended"))
+        both = cand.unionByName(cur.filter("ended"))
         # per query at most beams x allowed rows: a bounded window
         w = Window.partitionBy(query).orderBy(F.desc("score"), F.asc("prefix"))
-        cur = cut_lineage(cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= beams).drop("_r"))
+        cur = cut_lineage(both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= beams).drop("_r"))
     w = Window.partitionBy(query).orderBy(F.desc("score"), F.asc("prefix"))
-    return cur.withColumn("beam_rank", F.row_number().over(w).cast("bigint"))
+    ranked = cur.withColumn("beam_rank", F.row_number().over(w).cast("bigint"))
+    return ranked.withColumn("prefix", F.when(F.col("ended"), F.expr(f"left(prefix, length(prefix) - {len(eos)})")).otherwise(F.col("prefix")))
 
 
 def token_logit(q: Column, prefix: Column, token: Column) -> Column:

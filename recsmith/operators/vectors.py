@@ -252,20 +252,20 @@ def rq_encode(df: DataFrame, codebook: DataFrame, vec: str = "embedding", keep_r
 def rq_decode(codes: DataFrame, codebook: DataFrame, key: str, codes_col: str = "codes") -> DataFrame:
     """reconstruction = sum over levels of the chosen codewords.
 
-    The codebook side is model-sized and broadcast; each row is rebuilt locally.
+    A lookup per row in Arrow batches with the size-checked broadcast codebook; no shuffle.
     """
-    codebook_matrices(codebook)  # size check of the model-sized side before it is broadcast
-    cb = F.broadcast(codebook.select(F.col("level").alias("_lvl"), F.col("code").alias("_code"), F.col("vector").alias("_cv")))
-    ex = codes.select(key, F.posexplode(codes_col).alias("_lvl", "_code"))
-    joined = ex.join(cb, ["_lvl", "_code"])
-    summed = joined.groupBy(key).agg(
-        F.aggregate(
-            F.collect_list("_cv"),
-            F.array_repeat(F.lit(0.0), F.size(F.first("_cv"))),
-            lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b.cast("double")),
-        ).alias("recon")
-    )
-    return summed
+    mats = codebook_matrices(codebook)
+    bc = codes.sparkSession.sparkContext.broadcast([mats[l] for l in sorted(mats)])
+    schema = T.StructType([codes.schema[key], T.StructField("recon", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        books = bc.value
+        for pdf in batches:
+            if len(pdf):
+                chosen = [np.asarray(c, dtype=np.int64) for c in pdf[codes_col]]
+                yield pdf[[key]].assign(recon=[sum(books[l][i] for l, i in enumerate(c[: len(books)])) for c in chosen])
+
+    return codes.select(key, codes_col).mapInPandas(run, schema)
 
 
 def recon_error(emb: DataFrame, recon: DataFrame, key: str, vec: str = "embedding", recon_col: str = "recon") -> DataFrame:

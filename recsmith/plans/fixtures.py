@@ -7,8 +7,9 @@ them, and has a DuckDB twin (``*_SQL`` / ``sql_*``) that the oracle queries use.
              time ``o_orderdate``; total order ``EVENT_KEY``.
 * items    : ``part``; title ``p_name``, description ``[p_type, p_brand]``.
 * vectors  : ``embeddings``; ``vec_id`` is the item id.
-* codebook : level 0 = vectors with ``vec_id < K``; level l = residuals (after
-             levels < l) of the rows ``vec_id in [l*K, (l+1)*K)``.
+* codebook : fitted level by level on all rows.  A level starts from the K rows with the
+             smallest seeded hash of their id and takes one Lloyd step over all rows
+             (each centre becomes the mean of its rows); the next level sees residuals.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
 from ..operators import vectors as V
+from ..session import cut_lineage
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -35,7 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_ctes(ctes: dict[str, str], final: str) -> str:
-    body = ",\n".join(f"{k} AS (\n{v}\n)" for k, v in ctes.items())
+    # the codebook is read many times over: computed once
+    kept = lambda k: " MATERIALIZED" if k.startswith(("cb", "emb_long", "codes")) else ""
+    body = ",\n".join(f"{k} AS{kept(k)} (\n{v}\n)" for k, v in ctes.items())
     return f"WITH {body}\n{final}"
 
 
@@ -104,33 +109,27 @@ _CODEBOOK_ROWS: dict = {}
 
 
 def codebook(spark: SparkSession, d: str, k: int = CODEBOOK_K, levels: int = CODEBOOK_LEVELS) -> DataFrame:
-    """Codebook fixture built level by level with the residual encoder.
+    """Codebook fixture: per level hash-spread seeds, one Lloyd step over all rows, residuals on.
 
     The result is model-sized (L x K rows); its rows are kept on the driver per
-    (session, folder, K, L) so one query plan does not derive it more than once.
+    (application, folder, K, L) so one query plan does not fit it more than once.
     """
-    memo_key = (id(spark.sparkContext), d, k, levels)
-    if memo_key in _CODEBOOK_ROWS:
-        rows, schema = _CODEBOOK_ROWS[memo_key]
-        return spark.createDataFrame(rows, schema)
-    vec = vectors(spark, d)
-    cb = vec.filter(F.col("item_id") < k).select(
-        F.lit(0).alias("level"), F.col("item_id").cast("int").alias("code"), F.col("embedding").alias("vector")
-    )
-    for lvl in range(1, levels):
-        rows = vec.filter((F.col("item_id") >= lvl * k) & (F.col("item_id") < (lvl + 1) * k))
-        enc = V.rq_encode(rows, cb, keep_residual=True)
-        nxt = enc.select(
-            F.lit(lvl).alias("level"), (F.col("item_id") - lvl * k).cast("int").alias("code"), F.col("residual").alias("vector")
-        )
-        cb = cb.unionByName(nxt)
-    # model-sized (L x K rows, checked): rebuild it from its rows so later plans
-    # do not re-derive every level
-    rows = cb.limit(levels * k + 1).collect()
-    if len(rows) > levels * k:
-        raise ValueError("codebook larger than L*K rows")
-    _CODEBOOK_ROWS[memo_key] = (rows, cb.schema)
-    return spark.createDataFrame(rows, cb.schema)
+    schema = "level int, code int, vector array<double>"
+    memo_key = (spark.sparkContext.applicationId, d, k, levels)
+    if memo_key not in _CODEBOOK_ROWS:
+        cur = vectors(spark, d).select("item_id", F.col("embedding").alias("_x"))
+        rows: list = []
+        for lvl in range(levels):
+            drawn = cur.withColumn("_h", X.portable_hash("item_id", seed=lvl)).orderBy("_h", "item_id").limit(k).select("_x").collect()
+            book = [(lvl, i, list(r[0])) for i, r in enumerate(drawn)]
+            near = V.assign(cur, spark.createDataFrame(book, schema), vec="_x", level=lvl)
+            means = {r["code"]: r["_m"] for r in V.mean_vector(near, "code", "_x", "_m").limit(k).collect()}  # K rows
+            book = [(lvl, i, means.get(i, v)) for _, i, v in book]
+            rows += book
+            level0 = spark.createDataFrame([(0, i, v) for _, i, v in book], schema)
+            cur = cut_lineage(V.rq_encode(cur, level0, vec="_x", keep_residual=True).select("item_id", F.col("residual").alias("_x")))
+        _CODEBOOK_ROWS[memo_key] = rows
+    return spark.createDataFrame(_CODEBOOK_ROWS[memo_key], schema)
 
 
 def codes(spark: SparkSession, d: str, k: int = CODEBOOK_K, levels: int = CODEBOOK_LEVELS) -> DataFrame:
@@ -160,16 +159,19 @@ FROM {x} x JOIN {name}_c b ON x.item_id = b.item_id JOIN {cb} c ON c.code = b.co
 
 
 def sql_codebook_ctes(k: int = CODEBOOK_K, levels: int = CODEBOOK_LEVELS) -> dict[str, str]:
-    """CTEs ``cb0..cb{L-1}(code, dim, v)``, ``cb_all(level, code, dim, v)``."""
+    """CTEs ``cb0..cb{L-1}(code, dim, v)``, ``cb_all(level, code, dim, v)``; ``cbr{l}_c`` are the
+    codes of all rows at level l and ``cbr{l}_r`` what is left of them."""
     ctes: dict[str, str] = {"emb_long": sql_emb_long()}
-    ctes["cb0"] = f"SELECT CAST(item_id AS INTEGER) AS code, dim, v FROM emb_long WHERE item_id < {k}"
-    for lvl in range(1, levels):
-        x = f"cbsrc{lvl}"
-        ctes[x] = f"SELECT * FROM emb_long WHERE item_id >= {lvl * k} AND item_id < {(lvl + 1) * k}"
-        cur = x
-        for j in range(lvl):
-            _, cur = _sql_assign(ctes, f"cbl{lvl}_{j}", cur, f"cb{j}")
-        ctes[f"cb{lvl}"] = f"SELECT CAST(item_id - {lvl * k} AS INTEGER) AS code, dim, v FROM {cur}"
+    cur = "emb_long"
+    for lvl in range(levels):
+        ctes[f"cbs{lvl}"] = f"""SELECT CAST(s.code AS INTEGER) AS code, x.dim, x.v FROM {cur} x JOIN (
+  SELECT vec_id, row_number() OVER (ORDER BY {X.portable_hash_sql('vec_id', seed=lvl)}, vec_id) - 1 AS code FROM embeddings) s
+ON s.vec_id = x.item_id WHERE s.code < {k}"""
+        near, _ = _sql_assign(ctes, f"cbn{lvl}", cur, f"cbs{lvl}")
+        ctes[f"cb{lvl}"] = f"""SELECT s.code, s.dim, coalesce(m.v, s.v) AS v FROM cbs{lvl} s LEFT JOIN (
+  SELECT b.code, x.dim, avg(x.v) AS v FROM {cur} x JOIN {near} b ON b.item_id = x.item_id GROUP BY b.code, x.dim) m
+ON m.code = s.code AND m.dim = s.dim"""
+        _, cur = _sql_assign(ctes, f"cbr{lvl}", cur, f"cb{lvl}")
     ctes["cb_all"] = " UNION ALL ".join(f"SELECT {l} AS level, code, dim, v FROM cb{l}" for l in range(levels))
     return ctes
 
@@ -177,13 +179,8 @@ def sql_codebook_ctes(k: int = CODEBOOK_K, levels: int = CODEBOOK_LEVELS) -> dic
 def sql_codes_ctes(k: int = CODEBOOK_K, levels: int = CODEBOOK_LEVELS) -> dict[str, str]:
     """Adds ``codes_long(item_id, level, code, dist)`` and ``codes(item_id, codes int[])`` (+ ``enc_res``)."""
     ctes = sql_codebook_ctes(k, levels)
-    cur = "emb_long"
-    parts = []
-    for lvl in range(levels):
-        c, cur = _sql_assign(ctes, f"enc{lvl}", cur, f"cb{lvl}")
-        parts.append(f"SELECT item_id, {lvl} AS level, code, dist FROM {c}")
-    ctes["enc_res"] = f"SELECT * FROM {cur}"
-    ctes["codes_long"] = " UNION ALL ".join(parts)
+    ctes["enc_res"] = f"SELECT * FROM cbr{levels - 1}_r"
+    ctes["codes_long"] = " UNION ALL ".join(f"SELECT item_id, {lvl} AS level, code, dist FROM cbr{lvl}_c" for lvl in range(levels))
     ctes["codes"] = """SELECT item_id, list(CAST(code AS INTEGER) ORDER BY level) AS codes
 FROM codes_long GROUP BY item_id"""
     return ctes
@@ -194,8 +191,6 @@ def sid_index(spark: SparkSession, d: str) -> DataFrame:
     """codes +1 (T2) -> collision suffix (D2) -> tokens (D1): ``item_id, codes, tokens``."""
     from ..operators import sid as D
 
-    from ..session import cut_lineage
-
     c = codes(spark, d).select("item_id", D.offset_codes("codes", 1).alias("codes"))
     dd = D.dedup_suffix(c, "codes", "item_id")
     # the index is read by several branches of one plan (maps, prefix tables,

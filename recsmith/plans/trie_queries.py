@@ -10,7 +10,7 @@ from . import fixtures as FX
 from .registry import register
 
 BEAMS = 5
-DEPTH = 3
+SQL_STEPS = 5  # three codes, a collision suffix and EOS
 
 
 def _trie_sql(src: str) -> dict:
@@ -82,34 +82,35 @@ def constrained_scores(spark, d):
     t = FX.eval_targets(spark, d, idx).join(idx.select(F.col("item_id").alias("target"), "tokens"), "target")
     q = t.select(F.col("user_id").alias("query_id"), F.lit(2).alias("depth"),
                  F.when(F.col("user_id") % 2 == 1, F.lit("<a_0><b_0>")).otherwise(F.array_join(F.slice("tokens", 1, 2), "")).alias("prefix"))
-    # vocabulary: L*K tokens + EOS, size-checked when collected
-    voc = spark.createDataFrame([(t,) for t in TR.vocabulary(idx)], "token string")
-    sc = q.crossJoin(F.broadcast(voc)).withColumn("logit", TR.token_logit(F.col("query_id"), F.col("prefix"), F.col("token")))
+    # the scores of a step: one row with the vocabulary as an array for all queries
+    voc = TR.vocabulary(idx).agg(F.collect_set("token").alias("_voc"))
+    sc = q.crossJoin(F.broadcast(voc)).withColumn("token", F.explode("_voc")).drop("_voc").withColumn("logit", TR.token_logit(F.col("query_id"), F.col("prefix"), F.col("token")))
     c = TR.constrain_scores(sc, trie, temperature=0.7)
     return c.select("query_id", "token", X.r6("logp").alias("logp"))
 
 
 def _beam_sql() -> str:
     ctes = {**FX.sql_candidate_ctes(n=1), **_trie_sql("sid_index"), "vocab": _VOCAB_SQL,
-            "b0": "SELECT user_id AS query_id, '' AS prefix, CAST(0.0 AS DOUBLE) AS score FROM et"}
-    for dpt in range(DEPTH):
-        ctes[f"c{dpt}"] = f"SELECT b.query_id, b.prefix, unnest(t.allowed) AS token, b.score FROM b{dpt} b JOIN trie t ON t.depth = {dpt} AND t.prefix = b.prefix"
-        ctes[f"f{dpt}"] = f"SELECT b.query_id, b.prefix, {TR.token_logit_sql('b.query_id', 'b.prefix', 'v.token')} AS lg FROM b{dpt} b, vocab v"
+            "b0": "SELECT user_id AS query_id, '' AS prefix, CAST(0.0 AS DOUBLE) AS score, false AS ended FROM et"}
+    for dpt in range(SQL_STEPS):
+        ctes[f"c{dpt}"] = f"SELECT b.query_id, b.prefix, unnest(t.allowed) AS token, b.score FROM b{dpt} b JOIN trie t ON t.depth = {dpt} AND t.prefix = b.prefix WHERE NOT b.ended"
+        ctes[f"f{dpt}"] = f"SELECT b.query_id, b.prefix, {TR.token_logit_sql('b.query_id', 'b.prefix', 'v.token')} AS lg FROM b{dpt} b, vocab v WHERE NOT b.ended"
         ctes[f"l{dpt}"] = f"""SELECT query_id, prefix, mx + ln(sum(exp(lg - mx))) AS lse FROM (
   SELECT *, max(lg) OVER (PARTITION BY query_id, prefix) AS mx FROM f{dpt}) GROUP BY query_id, prefix, mx"""
         ctes[f"n{dpt}"] = f"""SELECT c.query_id, c.prefix || c.token AS prefix,
-       c.score + {TR.token_logit_sql('c.query_id', 'c.prefix', 'c.token')} - l.lse AS score
-FROM c{dpt} c JOIN l{dpt} l ON l.query_id = c.query_id AND l.prefix = c.prefix"""
+       c.score + {TR.token_logit_sql('c.query_id', 'c.prefix', 'c.token')} - l.lse AS score, c.token = '</s>' AS ended
+FROM c{dpt} c JOIN l{dpt} l ON l.query_id = c.query_id AND l.prefix = c.prefix
+UNION ALL SELECT query_id, prefix, score, ended FROM b{dpt} WHERE ended"""
         ctes[f"b{dpt + 1}"] = f"SELECT * FROM n{dpt} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prefix) <= {BEAMS}"
     return FX.with_ctes(ctes, f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prefix) AS BIGINT) AS beam_rank,
-       prefix AS sid, round(score, 6) AS score FROM b{DEPTH}""")
+       replace(prefix, '</s>', '') AS sid, round(score, 6) AS score FROM b{SQL_STEPS}""")
 
 
 @register("beam_top5", _beam_sql())
 def beam_top5(spark, d):
-    """Constrained beam search (5 beams, 3 steps) per evaluation user."""
+    """Constrained beam search (5 beams, to the end of every SID) per evaluation user."""
     idx = FX.sid_index(spark, d)
     trie = TR.build_trie(idx, "tokens")
     q = FX.eval_targets(spark, d, idx).select(F.col("user_id").alias("query_id"))
-    b = TR.beam_topk(q, trie, TR.vocabulary(idx), TR.token_logit, BEAMS, DEPTH)
+    b = TR.beam_topk(q, trie, TR.vocabulary(idx), TR.token_logit, BEAMS)
     return b.select("query_id", "beam_rank", F.col("prefix").alias("sid"), X.r6("score").alias("score"))

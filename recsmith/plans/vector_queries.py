@@ -87,14 +87,14 @@ def vector_sq_l2_pairs(spark, d):
     return _pairs(spark, d).select("item_id", X.r6(V.sq_l2("embedding", "next_embedding")).alias("sq_l2"))
 
 
-@register("nearest_codeword", FX.with_ctes(FX.sql_codes_ctes(), "SELECT item_id, CAST(code AS INTEGER) AS code, round(dist, 6) AS dist FROM enc0_c"))
+@register("nearest_codeword", FX.with_ctes(FX.sql_codes_ctes(), "SELECT item_id, CAST(code AS INTEGER) AS code, round(dist, 6) AS dist FROM cbr0_c"))
 def nearest_codeword(spark, d):
     """Nearest level-0 codeword of every vector (Arrow matmul, broadcast codebook)."""
     a = V.assign(FX.vectors(spark, d).select("item_id", "embedding"), FX.codebook(spark, d), level=0)
     return a.select("item_id", "code", X.r6("dist").alias("dist"))
 
 
-@register("nearest_codeword_relational", FX.with_ctes(FX.sql_codes_ctes(), "SELECT item_id, CAST(code AS INTEGER) AS code, round(dist, 6) AS dist FROM enc0_c"))
+@register("nearest_codeword_relational", FX.with_ctes(FX.sql_codes_ctes(), "SELECT item_id, CAST(code AS INTEGER) AS code, round(dist, 6) AS dist FROM cbr0_c"))
 def nearest_codeword_relational(spark, d):
     """C7 relational form: broadcast cross join with a bounded codebook + min(struct)."""
     a = V.assign_relational(FX.vectors(spark, d), FX.codebook(spark, d), "item_id", level=0)

@@ -4,39 +4,29 @@ The ordinal is the 0-based position of a row in a *total* order.  It is computed
 without a single-partition window: the frame is range-partitioned on the order
 columns (a hot key is split across ranges), each range is sorted locally, the
 per-range counts (one row per partition) give the offsets, and the offset is
-added to the local index.  Only ``num_partitions`` small rows reach the driver.
+added to the local index.  The ranges are checkpointed before they are read twice, so
+rows and offsets stay together when an executor is lost.  Only ``num_partitions`` small rows reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-_PERSISTED: list = []
-
-
-def release_persisted() -> None:
-    """Unpersist the range-sorted frames kept by ``with_ordinal`` (call once their
-    consumers have run, e.g. between independent jobs of a long session)."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
+from ..session import cut_lineage
 
 
 def with_ordinal(df: DataFrame, order_cols, name: str = "ord", num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    local = (
+    local = cut_lineage(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         # monotonically_increasing_id = (partition << 33) + index inside the sorted partition
         .withColumn("_lidx", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    _PERSISTED.append(local)
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the partition count, safe to broadcast
@@ -85,14 +75,12 @@ def group_row_number(df: DataFrame, keys, order_cols, name: str = "rn", with_cou
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) for c in keys + list(order_cols)]
-    local = (
+    local = cut_lineage(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_lidx", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    _PERSISTED.append(local)
     parts = local.groupBy("_pid", *keys).agg(F.min("_lidx").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*keys).orderBy("_pid")
     parts = parts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,46 +18,74 @@ from pyspark.sql import types as T
 from ..functions.text import literal_list
 
 
-def read_inter(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """A1: TSV ``user \\t space-separated history \\t target``; header skipped, lines
-    without exactly 3 fields dropped; ``line_no`` is the 0-based data line."""
-    raw = spark.read.text(path).withColumn("_f", F.input_file_name())
-    raw = raw.withColumn("_id", F.monotonically_increasing_id())
+def read_inter(spark: SparkSession, path: str, split: str, bad: bool = False) -> DataFrame:
+    """A1: TSV ``user \\t space-separated history \\t target``; each file's header is skipped, lines
+    without exactly 3 fields are dropped; ``line_no`` is the 0-based data line over all files.
+
+    Ids that are no numbers become null; with ``bad`` a column ``_bad`` marks such rows,
+    without it they are dropped.
+    """
     from .ordinal import with_ordinal
 
-    o = with_ordinal(raw, ["_f", "_id"], "_ln")
-    parts = F.split(F.col("value"), "\t")
-    d = o.filter((F.col("_ln") > 0) & (F.trim("value") != "")).withColumn("_p", parts).filter(F.size("_p") == 3)
-    hist = F.filter(F.split(F.trim(F.col("_p")[1]), " "), lambda x: x != "")
-    return d.select(
-        F.lit(split).alias("split"), (F.col("_ln") - 1).alias("line_no"), F.col("_p")[0].alias("user_id"),
-        F.transform(hist, lambda x: x.cast("bigint")).alias("history"), F.trim(F.col("_p")[2]).cast("bigint").alias("target"),
-    )
+    # Spark's own CSV reader drops the header of every file
+    raw = spark.read.csv(path, sep="\t", header=True, quote="", escape="", schema="_u string, _h string, _t string",
+                         enforceSchema=True, mode="DROPMALFORMED", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    d = raw.withColumn("_f", F.input_file_name()).withColumn("_id", F.monotonically_increasing_id())
+    d = with_ordinal(d, ["_f", "_id"], "line_no").filter(F.col("_t").isNotNull())
+    hist = F.filter(F.split(F.trim(F.coalesce("_h", F.lit(""))), " "), lambda x: x != "")
+    d = d.select(
+        F.lit(split).alias("split"), "line_no", F.col("_u").alias("user_id"),
+        F.transform(hist, lambda x: x.try_cast("bigint")).alias("history"), F.trim("_t").try_cast("bigint").alias("target"),
+    ).withColumn("_bad", F.col("target").isNull() | F.exists("history", lambda x: x.isNull()))
+    return d if bad else d.filter(~F.col("_bad")).drop("_bad")
 
 
 def _read_keyed_json(spark: SparkSession, path: str, value_type: str) -> DataFrame:
+    """``ord, key, value`` of keyed JSON objects, one per file; a file that does not parse is an error."""
     whole = spark.read.text(path, wholetext=True)
     m = F.from_json("value", f"map<string,{value_type}>")
-    return whole.select(F.posexplode(F.map_entries(m)).alias("ord", "e")).select("ord", "e.key", "e.value")
+    broken = F.raise_error(F.concat(F.lit("not a keyed JSON object: "), F.input_file_name())).cast(f"map<string,{value_type}>")
+    whole = whole.select(F.coalesce(m, broken).alias("m"))
+    return whole.select(F.posexplode(F.map_entries("m")).alias("ord", "e")).select("ord", "e.key", "e.value")
+
+
+def _is_lines(spark: SparkSession, path: str) -> bool:
+    """JSON lines or one keyed object: lines are objects that hold ``item_id`` (first data line)."""
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    return bool(first) and spark.range(1).select(F.get_json_object(F.lit(first[0]["value"]), "$.item_id").isNotNull()).first()[0]
+
 
+ITEM_STRUCT = ("struct<title:string,description:string,item_type:string,final_value:double,"
+               "category:string,brand:string,main_cat:string>")
 
-ITEM_STRUCT = "struct<title:string,description:string,item_type:string,final_value:double>"
+
+def _item_columns(get) -> list:
+    """The item fields in order; ``description_list`` has a list description as a list."""
+    return [get("title").alias("title"), get("description").alias("description_raw"),
+            F.from_json(get("description"), "array<string>").alias("description_list"),
+            F.coalesce(get("item_type"), F.lit("O")).alias("item_type"),
+            F.coalesce(get("final_value"), F.lit(0.0)).alias("final_value"),
+            get("category").alias("category"), get("brand").alias("brand"), get("main_cat").alias("main_cat")]
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """A2: keyed item JSON -> rows in key order (``item_ord``); ``item_type`` defaults
-    to 'O' and ``final_value`` to 0.0."""
+    """A2: keyed item JSON -> rows in key order (``item_ord``) with all fields the feature presets
+    name; ``item_type`` defaults to 'O' and ``final_value`` to 0.0."""
     r = _read_keyed_json(spark, path, ITEM_STRUCT)
-    return r.select(F.col("key").alias("item_id"), F.col("ord").cast("bigint").alias("item_ord"), F.col("value.title").alias("title"),
-                    F.col("value.description").alias("description_raw"),
-                    F.coalesce(F.col("value.item_type"), F.lit("O")).alias("item_type"),
-                    F.coalesce(F.col("value.final_value"), F.lit(0.0)).alias("final_value"))
+    return r.select(F.col("key").alias("item_id"), F.col("ord").cast("bigint").alias("item_ord"), *_item_columns(lambda n: F.col(f"value.{n}")))
 
 
 def read_sid_index(spark: SparkSession, path: str) -> DataFrame:
-    """A3: keyed SID index JSON ``{id: [tokens]}``."""
-    r = _read_keyed_json(spark, path, "array<string>")
-    return r.select(F.col("key").alias("item_id"), F.col("ord").cast("bigint").alias("idx_ord"), F.col("value").alias("tokens"))
+    """A3: SID index, keyed JSON ``{id: [tokens]}`` or JSON lines ``{item_id, tokens}`` (what
+    ``write_sid_index`` writes, read by many tasks)."""
+    if not _is_lines(spark, path):
+        r = _read_keyed_json(spark, path, "array<string>")
+        return r.select(F.col("key").alias("item_id"), F.col("ord").cast("bigint").alias("idx_ord"), F.col("value").alias("tokens"))
+    from .ordinal import with_ordinal
+
+    raw = spark.read.schema("item_id string, tokens array<string>").option("mode", "FAILFAST").json(path)
+    raw = raw.withColumn("_f", F.input_file_name()).withColumn("_id", F.monotonically_increasing_id())
+    return with_ordinal(raw, ["_f", "_id"], "idx_ord").select("item_id", "idx_ord", "tokens")
 
 
 def parse_list_literal(col) -> F.Column:
@@ -133,11 +162,11 @@ def read_items_jsonl(spark: SparkSession, path: str) -> DataFrame:
     splittable, so the catalogue is read by many tasks.  ``item_ord`` is the line ordinal."""
     from .ordinal import with_ordinal
 
-    schema = "item_id string, title string, description string, item_type string, final_value double"
+    schema = ("item_id string, title string, description string, item_type string, final_value double, "
+              "category string, brand string, main_cat string")
     raw = spark.read.schema(schema).json(path).withColumn("_f", F.input_file_name()).withColumn("_id", F.monotonically_increasing_id())
     o = with_ordinal(raw, ["_f", "_id"], "item_ord")
-    return o.select("item_id", "item_ord", "title", F.col("description").alias("description_raw"),
-                    F.coalesce("item_type", F.lit("O")).alias("item_type"), F.coalesce("final_value", F.lit(0.0)).alias("final_value"))
+    return o.select("item_id", "item_ord", *_item_columns(F.col))
 
 
 PREF_STRUCT = ("struct<user:string, user_preference:string, split:string, "
@@ -159,16 +188,16 @@ def read_preferences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str, run: str) -> DataFrame:
-    """Prediction JSON array; ``output`` may be a string or a list (first element)."""
-    df = spark.read.json(path, multiLine=True, primitivesAsString=False)
-    out = F.col("output")
-    if isinstance(df.schema["output"].dataType, T.ArrayType):
-        out = F.element_at(out, 1)
+    """Prediction JSON array; ``output`` may be a string or a list (its first element), also mixed in one file."""
     from .ordinal import with_ordinal
 
-    d = df.withColumn("_id", F.monotonically_increasing_id())
-    d = with_ordinal(d, ["_id"], "row_id")
-    return d.select(F.lit(run).alias("run"), "row_id", out.cast("string").alias("output"), F.col("predict").cast("array<string>").alias("predict"))
+    # mixed kinds are read as text, a list then as its JSON
+    df = spark.read.schema("output string, predict array<string>").json(path, multiLine=True)
+    as_list = F.when(F.ltrim("output").startswith("["), F.from_json("output", "array<string>"))
+    d = df.withColumn("_f", F.input_file_name()).withColumn("_id", F.monotonically_increasing_id())
+    d = with_ordinal(d, ["_f", "_id"], "row_id")
+    out = F.when(F.size(as_list) > 0, F.try_element_at(as_list, F.lit(1))).otherwise(F.col("output"))
+    return d.select(F.lit(run).alias("run"), "row_id", out.alias("output"), "predict")
 
 
 def read_info(spark: SparkSession, path: str) -> DataFrame:
@@ -182,18 +211,24 @@ def read_info(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_user_features(spark: SparkSession, path: str | None) -> DataFrame:
-    """``{user_id: token}`` map; a missing file gives an empty frame."""
+    """``{user_id: token}`` map; a missing file gives an empty frame, a broken one is an error."""
     schema = "user_id string, u_token string"
-    if not path:
-        return spark.createDataFrame([], schema)
-    try:
-        r = _read_keyed_json(spark, path, "string")
-        r.limit(1).collect()
-    except Exception:  # noqa: BLE001 - missing path
+    if not path or not _exists(spark, path):
         return spark.createDataFrame([], schema)
+    r = _read_keyed_json(spark, path, "string")
     return r.select(F.col("key").alias("user_id"), F.col("value").alias("u_token"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)  # resolves the path on whatever file system it names; reads nothing
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metric JSON ``[{name, step?, ndcg: {k: v}, recall: {k: v}}, ...]`` -> long rows."""
     df = spark.read.json(path, multiLine=True)
@@ -212,14 +247,22 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def resolve_split(paths: DataFrame, name: str, ext: str, path_col: str = "path") -> DataFrame:
-    """Exactly one file per split whose name holds the dataset name; anything
-    else is reported in ``problem``."""
+def resolve_split(paths: DataFrame, name: str, ext: str, path_col: str = "path", splits=("train", "valid", "test"),
+                  fail: bool = False) -> DataFrame:
+    """Exactly one file per split whose name holds the dataset name.
+
+    A row for each of ``splits``; none or several files are reported in ``problem``, and with
+    ``fail`` they are an error.
+    """
     f = paths.filter(F.col(path_col).contains(name) & F.col(path_col).endswith(ext))
     split = F.regexp_extract(path_col, r"(train|valid|test)", 1)
-    g = f.withColumn("split", split).filter(F.col("split") != "").groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_files"), F.min(path_col).alias("path"))
-    return g.withColumn("problem", F.when(F.col("n_files") != 1, F.lit("expected exactly one file")))
+    g = f.withColumn("split", split).groupBy("split").agg(F.count(F.lit(1)).alias("n_files"), F.min(path_col).alias("path"))
+    wanted = paths.sparkSession.createDataFrame([(x,) for x in splits], "split string")
+    out = wanted.join(g, "split", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    out = out.withColumn("problem", F.when(F.col("n_files") != 1, F.lit("expected exactly one file")))
+    if fail and (wrong := [r["split"] for r in out.filter("problem is not null").collect()]):
+        raise FileNotFoundError(f"expected exactly one file for: {', '.join(sorted(wrong))}")
+    return out
 
 
 def write_sequences(df: DataFrame, path: str) -> None:

@@ -76,3 +76,42 @@ def test_example_options(spark):
     rows = EX.fusion_examples(seq, maps, "description", dedup=True).collect()
     assert [(r.example_id, r.completion) for r in rows] == [(0, "long 1\n")]
     assert EX.sid_examples(seq, instruction=True).orderBy("example_id").collect()[1]["history_key"] == "s1, s2"
+
+
+def test_beams_end_in_full_identifiers(spark):
+    from recsmith.operators import trie as TR
+
+    index = spark.createDataFrame([(1, ["<a_1>", "<b_1>", "<c_1>"]), (2, ["<a_1>", "<b_1>", "<c_1>", "<d_2>"]), (3, ["<a_2>", "<b_1>", "<c_3>"])], "item_id int, tokens array<string>")
+    queries = spark.createDataFrame([(1,), (2,)], "query_id int")
+    trie, voc = TR.build_trie(index), TR.vocabulary(index)
+    got = TR.beam_topk(queries, trie, voc, TR.token_logit, beams=5).collect()
+    full = {"<a_1><b_1><c_1>", "<a_1><b_1><c_1><d_2>", "<a_2><b_1><c_3>"}
+    for q in (1, 2):
+        assert sorted(r.prefix for r in got if r.query_id == q) == sorted(full)
+        assert [r.score for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.beam_rank)] == sorted((r.score for r in got if r.query_id == q), reverse=True)
+    assert TR.beam_topk(queries, trie, voc, TR.token_logit, beams=5, depth=7).count() == 6  # steps beyond the end change nothing
+    none = TR.beam_topk(queries, TR.build_trie(index.limit(0)), TR.vocabulary(index.limit(0)), TR.token_logit, beams=5).collect()
+    assert {r.prefix for r in none} == {""}
+
+
+def test_beam_query_returns_identifiers_of_the_index(spark):
+    from recsmith.plans import fixtures as FX
+    from recsmith.plans import trie_queries as TQ
+
+    from .conftest import SF001
+
+    known = {r.sid for r in FX.sid_map(spark, SF001).collect()}
+    rows = TQ.beam_top5(spark, SF001).collect()
+    assert rows and {r.sid for r in rows} <= known
+
+
+def test_ordinals_do_not_depend_on_partitions_and_keep_no_cache(spark):
+    from recsmith.sources import ordinal as O
+
+    df = spark.range(0, 500).selectExpr("id % 7 as g", "id")
+    a = {(r.g, r.id): r.ord for r in O.with_ordinal(df, ["g", "id"], "ord", 3).collect()}
+    assert a == {(r.g, r.id): r.ord for r in O.with_ordinal(df.repartition(9), ["g", "id"], "ord", 11).collect()}
+    assert sorted(a.values()) == list(range(500))
+    n = O.group_row_number(df, "g", ["id"], num_partitions=5)
+    assert {(r.g, r.id): r.rn for r in n.collect()} == {(i % 7, i): i // 7 + 1 for i in range(500)}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recsmith.sources import readers as RD
@@ -140,3 +141,46 @@ def test_sid_index_object_round_trip(spark, tmp_path):
     assert back.count() == idx.count()
     j = back.join(idx.select(F.col("item_id").cast("string").alias("item_id"), F.col("tokens").alias("t0")), "item_id")
     assert j.filter(F.col("tokens") != F.col("t0")).count() == 0
+
+
+def test_inter_headers_of_every_file_and_bad_ids(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"part{k}.inter").write_text(f"user_id:token\titem_id_list:token_seq\titem_id:token\nu{k}\t1 2\t3\nv{k}\t1 x\t3\nw{k}\t\ty\n")
+    assert sorted((r.user_id, r.target) for r in RD.read_inter(spark, str(tmp_path), "train").collect()) == [("u0", 3), ("u1", 3)]
+    rows = {r.user_id: r for r in RD.read_inter(spark, str(tmp_path), "train", bad=True).collect()}
+    assert len(rows) == 6 and rows["v0"]._bad and rows["w1"]._bad and rows["w1"].history == [] and not rows["u0"]._bad
+
+
+def test_index_round_trip_through_json_lines(spark, tmp_path):
+    df = spark.createDataFrame([("7", ["<a_1>", "<b_2>"]), ("8", ["<a_1>"])], "item_id string, tokens array<string>")
+    RD.write_sid_index(df, str(tmp_path / "lines"))
+    assert sorted((r.item_id, r.tokens) for r in RD.read_sid_index(spark, str(tmp_path / "lines")).collect()) == [("7", ["<a_1>", "<b_2>"]), ("8", ["<a_1>"])]
+
+
+def test_predictions_with_mixed_outputs(spark, tmp_path):
+    p = tmp_path / "p.json"
+    p.write_text(json.dumps([{"output": "a", "predict": ["x"]}, {"output": ["b", "c"], "predict": []}, {"output": "[not a list", "predict": []}]))
+    assert [r.output for r in RD.read_predictions(spark, str(p), "r").orderBy("row_id").collect()] == ["a", "b", "[not a list"]
+
+
+def test_broken_keyed_json_is_an_error(spark, tmp_path):
+    p = tmp_path / "broken.json"
+    p.write_text('{"1": {"title": "a"')
+    for read in (RD.read_items, RD.read_user_features, RD.read_sid_index):
+        with pytest.raises(Exception, match="not a keyed JSON object"):
+            read(spark, str(p)).collect()
+
+
+def test_all_item_fields(spark, tmp_path):
+    p = tmp_path / "items.json"
+    p.write_text(json.dumps({"1": {"title": "t", "description": ["a", "b"], "category": "c", "brand": "b", "main_cat": "m"}}))
+    r = RD.read_items(spark, str(p)).first()
+    assert (r.category, r.brand, r.main_cat, r.description_list) == ("c", "b", "m", ["a", "b"])
+
+
+def test_resolve_split_reports_and_fails(spark):
+    paths = spark.createDataFrame([("d/Office.train.inter",), ("d/Office.valid.inter",), ("e/Office.valid.inter",)], "path string")
+    got = {r.split: (r.n_files, r.problem is None) for r in RD.resolve_split(paths, "Office", ".inter").collect()}
+    assert got == {"train": (1, True), "valid": (2, False), "test": (0, False)}
+    with pytest.raises(FileNotFoundError, match="test, valid"):
+        RD.resolve_split(paths, "Office", ".inter", fail=True)
