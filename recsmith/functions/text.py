@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 
 from . import expr as X
 
-TAG_RE = r"</?\w+[^>]*>"
-MAX_TEXT_LEN = 2000
 
 # ---- fixed values (must equal the reference's for equal output) -------------
+# a tag: Python's word characters are Unicode letters, digits and the underscore
+TAG_RE = r"</?[\p{L}\p{N}_]+[^>]*>"
+MAX_TEXT_LEN = 2000
+
 FEATURE_SETS = {
     "amazon_text_feature1": ["title", "category", "brand"],
     "amazon_text_feature1_ro1": ["brand", "main_cat", "category", "title"],
@@ -117,7 +119,8 @@ def _dots(c: Column) -> Column:
 
 
 def _blank_long(c: Column) -> Column:
-    return F.when(F.length(c) >= MAX_TEXT_LEN, F.lit("")).otherwise(c)
+    # as a replacement: a CASE over the length would evaluate the whole chain twice
+    return F.regexp_replace(c, rf"(?s)\A.{{{MAX_TEXT_LEN},}}\z", "")
 
 
 def _clean_core(c: Column, unescape: bool) -> Column:

@@ -46,6 +46,20 @@ def ndcg_rule_reward(df: DataFrame, g: int, group: str = "group_id", pos: str =
         name, F.when(F.col("_any") == 0, 0.0).when(F.col("_hit") == 1, 0.0).otherwise(w)).drop("_hit", "_any")
 
 
+def resolve_completions(df: DataFrame, items: DataFrame, n_items: int, keys, completion: str = "completion",
+                        item_text: str = "sid", seed: int = 0) -> DataFrame:
+    """H3/H4: the item a completion names, after ``strip('"\\n')``.
+
+    Adds ``item_id`` (null when the text names none), ``is_unknown`` and ``picked_id``: the item,
+    or for an unknown text a seeded uniform pick in ``[0, n_items)`` by ``keys``.  ``items`` has
+    ``item_id`` and its text; of items that share a text the last (largest id) counts.
+    """
+    named = items.groupBy(F.col(item_text).alias("_text")).agg(F.max("item_id").alias("item_id"))
+    out = df.withColumn("_text", X.strip_chars(completion, '\n"')).join(named, "_text", "left").drop("_text")
+    pick = F.pmod(X.portable_hash(*keys, seed=seed), F.lit(n_items)).cast("bigint")
+    return out.withColumn("is_unknown", F.col("item_id").isNull()).withColumn("picked_id", F.coalesce("item_id", pick))
+
+
 def semantic_reward(df: DataFrame, vectors: DataFrame, pred_item: str, target_item: str, name: str = "semantic_reward") -> DataFrame:
     """H3: cosine of target and predicted item vectors; unknown completion -> NULL."""
     p = vectors.select(F.col("item_id").alias(pred_item), F.col("embedding").alias("_pv"))

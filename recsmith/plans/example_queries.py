@@ -68,6 +68,17 @@ def history_to_target_table(spark, d):
     return h2t
 
 
+@register("prompt_to_history_table", FX.with_ctes(_SEQ_ROWS, f"""SELECT prompt, arg_max(history_key, (set_order, example_id)) AS history_key FROM (
+  SELECT 0 AS set_order, example_id, prompt, history_key FROM ({_examples_sql('sid_history_to_sid', False)})
+  UNION ALL SELECT 1 AS set_order, example_id, prompt, history_key FROM ({_examples_sql('sid_instruction', True)})) GROUP BY prompt"""))
+def prompt_to_history_table(spark, d):
+    """prompt -> history key over two example sets, last write wins in load order."""
+    s = _seq_rows(spark, d)
+    a = EX.sid_examples(s).withColumn("set_order", F.lit(0))
+    b = EX.sid_examples(s, family="sid_instruction", instruction=True).withColumn("set_order", F.lit(1))
+    return EX.lookup_tables(a.unionByName(b))[0]
+
+
 def _token_rows(spark, d):
     i = inter(spark, d)
     idx = FX.sid_index(spark, d).select("item_id", "codes")

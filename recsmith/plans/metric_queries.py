@@ -133,14 +133,15 @@ def behavior_metrics(spark, d):
 
 
 _GROUP_CTES = {**FX.sql_candidate_ctes(n=FX.COMPLETION_G),
-               "np": f"SELECT user_id, pos, {PRED_NORM_SQL} AS npred, {TARGET_NORM_SQL} AS ntarget FROM preds",
+               "np": "SELECT user_id, pos, trim(pred, '\"' || chr(10)) AS npred, trim(output, '\"' || chr(10)) AS ntarget FROM preds",
                "rk": "SELECT user_id, coalesce(min(pos + 1) FILTER (WHERE npred = ntarget), 0) AS rk FROM np GROUP BY user_id"}
 
 
 @register("group_rank_metrics", FX.with_ctes(_GROUP_CTES, _metric_sql("rk", R.TRAINING_KS)))
 def group_rank_metrics(spark, d):
     """In-training HR/NDCG at 3,5,10,20 over groups of 16 completions (one row per group)."""
-    c = _norm_preds(spark, d, n=FX.COMPLETION_G)
+    c = FX.candidates(spark, d, n=FX.COMPLETION_G).withColumn("npred", X.strip_chars("pred", '"\n')).withColumn(
+        "ntarget", X.strip_chars("output", '"\n'))
     g = c.groupBy("user_id").agg(F.coalesce(F.min(F.when(F.col("npred") == F.col("ntarget"), F.col("pos") + 1)), F.lit(0)).alias("rank"))
     return R.rank_metrics(g, "rank", R.TRAINING_KS)
 
@@ -177,6 +178,12 @@ def best_run(spark, d):
     return RP.best_run(run_metrics_df(spark, d), "ndcg", 10)
 
 
+@register("latest_run", FX.with_ctes(_RUNS_CTES, "SELECT DISTINCT run, step FROM metrics ORDER BY step DESC, run DESC LIMIT 1"))
+def latest_run(spark, d):
+    """G7 by step: the run with the highest step."""
+    return RP.best_run(run_metrics_df(spark, d), "step")
+
+
 @register("compare_runs", FX.with_ctes(_RUNS_CTES, """SELECT a.metric, a.k, a.value AS base, b.value AS new, round(b.value - a.value, 6) AS delta,
        round(CASE WHEN a.value = 0 THEN 0.0 ELSE (b.value - a.value) / a.value * 100.0 END, 6) AS pct
 FROM metrics a JOIN metrics b ON a.metric = b.metric AND a.k = b.k WHERE a.run = 'run_0' AND b.run = 'run_1'"""))

@@ -99,3 +99,20 @@ def best_codebook_run(spark, d):
         r = coll.crossJoin(loss).select(F.lit(f"k{k}").alias("run"), "collision_rate", X.r6("loss").alias("loss"))
         rows = r if rows is None else rows.unionByName(r)
     return D.best_codebook(rows)
+
+
+def _sinkhorn_sql(rounds: int, eps: float = 0.003) -> str:
+    ctes = {**FX.sql_codebook_ctes(levels=1),
+            "sd": "SELECT x.item_id, c.code, sum((x.v - c.v) * (x.v - c.v)) AS d FROM emb_long x JOIN cb0 c ON c.dim = x.dim GROUP BY x.item_id, c.code",
+            "sm": "SELECT (max(d) + min(d)) / 2 AS mid, max(d) AS hi FROM sd",
+            "q0": f"SELECT item_id, code, exp(-((d - mid) / (hi - mid + 1e-5)) / {eps}) AS q FROM sd, sm"}
+    for i in range(rounds):
+        ctes[f"r{i}"] = f"SELECT item_id, code, q / sum(q) OVER (PARTITION BY item_id) AS q FROM q{i}"
+        ctes[f"q{i + 1}"] = f"SELECT item_id, code, q / sum(q) OVER (PARTITION BY code) AS q FROM r{i}"
+    return FX.with_ctes(ctes, f"SELECT item_id, CAST(arg_min(code, (-q, code)) AS INTEGER) AS code FROM q{rounds} GROUP BY item_id")
+
+
+@register("sinkhorn_two_rounds", _sinkhorn_sql(2))
+def sinkhorn_two_rounds(spark, d):
+    """C18 after two rounds (what SQL can follow step by step)."""
+    return Q.sinkhorn_assign(FX.vectors(spark, d).select("item_id", "embedding"), FX.codebook(spark, d, levels=1), eps=0.003, iters=2)

@@ -243,3 +243,16 @@ def dro_loss(spark, d):
     prop = S.propensity(None, FX.table(spark, d, "part").select(F.col("p_partkey").alias("item_id")), counts=counts)
     t = c.filter(F.col("pos") == 0).select(F.col("user_id").alias("query_id"), F.col("target").alias("item_id"))
     return H.dro_loss(scores, prop, t, beta=1.0).select(X.r6("dro_loss").alias("dro_loss"))
+
+
+@register("completion_items", FX.with_ctes({**_C,
+    "nm": "SELECT sid_full, max(item_id) AS item_id FROM sid_map GROUP BY sid_full",
+    "tx": f"SELECT comp.*, {X.strip_chars_sql('completion', STRIP2)} AS t FROM comp"},
+    f"""SELECT user_id, pos, nm.item_id, CAST(nm.item_id IS NULL AS BIGINT) AS is_unknown,
+       CAST(coalesce(nm.item_id, {X.portable_hash_sql('user_id', 'pos', seed=42)} % ni.n_items) AS BIGINT) AS picked_id
+FROM tx LEFT JOIN nm ON nm.sid_full = tx.t, ni"""))
+def completion_items(spark, d):
+    """H3/H4: items named by completion texts, unknown flag and the pick for unknown ones."""
+    n = FX.table(spark, d, "part").count()  # one scalar
+    r = H.resolve_completions(completions(spark, d).select("user_id", "pos", "completion"), FX.sid_map(spark, d), n, ["user_id", "pos"], seed=42)
+    return r.select("user_id", "pos", "item_id", F.col("is_unknown").cast("bigint").alias("is_unknown"), "picked_id")

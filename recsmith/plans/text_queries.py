@@ -11,7 +11,7 @@ from ..functions import text as TX
 from . import fixtures as FX
 from .registry import register
 
-TAG_SQL = "'</?\\w+[^>]*>'"
+TAG_SQL = "'</?[\\p{L}\\p{N}_]+[^>]*>'"
 
 
 def _clean_sql(e: str) -> str:
