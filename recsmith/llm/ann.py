@@ -16,6 +16,8 @@ MAX_FIT_ROWS = 20_000
 #: Vectors of a list on average, and lists at most.
 LIST_ROWS = 256
 MAX_LISTS = 4_096
+#: Lists that a query searches at most unless a fifth of all lists is more.
+MIN_PROBES = 96
 #: A task compares at most about so many vectors of a list with so many queries.
 SHARD_ROWS = 4_096
 QUERY_BLOCK = 4_096
@@ -179,14 +181,15 @@ def _nearest(k: int):
 
 
 def nearest_neighbours(
-    df: DataFrame, queries: Column, k: int = 5, replicas: int = 4, replica_ratio: float = 1.25, probes: int = 96, probe_ratio: float = 1.3,
+    df: DataFrame, queries: Column, k: int = 5, replicas: int = 4, replica_ratio: float = 1.25, probes: int | None = None, probe_ratio: float = 1.3,
     id_col: str = "vec_id", vector_col: str = "embedding", **fit_options,
 ) -> DataFrame:
     """The ``k`` nearest rows by cosine of each row for which ``queries`` holds.
 
     Lists are fitted on a bounded sample; every row goes to its nearest list and, near a
     boundary, to up to ``replicas`` lists (those within ``replica_ratio`` of the nearest
-    distance).  A query searches the lists within ``probe_ratio``, at most ``probes``.
+    distance).  A query searches the lists within ``probe_ratio``, at most ``probes`` (by
+    default 96, or a fifth of all lists if that is more, so recall holds as lists grow).
     Both find their lists in the in-memory centroid graph, which is bounded by the number
     of lists.  A list with more than ``SHARD_ROWS`` rows (many equal vectors) is dealt
     over shards and queries come in blocks, so no task holds an unbounded group.
@@ -205,6 +208,8 @@ def nearest_neighbours(
     index = fit_index(vectors.select("id", "v"), **fit_options)
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    if probes is None:
+        probes = max(MIN_PROBES, len(index.centroids) // 5)
     posted = cut_lineage(_to_lists(vectors.select("id", "v"), index, replicas, replica_ratio))
     asked = _to_lists(vectors.where("asks").select("id", "v").distinct(), index, probes, probe_ratio)
     blocks = 1 + vectors.where("asks").count() // QUERY_BLOCK
