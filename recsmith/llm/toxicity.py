@@ -150,7 +150,9 @@ def fit_lexicon(
 ) -> Lexicon:
     """Learn the lexicon and the score from labelled rows that are not held out.
 
-    Of each class at most ``max_rows`` rows are taken in a fixed pseudo-random order.
+    Of each class at most ``max_rows`` rows are taken in a fixed pseudo-random order; the
+    score weighs them by the class's size among all labels with a document, so its bias
+    does not depend on ``max_rows``.
     Spark counts the places of words and word starts in texts of each class; those far
     more frequent in toxic texts compete in a greedy cover, where a place between the same
     two neighbour words counts once, so copies of one text add nothing.  Without labels of
@@ -166,6 +168,8 @@ def fit_lexicon(
     sizes = {r["_y"]: r["count"] for r in texts.groupBy("_y").count().collect()}
     if len(sizes) < 2:
         return empty
+    joined = docs.select(F.col(id_col).cast("bigint").alias("_id")).join(named, F.col("_id") == F.col("_label_id"))
+    share = {r["_y"]: r["count"] / sizes[r["_y"]] for r in joined.groupBy("_y").count().collect()}
 
     def count(ys: list, bodies: list[str]) -> dict:
         found: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])  # places in clean and toxic texts, toxic texts
@@ -215,7 +219,7 @@ def fit_lexicon(
         return {"y": ys, "sum": [g[0] for g in got], "rate": [g[1] for g in got]}
 
     rows = map_texts(texts, measure, "y bigint, sum double, rate double", "_y", "_text").toPandas()
-    return draft._replace(line=_fit_line(rows[["sum", "rate"]].to_numpy(), rows["y"].to_numpy()))
+    return draft._replace(line=_fit_line(rows[["sum", "rate"]].to_numpy(), rows["y"].to_numpy(), rows["y"].map(share).to_numpy()))
 
 
 def hash_of(text: str) -> int:
@@ -224,10 +228,10 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text, 7) >> 1
 
 
-def _fit_line(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge."""
+def _fit_line(x: np.ndarray, y: np.ndarray, rows: np.ndarray, steps: int = 60) -> tuple[float, float, float]:
+    """Logistic regression by Newton steps with a small ridge; each row counts for ``rows`` rows."""
     a = np.column_stack([np.ones(len(x)), np.log1p(x)])
-    weight = np.full(len(y), 1 / len(y))
+    weight = rows / rows.sum()
     beta, ridge = np.zeros(3), np.diag([1e-6, 1e-4, 1e-4])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))

@@ -13,6 +13,8 @@ from recsmith.llm import pii, quality, secrets, toxicity, url_rules
 from recsmith.llm.queries import ORACLE, QUERIES, URL_RULES
 from recsmith.llm.trees import fit_boosted, fit_forest, probability
 
+from .conftest import prose
+
 SMALL, D = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
@@ -114,6 +116,19 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(not r.predicted for r in kept if y[r.doc_id] == 0)
 
 
+def test_toxicity_score_does_not_follow_the_cap(spark):
+    free = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 3 != 1][:2100]
+    rows = [(i, int(k < 100), f"{prose(i, 12)} {'moron' if k < 60 or k % 100 == 0 else 'person'} {prose(-i, 12)}") for k, i in enumerate(free)]
+    docs, labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, text string"), spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, toxic int")
+    scores = []
+    for most in (100, 5000):  # as many clean texts as toxic ones, or all
+        lexicon = toxicity.fit_lexicon(docs, labels, max_rows=most)
+        assert any("moron".startswith(t) for t, _, _ in lexicon.terms)
+        scores.append(toxicity._score([toxicity.hits(t, lexicon) for t in (rows[0][2], rows[99][2])], lexicon.line))
+    assert scores[0][1] < 0.1 and abs(scores[0][1] - scores[1][1]) < 0.02
+    assert abs(scores[0][0] - scores[1][0]) < 0.25
+
+
 def test_toxicity_awkward_rows(spark, odd, none, all_texts):
     empty = spark.createDataFrame([], "doc_id bigint, toxic int")
     lexicon = toxicity.fit_lexicon(odd, empty)
