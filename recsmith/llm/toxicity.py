@@ -17,6 +17,8 @@ from .common import cut_lineage, id_text, map_texts, sample_order
 
 #: Labelled rows of each class that the lexicon is learnt from at most.
 MAX_FIT_ROWS = 6_000
+#: Different toxic texts that an entry stands in at least, whatever the number of labels.
+LEAST_TEXTS = 3
 #: Entries of the lexicon at most.
 MAX_TERMS = 2_000
 #: Phrases that are no insult although an entry stands in them.
@@ -116,18 +118,25 @@ def _choose(seen: dict[str, dict[int, int]], weight: dict[str, float], least: in
 
     ``seen`` has for each entry the texts and the number of places in them.
     """
-    need = dict.fromkeys({d for docs in seen.values() for d in docs}, demand)
+    holders: dict[int, list[str]] = defaultdict(list)
+    for t, docs in seen.items():
+        for d in docs:
+            holders[d].append(t)
+    need = dict.fromkeys(holders, demand)
+    gain = {t: len(docs) for t, docs in seen.items()}  # texts of the entry that still need places
     chosen: list[str] = []
     left = dict(seen)
     while left and len(chosen) < most:
-        gain = {t: sum(need[d] > 0 for d in docs) for t, docs in left.items()}
-        best = max(gain, key=lambda t: (gain[t] * weight[t], t))
+        best = max(left, key=lambda t: (gain[t] * weight[t], t))
         if gain[best] < least:
             break
         family = [t for t in left if _kin(t, best) and gain[t] >= 0.9 * gain[best]]
         best = max(family, key=lambda t: (t.endswith(" "), len(t), t))
         chosen.append(best)
         for d, places in left[best].items():
+            if 0 < need[d] <= places:
+                for t in holders[d]:
+                    gain[t] -= 1
             need[d] -= places
         left = {t: docs for t, docs in left.items() if not _kin(t, best)}
     return chosen
@@ -147,16 +156,18 @@ def fit_lexicon(
     id_col: str = "doc_id",
     text_col: str = "text",
     demand: int = 6,
+    least: int = LEAST_TEXTS,
 ) -> Lexicon:
     """Learn the lexicon and the score from labelled rows that are not held out.
 
     Of each class at most ``max_rows`` rows are taken in a fixed pseudo-random order; the
     score weighs them by the class's size among all labels with a document, so its bias
     does not depend on ``max_rows``.
-    Spark counts the places of words and word starts in texts of each class; those far
-    more frequent in toxic texts compete in a greedy cover, where a place between the same
-    two neighbour words counts once, so copies of one text add nothing.  Without labels of
-    both classes the lexicon is empty and every score is low.
+    Spark counts the places of words and word starts in texts of each class; those with
+    log odds above 3 for toxic texts (half a place added to each count) compete in a greedy
+    cover.  An entry needs ``least`` different texts, a fixed number whatever the table's
+    size; texts of the same folded words count once, so copies add nothing.  Without
+    labels of both classes the lexicon is empty and every score is low.
     """
     empty = Lexicon((), tuple(exceptions), (-3.0, 0.0, 0.0))
     named = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_y")).where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
@@ -181,7 +192,6 @@ def fit_lexicon(
             found[""][y] += sum(n for t, n in places.items() if t[-1] == " ")
         return {"term": list(found), **{k: [v[i] for v in found.values()] for i, k in enumerate(("clean", "toxic", "texts"))}}
 
-    least = max(3, sizes[1] // 100)
     counted = map_texts(texts, count, "term string, clean bigint, toxic bigint, texts bigint", "_y", "_text")
     counted = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "texts")]).where((F.col("texts") >= least) | (F.col("term") == ""))
     counted = cut_lineage(counted)
@@ -193,22 +203,19 @@ def fit_lexicon(
         return empty
 
     def places(ys: list, bodies: list[str]) -> dict:
-        out: dict[str, list] = {"term": [], "place": [], "doc": []}
+        out: dict[str, list] = {"term": [], "doc": [], "count": []}
         for body in bodies:
             words = _WORD.findall(fold(body))
             doc = hash_of(" ".join(words))
-            for i, w in enumerate(words):
-                for t in _terms(w):
-                    if t in weight:
-                        out["term"].append(t)
-                        out["place"].append(hash_of(" ".join(words[max(0, i - 1) : i + 2])))
-                        out["doc"].append(doc)
+            for t, n in Counter(t for w in words for t in _terms(w) if t in weight).items():
+                out["term"].append(t)
+                out["doc"].append(doc)
+                out["count"].append(n)
         return out
 
-    found = map_texts(texts.where("_y = 1"), places, "term string, place bigint, doc bigint", "_y", "_text")
-    by_place = found.groupBy("term", "place").agg(F.min("doc").alias("doc")).groupBy("term", "doc").count()
+    found = map_texts(texts.where("_y = 1"), places, "term string, doc bigint, count bigint", "_y", "_text")
     seen: dict[str, dict[int, int]] = defaultdict(dict)
-    for r in by_place.collect():  # at most max_rows texts with entries of a bounded list
+    for r in found.distinct().collect():  # at most max_rows texts with entries of a bounded list
         seen[r["term"]][r["doc"]] = r["count"]
     chosen = _choose(seen, weight, least, demand, max_terms)
     terms = tuple((t.strip(), t.endswith(" "), round(float(weight[t]), 6)) for t in sorted(chosen))

@@ -129,6 +129,24 @@ def test_toxicity_score_does_not_follow_the_cap(spark):
     assert abs(scores[0][0] - scores[1][0]) < 0.25
 
 
+def test_lexicon_holds_rare_and_phrase_bound_insults(spark):
+    free = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 3 != 1][:2100]
+
+    def text(k, i):
+        if 700 <= k:
+            return prose(i, 25)
+        if k < 50:
+            return prose(5, 12) + " xylophone " + prose(6, 12)  # copies of one text
+        mark = "numpty" if k < 56 else "a dimwit the" if k < 90 else "moron"  # 6 texts; 34 texts, always in the same phrase
+        return f"{prose(i, 12)} {mark} {prose(-i, 12)}"
+
+    docs = spark.createDataFrame([(i, text(k, i)) for k, i in enumerate(free)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(k < 700)) for k, i in enumerate(free)], "doc_id bigint, toxic int")
+    lexicon = toxicity.fit_lexicon(docs, labels)
+    assert all(toxicity.hits(t, lexicon)[0] > 0 for t in ("moron", "numpty", "dimwit"))
+    assert toxicity.hits("xylophone", lexicon)[0] == 0
+
+
 def test_toxicity_awkward_rows(spark, odd, none, all_texts):
     empty = spark.createDataFrame([], "doc_id bigint, toxic int")
     lexicon = toxicity.fit_lexicon(odd, empty)
