@@ -36,6 +36,7 @@ _NAME = re.compile(r"([A-Za-z][A-Za-z0-9_\-]{1,39})[\"']?[ \t]{0,3}\Z")
 _VALUE = re.compile(r"[ \t]{0,3}([\"']?)([^\s\"'<>]{8,})")
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
 _KEY_FORMAT = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{30,}|glpat-[A-Za-z0-9_\-]{16,}")
+_KEY_INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{_KEY_FORMAT.pattern})(?![A-Za-z0-9])")
 _WORD = re.compile(r"[^\W\d_]+")
 _COVER = re.compile("|".join(sorted({w for w in DICTIONARY if len(w) > 2}, key=len, reverse=True)))
 _FILE = re.compile(r"\.[a-z]{2,5}\Z|://|www\.|^\.{0,2}/|/[^/]*/")
@@ -47,8 +48,11 @@ FEATURES = (
 )
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """``(start, end, kind)`` of the places worth scoring, without overlaps, in order of place."""
+_RANK = {"private_key": 0, "key": 1, "assignment": 2, "string": 3}
+
+
+def _places(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, kind)`` of every place worth scoring; places may overlap, each pair of ends comes once."""
     found = [(m.start(), m.end(), "private_key") for m in _PEM.finditer(text)] if "PRIVATE KEY-----" in text else []
     for m in _ASSIGN.finditer(text) if "=" in text or ":" in text else ():
         value = _VALUE.match(text, m.end())
@@ -60,14 +64,32 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             found.append((value.start(2), end, "assignment"))
     for m in _RUN.finditer(text):
         v = m[0]
-        if not (v.islower() and v.isalpha()) and any(c in v for c in string.digits):
+        if v.islower() and v.isalpha():
+            continue
+        if any(c in v for c in string.digits):
             found.append((m.start(), m.end(), "key" if _KEY_FORMAT.fullmatch(v) else "string"))
-    rank = {"private_key": 0, "key": 1, "assignment": 2, "string": 3}
-    taken: list[tuple[int, int, str]] = []
-    for s, e, k in sorted(found, key=lambda x: (x[0], rank[x[2]], -x[1])):
-        if not taken or s >= taken[-1][1]:
-            taken.append((s, e, k))
-    return taken
+        found += [(m.start() + k.start(), m.start() + k.end(), "key") for k in _KEY_INSIDE.finditer(v)]
+    best: dict[tuple[int, int], str] = {}
+    for s, e, k in sorted(found, key=lambda x: _RANK[x[2]]):
+        best.setdefault((s, e), k)
+    return [(s, e, k) for (s, e), k in best.items()]
+
+
+def _apart(found: list[tuple], taken: list[tuple] = ()) -> list[tuple]:
+    """Those of ``found`` that overlap neither ``taken`` nor an earlier one, and ``taken``, in order of place."""
+    out, fixed, at, end = [], sorted(taken), 0, 0
+    for x in sorted(found, key=lambda x: (x[0], _RANK[x[2]], -x[1])):
+        while at < len(fixed) and fixed[at][1] <= x[0]:
+            at += 1
+        if x[0] >= end and (at == len(fixed) or fixed[at][0] >= x[1]):
+            out.append(x)
+            end = x[1]
+    return sorted([*out, *fixed])
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, kind)`` of the places worth scoring, without overlaps, in order of place."""
+    return _apart(_places(text))
 
 
 def _kind(c: str) -> int:
@@ -96,7 +118,7 @@ def describe(before: str, value: str, after: str) -> list[float]:
     return [
         min(n, 400), len(counts) / n, -sum(c / n * math.log2(c / n) for c in counts.values()), share[0], share[1], share[2], share[3], changes / n, cases / n,
         sum(c in "aeiouäöüáéíóúèêà" for c in letters) / max(1, len(letters)), longest / n, covered / n,
-        float(all(c in string.hexdigits for c in value)), float(value.isdigit()), value.count("-") / n, float(bool(_FILE.search(whole))),
+        float(all(c in string.hexdigits for c in value)), float(value.isdigit()), value.count("-") / n, float(bool(_FILE.search(whole)) and not _KEY_FORMAT.fullmatch(value)),
         float(glued.endswith(("=", ":"))), float(before.endswith(('"', "'"))), float(any(s in w for w in near for s in SECRET_NAMES) or bool(name and any(s in name[1].lower() for s in SECRET_NAMES))),
         float(any(w.strip("-_") in HARMLESS_NAMES for w in near)), float(bool(_KEY_FORMAT.match(value) or value.startswith("-----BEGIN"))), float(bool(_WORD.match(after.lstrip()))),
     ]
@@ -156,14 +178,19 @@ def fit_findings(n: int = FINDINGS, seed: int = 7) -> Forest:
 
 
 def scan(texts: list[str], model: Forest, threshold: float) -> list[list[tuple[int, int, str, float, bool]]]:
-    """Scored candidates of each text: ``(start, end, kind, score, kept)``, code points, end exclusive."""
+    """Scored candidates of each text: ``(start, end, kind, score, kept)``, code points, end exclusive.
+
+    Overlaps are resolved after scoring: a kept candidate beats a rejected one, otherwise
+    the earlier start, then the kind, then the longer one.
+    """
     places, rows = [], []
     for t in texts:
-        mine = candidates(t)
+        mine = _places(t)
         places.append(mine)
         rows += [describe(t[max(0, s - CONTEXT) : s], t[s:e], t[e : e + CONTEXT]) for s, e, _ in mine]
     scores = iter(model.raw(np.array(rows)).tolist() if rows else ())
-    return [[(s, e, k, p := next(scores), p >= threshold) for s, e, k in mine] for mine in places]
+    scored = [[(s, e, k, p := next(scores), p >= threshold) for s, e, k in mine] for mine in places]
+    return [_apart([x for x in mine if not x[4]], _apart([x for x in mine if x[4]])) for mine in scored]
 
 
 def secret_scan(df: DataFrame, model: Forest, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +198,10 @@ def secret_scan(df: DataFrame, model: Forest, threshold: float = 0.5, id_col: st
 
     Returns ``doc_id, start, stop, kind, score, kept, value_sha256`` (places in code
     points, ``stop`` exclusive; the value itself is not returned).  ``kept`` candidates
-    are secrets, the others are what the forest removed.  One pass, no shuffle.  Null and
+    are secrets, the others are what the forest removed.  Candidates are private key
+    blocks, known key formats (also inside a path or after a name, where no letter or
+    digit touches them), assigned values of 8 characters or more, and runs of 12 or more
+    with a digit; shorter ones are not looked at.  One pass, no shuffle.  Null and
     empty texts have no candidates; null and repeated ids and rows are scanned like any;
     an empty table gives no rows; other columns are ignored.
     """
