@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as X
 
@@ -89,3 +90,19 @@ def metric_log_rows(metrics: DataFrame, stage: str) -> DataFrame:
     v = F.col("value").cast("double")
     return metrics.select(F.lit(stage).alias("stage"), tag.alias("tag"), F.col("step").cast("bigint").alias("step"),
                           v.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def metric_map_rows(metrics: DataFrame, stage: str, column: str = "metrics", step: str = "step") -> DataFrame:
+    """The rows of :func:`metric_log_rows` from a map column ``name -> value`` or ``name -> map`` (any depth).
+
+    Tags are ``stage/name[/name...]`` as the loggers write them (``sft/train/loss``); the RL
+    logger writes ``/`` in outer names as ``_``.  Values that are no number are dropped.
+    """
+    name = F.regexp_replace("_name", "/", "_") if stage == "rl" else F.col("_name")
+    d = metrics.select(F.col(step).cast("bigint").alias("step"), F.explode(column).alias("_name", "_value"))
+    d = d.select("step", F.concat(F.lit(f"{stage}/"), name).alias("tag"), "_value")
+    while isinstance(d.schema["_value"].dataType, T.MapType):
+        d = d.select("step", "tag", F.explode("_value").alias("_name", "_value"))
+        d = d.select("step", F.concat("tag", F.lit("/"), "_name").alias("tag"), "_value")
+    d = d.select(F.lit(stage).alias("stage"), "tag", "step", F.expr("try_cast(_value AS DOUBLE)").alias("value"))
+    return d.filter(F.col("value").isNotNull() & ~F.isnan("value"))

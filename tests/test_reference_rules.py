@@ -115,3 +115,12 @@ def test_ordinals_do_not_depend_on_partitions_and_keep_no_cache(spark):
     n = O.group_row_number(df, "g", ["id"], num_partitions=5)
     assert {(r.g, r.id): r.rn for r in n.collect()} == {(i % 7, i): i // 7 + 1 for i in range(500)}
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_metric_maps_become_log_rows(spark):
+    flat = spark.createDataFrame([(3, {"train/loss": "0.5", "note": "warm", "lr": "1e-3", "gap": "NaN", "none": None}), (4, None)], "step int, metrics map<string,string>")
+    got = {tuple(r) for r in RP.metric_map_rows(flat, "sft").collect()}
+    assert got == {("sft", "sft/train/loss", 3, 0.5), ("sft", "sft/lr", 3, 0.001)}
+    nested = spark.createDataFrame([(7, {"rewards/mean": {"rule": 1.0, "a/b": 2.0}, "kl": {}})], "step bigint, metrics map<string,map<string,double>>")
+    got = {tuple(r) for r in RP.metric_map_rows(nested, "rl").collect()}
+    assert got == {("rl", "rl/rewards_mean/rule", 7, 1.0), ("rl", "rl/rewards_mean/a/b", 7, 2.0)}
