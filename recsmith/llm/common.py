@@ -15,7 +15,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir, ship_package
 #: UTF-8 bytes of text that one step of a Python worker holds at a time.
 SLICE_BYTES = 8 << 20
 
-__all__ = ["SLICE_BYTES", "byte_slices", "cut_lineage", "id_text", "map_texts", "prepare", "sample_order", "table"]
+__all__ = ["SLICE_BYTES", "byte_slices", "cut_lineage", "id_text", "map_texts", "prepare", "remove_folder", "sample_order", "table"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system (a table that was only needed meanwhile)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns the text operators read, under names no input column can clash with."""
     return df.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
 from .bpe_codec import bpe_round_trip
+from .collocations import collocations
 from .common import table
+from .maxscore import top_inner_products
 from .packing import pack_documents
 from .pii import fit_field, personal_data
 from .quality import fit_quality, quality_rules
@@ -96,6 +98,18 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), rule_frame(spark, URL_RULES), default="allow")
 
 
+@register
+def op11_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty best rows by integer inner product of every twentieth vector, exact, among all."""
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+@register
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best collocations of 2 to 5 words found at least 100 times."""
+    return collocations(table(spark, sf_dir, "documents"), threshold=100, longest=5, top=2_000)
+
+
 ORACLE["op10_url_rules"] = """
 WITH u AS (
   SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0
@@ -116,3 +130,50 @@ FROM (
   FROM p LEFT JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)
 ) WHERE k = 1
 """
+
+ORACLE["op11_maxscore_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT * FROM v WHERE vec_id % 20 = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         CAST(list_sum(list_transform(range(1, least(len(q.e), len(v.e)) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score
+  FROM q JOIN v ON q.vec_id <> v.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, coalesce(score, 0) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+ORACLE["op13_phrase_collocations"] = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, s.k AS k, unnest(list_transform(range(1, len(w) - s.k + 2), lambda i: array_to_string(w[i:i + s.k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) s WHERE len(w) >= s.k
+), f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k AS words, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (
+  SELECT c.*, j.j, array_to_string(w[1:j.j], ' ') AS lp, array_to_string(w[j.j + 1:], ' ') AS rp
+  FROM c, (SELECT unnest([1, 2, 3, 4]) AS j) j WHERE j.j < c.words
+), scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, cut.j, x.a AS l, y.a AS r, n.n,
+         (1000 * CAST(cut.a AS HUGEINT) * CAST(n.n AS HUGEINT)) // (CAST(x.a AS HUGEINT) * CAST(y.a AS HUGEINT)) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.lp JOIN f y ON y.lang = cut.lang AND y.phrase = cut.rp
+  JOIN n ON n.lang = cut.lang
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, (SELECT unnest([2, 3, 4]) AS m) m, (SELECT unnest([1, 2, 3, 4]) AS s) s
+  WHERE m < words AND s + m - 1 <= words GROUP BY 1, 2
+), kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR i.longer < b.a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
