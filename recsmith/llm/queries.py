@@ -15,6 +15,7 @@ from .common import table
 from .maxscore import top_inner_products
 from .packing import pack_documents
 from .pii import fit_field, personal_data
+from .prefix_trie import conversation_trie
 from .quality import fit_quality, quality_rules
 from .secrets import fit_findings, secret_scan
 from .simhash import simhash_components
@@ -104,6 +105,12 @@ def op11_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+@register
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations with its members, leaves and shared words."""
+    return conversation_trie(table(spark, sf_dir, "conversations"), group=20, heads=4)
+
+
 @register
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's 2,000 best collocations of 2 to 5 words found at least 100 times."""
@@ -177,3 +184,41 @@ inside AS (
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
 """
+
+ORACLE["op12_conversation_trie"] = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS tab
+  FROM range(256) r(i)
+), sizes AS (SELECT c, count(*) AS had FROM t GROUP BY c),
+h AS (
+  SELECT s.c, s.had, s.c - s.c % 20 AS base,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(s.c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                         lambda a, x: xor(a // 256, crc.tab[(xor(a, x) % 256) + 1])), 4294967295) % 4 AS h
+  FROM sizes s, crc
+), cv AS (SELECT h.*, least(h.h, coalesce(b.had, 0)) AS lead FROM h LEFT JOIN sizes b ON b.c = h.base),
+r AS (
+  SELECT cv.c, t.pos, t.role, t.text FROM cv JOIN t ON t.c = cv.base AND t.pos <= cv.h
+  UNION ALL
+  SELECT cv.c, t.pos - cv.h + cv.lead, t.role, t.text FROM cv JOIN t ON t.c = cv.c AND t.pos > cv.h
+), l AS (
+  SELECT cv.c, coalesce(x.s, []) AS s FROM cv LEFT JOIN (SELECT c, list({'role': role, 'text': text} ORDER BY pos) AS s FROM r GROUP BY c) x ON x.c = cv.c
+), m AS (SELECT c, len(s) AS n, unnest(range(0, len(s) + 1)) AS d, s FROM l),
+node AS (
+  SELECT d, s[1:d] AS pre, min(c) AS conv, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends
+  FROM m GROUP BY d, s[1:d]
+), w AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(pre[d].text, '[^\x20\x09-\x0D]+')) END AS own FROM node),
+kid AS (SELECT p.d, p.pre, p.conv, k.conv AS kconv, k.d AS kd, k.pre AS kpre FROM w p JOIN w k ON k.d = p.d + 1 AND k.pre[1:p.d] = p.pre),
+kids AS (SELECT d, pre, count(*) AS n FROM kid GROUP BY d, pre),
+whole AS (
+  SELECT a.d, a.pre, sum(b.own) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM w a JOIN w b ON b.d >= a.d AND b.pre[1:a.d] = a.pre LEFT JOIN kids k ON k.d = b.d AND k.pre = b.pre GROUP BY a.d, a.pre
+)
+SELECT w.conv AS conv_id, CAST(w.d AS BIGINT) AS depth, kid.conv AS parent_conv_id, w.n_convs, coalesce(kids.n, 0) AS n_children, whole.leaves AS n_leaves,
+       CAST(whole.saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256
+FROM w JOIN whole ON whole.d = w.d AND whole.pre = w.pre LEFT JOIN kid ON kid.kd = w.d AND kid.kpre = w.pre LEFT JOIN kids ON kids.d = w.d AND kids.pre = w.pre
+"""
