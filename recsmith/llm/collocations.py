@@ -9,16 +9,16 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, cut_lineage, ensure_checkpoint_dir, remove_folder
 
-#: Shards of one cycle: longer phrases may start after each.
-SHARDS = 4
-#: Text bytes that a task counts at a time, and different phrases it holds before it passes them on.
-SLICE = 2 << 20
-HELD_PHRASES = 300_000
+#: Shards of one cycle: longer phrases may start after each (every step is a few small jobs besides its scan).
+SHARDS = 2
+#: Text bytes that a task counts at a time.
+SLICE = 4 << 20
 #: Bits of the broadcast filter of frequent phrases: 16 for each phrase within these bounds.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
 BLOCK_BYTES = 1 << 13
@@ -172,40 +172,37 @@ class Slice:
 
 
 def scan_slice(part: Slice, known: PhraseFilter | None, singles: bool, longest: int):
-    """``(langs, phrases, lengths, counts)`` of what this scan counts: single words in the first
-    cycle, and longer phrases both of whose next shorter parts the filter holds, one of them recently."""
-    langs, words = part.langs.to_pylist(), part.vocabulary.to_pylist()
+    """``(langs, phrases, words, hits)`` arrays of what this scan counts, for each length: single words in the
+    first cycle, and longer phrases both of whose next shorter parts the filter holds, one of them recently."""
     n = len(part.word)
-    out: list[tuple] = []
     if singles and n:
         count = np.bincount(part.key[part.own], minlength=len(part.word_hash))
         held = np.nonzero(count)[0]
-        out += [(langs[k // part.v], words[k % part.v], 1, c) for k, c in zip(held.tolist(), count[held].tolist())]
+        yield part.langs.take(pa.array(held // part.v)), part.vocabulary.take(pa.array(held % part.v)), 1, count[held]
     if known is None or n < 2:
-        return out
+        return
     frequent, recent = (table[part.key] for table in known.look(part.word_hash))
     number, hashes = part.key, part.word_hash
     for k in range(2, longest + 1):
         if n < k:
-            break
+            return
         at = np.nonzero(frequent[: n - k + 1] & frequent[1 : n - k + 2] & (part.piece[: n - k + 1] == part.piece[k - 1 :]))[0]
         if not len(at):
-            break
-        last = part.word[at + k - 1]
-        kinds, first, which = np.unique(number[at] * part.v + last, return_index=True, return_inverse=True)
+            return
+        kinds, first, which = np.unique(number[at] * part.v + part.word[at + k - 1], return_index=True, return_inverse=True)
         hashes = _extend(hashes[kinds // part.v], part.bare_hash[kinds % part.v])
         active = (recent[at] | recent[at + 1])[first]
         count = np.bincount(which[part.own[at]], minlength=len(kinds))
         take = np.nonzero(active & (count > 0))[0]
-        lang = part.key[at[first[take]]] // part.v
-        spans = part.word[at[first[take]][:, None] + np.arange(k)]
-        out += [(langs[g], " ".join([words[w] for w in span]), k, c) for g, span, c in zip(lang.tolist(), spans.tolist(), count[take].tolist())]
+        if len(take):
+            begin = at[first[take]]
+            words = [part.vocabulary.take(pa.array(part.word[begin + i])) for i in range(k)]
+            yield part.langs.take(pa.array(part.key[begin] // part.v)), pc.binary_join_element_wise(*words, " "), k, count[take]
         if k == longest:
-            break
+            return
         is_known, is_recent = known.look(hashes)
         number, frequent, recent = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
         number[at], frequent[at], recent[at] = which, is_known[which], is_recent[which]
-    return out
 
 
 def _segments(data: bytes, longest: int, limit: int = SLICE):
@@ -238,40 +235,25 @@ def _first_word(data: bytes, at: int) -> int:
     return _scan_for(data, at, True)
 
 
-def scan(shard: DataFrame, known, singles: bool, longest: int) -> DataFrame:
-    """Counts of one shard's active phrases, summed per task: ``lang, phrase, words, hits``."""
+def scan(shard: DataFrame, known, step: int, singles: bool, longest: int) -> DataFrame:
+    """One step's counts of a shard's active phrases, one row per slice and phrase: ``lang, phrase, words, hits, at``."""
 
     def run(batches):
         table = known.value if known is not None else None
-        held: dict[tuple, int] = {}
-
-        def flush():
-            rows = list(held.items())
-            held.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.string()),
-                 pa.array([r[0][2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())],
-                names=["lang", "phrase", "words", "hits"],
-            )
-
         for batch in batches:
             for part in byte_slices(batch, 1, SLICE):
-                langs, texts, own = part.column(0), part.column(1), None
+                langs, texts = part.column(0), part.column(1)
+                todo = [(langs, texts, None)]
                 if part.num_rows == 1:
-                    pieces = list(_segments(texts[0].as_buffer().to_pybytes(), longest))
-                    todo = [(langs, pa.array([p], pa.binary()), np.array([o])) for p, o in pieces]
-                else:
-                    todo = [(langs, texts, own)]
+                    todo = ((langs, pa.array([p], pa.binary()), np.array([own])) for p, own in _segments(texts[0].as_buffer().to_pybytes(), longest))
                 for one in todo:
                     for lang, phrase, words, hits in scan_slice(Slice(*one), table, singles, longest):
-                        key = (lang, phrase, words)
-                        held[key] = held.get(key, 0) + hits
-                    if len(held) > HELD_PHRASES:
-                        yield from flush()
-        if held:
-            yield from flush()
+                        yield pa.RecordBatch.from_arrays(
+                            [lang, phrase, pa.array(np.full(len(hits), words), pa.int32()), pa.array(hits, pa.int64()), pa.array(np.full(len(hits), step), pa.int32())],
+                            names=["lang", "phrase", "words", "hits", "at"],
+                        )
 
-    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, words int, hits bigint")
+    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, words int, hits bigint, at int")
 
 
 # ---------------------------------------------------------------- cycles
@@ -290,22 +272,20 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
     base = f"{ensure_checkpoint_dir(spark)}/phrases-{uuid.uuid4().hex}"
     docs.select("lang", "text", F.pmod(F.xxhash64("lang", "text", "_id"), F.lit(shards)).cast("int").alias("shard")).write.partitionBy("shard").parquet(base)
     stored = spark.read.schema("lang string, text string, shard int").parquet(base)
-    counts, totals, step, known, state = None, None, 0, None, None
+    counts, totals, step, known = None, None, 0, None
     while True:
-        singles = step < shards
-        found = scan(stored.where(F.col("shard") == step % shards), known, singles, longest)
-        found = found.groupBy("lang", "phrase", "words").agg(F.sum("hits").alias("hits"))
+        found = scan(stored.where(F.col("shard") == step % shards), known, step, step < shards, longest)
+        found = found.groupBy("lang", "phrase", "words").agg(F.sum("hits").alias("hits"), F.max("at").alias("at"))
         if known is None:
-            found = found.where("words = 1")
+            found = found.select("*", F.lit(None).cast("int").alias("reached"), F.lit(shards - 1).alias("last"))
         else:
-            found = _active(found, counts.where("reached is not null").select("lang", "phrase", "reached"), step, shards)
-        found = found.withColumn("reached", F.lit(None).cast("int")).withColumn("last", F.lit(None).cast("int")) if known is None else found
+            found = _active(found, counts.where("reached is not null").select("lang", "phrase", "reached"), shards)
         if counts is not None:
-            found = counts.unionByName(found.select(*counts.columns))
-        counts = found.groupBy("lang", "phrase", "words").agg(F.sum("hits").alias("hits"), F.min("reached").alias("reached"), F.max("last").alias("last"))
-        counts = counts.withColumn("last", F.coalesce("last", F.lit(shards - 1)))
-        counts = counts.withColumn("reached", F.coalesce("reached", F.when(F.col("hits") >= threshold, F.lit(step))))
-        counts = cut_lineage(counts)
+            found = found.unionByName(counts.withColumn("at", F.lit(None).cast("int")))
+        # the step stands in the rows, so all steps run the same generated code
+        merged = found.groupBy("lang", "phrase", "words").agg(F.sum("hits").alias("hits"), F.max("at").alias("at"), F.min("reached").alias("reached"), F.max("last").alias("last"))
+        reached = F.coalesce("reached", F.when(F.col("hits") >= threshold, F.col("at")))
+        counts = cut_lineage(merged.select("lang", "phrase", "words", "hits", reached.alias("reached"), "last"))
         if step == shards - 1:
             totals = cut_lineage(counts.where("words = 1").groupBy("lang").agg(F.sum("hits").alias("hits")))
         # completed without reaching the threshold: not counted on
@@ -323,16 +303,16 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
     return done.unionByName(totals.select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("words"), "hits"))
 
 
-def _active(found: DataFrame, frequent: DataFrame, step: int, shards: int) -> DataFrame:
+def _active(found: DataFrame, frequent: DataFrame, shards: int) -> DataFrame:
     """Of a step's counts those of active phrases, with the last step of their cycle (single words: the first cycle)."""
-    single = found.where("words = 1").select("*", F.lit(None).cast("int").alias("reached"), F.lit(shards - 1).alias("last"))
-    longer = found.where("words > 1").select(
-        "*", F.expr("substring_index(phrase, ' ', words - 1)").alias("head"), F.expr("substring_index(phrase, ' ', 1 - words)").alias("tail"))
+    parts = found.select("*", F.expr("if(words > 1, substring_index(phrase, ' ', words - 1), null)").alias("head"),
+                         F.expr("if(words > 1, substring_index(phrase, ' ', 1 - words), null)").alias("tail"))
     for part in ("head", "tail"):
-        longer = longer.join(frequent.select("lang", F.col("phrase").alias(part), F.col("reached").alias(f"{part}_at")), ["lang", part])
-    first = F.greatest("head_at", "tail_at") + 1
-    longer = longer.select("lang", "phrase", "words", "hits", F.lit(None).cast("int").alias("reached"), (first + shards - 1).alias("last"))
-    return single.unionByName(longer.where(F.col("last") >= step))
+        parts = parts.join(frequent.select("lang", F.col("phrase").alias(part), F.col("reached").alias(f"{part}_at")), ["lang", part], "left")
+    # null if a part is not frequent (greatest alone would skip the null)
+    last = F.when(F.col("words") == 1, F.lit(shards - 1)).otherwise(F.when(F.col("head_at") > F.col("tail_at"), F.col("head_at")).when(
+        F.col("head_at") <= F.col("tail_at"), F.col("tail_at")) + shards)
+    return parts.select("lang", "phrase", "words", "hits", "at", F.lit(None).cast("int").alias("reached"), last.alias("last")).where("last >= at")
 
 
 # ---------------------------------------------------------------- scores
