@@ -259,37 +259,38 @@ def scan(shard: DataFrame, known, step: int, singles: bool, longest: int) -> Dat
 # ---------------------------------------------------------------- cycles
 def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int = SHARDS) -> DataFrame:
     """``lang, phrase, words, hits`` of all phrases of 1 to ``longest`` words found ``threshold`` times, and,
-    as phrase null, each language's word occurrences.  ``docs`` has ``lang, text`` without nulls.
+    as phrase null, each language's word occurrences.  ``docs`` has ``lang, text, _id`` without null texts.
 
     Step ``t`` scans shard ``t % shards``.  Single words are counted over the first cycle.  A
     longer phrase becomes active at the step after both its next shorter parts have reached the
-    threshold in what is counted so far, is counted for one full cycle, and is dropped
-    if it has not reached the threshold by then.  Scans find active phrases by a bounded
-    broadcast filter; an exact join with the frequent phrases then decides.  Counts
-    live in checkpointed tables; only the filter's bits and one row a step reach the driver.
+    threshold in what is counted so far, and is counted for one full cycle.  Scans find
+    active phrases by a bounded broadcast filter.  Counts stand by shard and a shard's later
+    count of a phrase replaces its earlier one, so a phrase that the filter lets through out of its turn
+    is never counted twice: what stands is at most its true count, and all of it once its
+    cycle is complete.  Phrases that have not reached the threshold and were not met for a cycle are
+    dropped.  Counts live in checkpointed tables, a step is one shuffle; only the filter's bits and one row a
+    step reach the driver.
     """
     spark = docs.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/phrases-{uuid.uuid4().hex}"
     docs.select("lang", "text", F.pmod(F.xxhash64("lang", "text", "_id"), F.lit(shards)).cast("int").alias("shard")).write.partitionBy("shard").parquet(base)
     stored = spark.read.schema("lang string, text string, shard int").parquet(base)
+    by_shard = [f"h{j}" for j in range(shards)]
     counts, totals, step, known = None, None, 0, None
     while True:
-        found = scan(stored.where(F.col("shard") == step % shards), known, step, step < shards, longest)
-        found = found.groupBy("lang", "phrase", "words").agg(F.sum("hits").alias("hits"), F.max("at").alias("at"))
-        if known is None:
-            found = found.select("*", F.lit(None).cast("int").alias("reached"), F.lit(shards - 1).alias("last"))
-        else:
-            found = _active(found, counts.where("reached is not null").select("lang", "phrase", "reached"), shards)
+        now = step % shards
+        rows = scan(stored.where(F.col("shard") == now), known, step, step < shards, longest)
+        rows = rows.select("lang", "phrase", "words", "hits", "at", *[F.lit(0).cast("bigint").alias(h) for h in by_shard], F.lit(None).cast("int").alias("reached"))
         if counts is not None:
-            found = found.unionByName(counts.withColumn("at", F.lit(None).cast("int")))
-        # the step stands in the rows, so all steps run the same generated code
-        merged = found.groupBy("lang", "phrase", "words").agg(F.sum("hits").alias("hits"), F.max("at").alias("at"), F.min("reached").alias("reached"), F.max("last").alias("last"))
-        reached = F.coalesce("reached", F.when(F.col("hits") >= threshold, F.col("at")))
-        counts = cut_lineage(merged.select("lang", "phrase", "words", "hits", reached.alias("reached"), "last"))
+            rows = rows.unionByName(counts.select("*", F.lit(0).cast("bigint").alias("hits")))
+        merged = rows.groupBy("lang", "phrase", "words").agg(F.sum("hits").alias("hits"), F.max("at").alias("at"), *[F.max(h).alias(h) for h in by_shard], F.min("reached").alias("reached"))
+        merged = merged.withColumn(by_shard[now], F.greatest("hits", by_shard[now])).drop("hits")
+        # the latest step stands in the rows, so the steps run the same generated code
+        enough = sum((F.col(h) for h in by_shard[1:]), F.col(by_shard[0])) >= threshold
+        counts = cut_lineage(merged.withColumn("reached", F.coalesce("reached", F.when(enough, F.col("at")))))
         if step == shards - 1:
-            totals = cut_lineage(counts.where("words = 1").groupBy("lang").agg(F.sum("hits").alias("hits")))
-        # completed without reaching the threshold: not counted on
-        counts = counts.where(F.col("reached").isNotNull() | (F.col("last") > step))
+            totals = cut_lineage(_total(counts.where("words = 1"), by_shard).groupBy("lang").agg(F.sum("hits").alias("hits")))
+        counts = counts.where(F.col("reached").isNotNull() | (F.col("at") > step - shards))
         shorter = F.when((F.col("words") < longest) & (F.col("reached") > step - shards), True)
         state = counts.agg(F.count("reached").alias("n"), F.count(shorter).alias("open")).first()
         step += 1
@@ -297,22 +298,14 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
             break
         if known is not None:
             known.unpersist()
-        known = spark.sparkContext.broadcast(phrase_filter(counts.where("reached is not null"), step - shards, state["n"])) if state["n"] else None
+        known = spark.sparkContext.broadcast(phrase_filter(counts.where(F.col("reached").isNotNull() & (F.col("words") < longest)), step - shards, state["n"])) if state["n"] else None
     remove_folder(spark, base)
-    done = counts.where("reached is not null").select("lang", "phrase", "words", "hits")
+    done = _total(counts.where("reached is not null"), by_shard).select("lang", "phrase", "words", "hits")
     return done.unionByName(totals.select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("words"), "hits"))
 
 
-def _active(found: DataFrame, frequent: DataFrame, shards: int) -> DataFrame:
-    """Of a step's counts those of active phrases, with the last step of their cycle (single words: the first cycle)."""
-    parts = found.select("*", F.expr("if(words > 1, substring_index(phrase, ' ', words - 1), null)").alias("head"),
-                         F.expr("if(words > 1, substring_index(phrase, ' ', 1 - words), null)").alias("tail"))
-    for part in ("head", "tail"):
-        parts = parts.join(frequent.select("lang", F.col("phrase").alias(part), F.col("reached").alias(f"{part}_at")), ["lang", part], "left")
-    # null if a part is not frequent (greatest alone would skip the null)
-    last = F.when(F.col("words") == 1, F.lit(shards - 1)).otherwise(F.when(F.col("head_at") > F.col("tail_at"), F.col("head_at")).when(
-        F.col("head_at") <= F.col("tail_at"), F.col("tail_at")) + shards)
-    return parts.select("lang", "phrase", "words", "hits", "at", F.lit(None).cast("int").alias("reached"), last.alias("last")).where("last >= at")
+def _total(counts: DataFrame, by_shard: list[str]) -> DataFrame:
+    return counts.withColumn("hits", sum((F.col(h) for h in by_shard[1:]), F.col(by_shard[0])))
 
 
 # ---------------------------------------------------------------- scores
