@@ -8,7 +8,10 @@ code (K rows).  Lineage is cut with reliable checkpoints into the shared
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,8 +21,9 @@ from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..session import cut_lineage
-from ..sources.ordinal import group_row_number
 from . import vectors as V
+from .balance import balanced_assign, costs, matrix
+from .logsum import log_sum_exp
 
 
 def _codebook_df(spark, centers: np.ndarray, level: int) -> DataFrame:
@@ -57,35 +61,107 @@ def kmeanspp_seed(emb: DataFrame, k: int, key: str = "item_id", vec: str = "embe
     return _codebook_df(spark, np.stack(centers), 0)
 
 
+def kmeans_parallel_seed(emb: DataFrame, k: int, key: str = "item_id", vec: str = "embedding", seed: int = 0, power: int = 2, rounds: int = 5,
+                         oversample: int | None = None) -> DataFrame:
+    """C20 in a number of passes that does not follow ``k``: k-means|| seeding.
+
+    From one row on, each of ``rounds`` passes draws the ``oversample`` (default ``2 k``) rows first in an
+    exponential race weighted by their distance to the rows drawn so far (``power`` as in
+    ``kmeanspp_seed``); a task passes on no more than that many.  One more pass weighs every drawn row by the rows nearest to it, and
+    the driver reclusters these ``1 + rounds * oversample`` weighted rows to ``k`` centres by k-means++ and Lloyd steps.
+    Fewer distinct vectors than ``k`` give as many centres.
+    """
+    spark = emb.sparkSession
+    draw = oversample or 2 * k
+    rows = emb.select(key, F.col(vec).cast("array<double>").alias(vec))
+    first = rows.withColumn("_h", X.portable_hash(key, seed=seed)).orderBy("_h", key).limit(1).select(vec).collect()
+    drawn = matrix([first[0][0]])
+    schema = T.StructType([rows.schema[key], rows.schema[vec], T.StructField("_race", T.DoubleType())])
+    for r in range(rounds):
+        bc = spark.sparkContext.broadcast(drawn)
+
+        def race(batches, bc=bc):
+            best = None
+            for pdf in batches:
+                if len(pdf):
+                    far = _nearest_gap(matrix(pdf[vec]), bc.value) ** (power / 2.0)
+                    with np.errstate(divide="ignore"):
+                        part = pdf[[key, vec]].assign(_race=np.where(far > 0, -np.log(pdf["_u"].to_numpy()) / far, np.inf))
+                    part = part[np.isfinite(part["_race"])]
+                    best = (part if best is None else pd.concat([best, part])).nsmallest(draw, "_race", keep="all")
+            if best is not None:
+                yield best
+
+        u = X.unit_interval(X.portable_hash(key, seed=seed + r + 1))
+        picked = rows.withColumn("_u", u).mapInPandas(race, schema).orderBy("_race", key).limit(draw).select(vec).collect()
+        if not picked:
+            break
+        drawn = np.unique(np.concatenate([drawn, matrix([p[0] for p in picked])]), axis=0)
+    near = V.assign(rows, _codebook_df(spark, drawn, 0), vec=vec).groupBy("code").count().collect()  # a row for each drawn vector
+    weight = np.zeros(len(drawn))
+    weight[[r["code"] for r in near]] = [r["count"] for r in near]
+    return _codebook_df(spark, _recluster(drawn, weight, k, seed, power), 0)
+
+
+def _nearest_gap(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distance to the nearest centre, exactly zero at the centre itself."""
+    return ((x - centers[costs(x, centers).argmin(axis=1)]) ** 2).sum(axis=1)
+
+
+def _recluster(x: np.ndarray, weight: np.ndarray, k: int, seed: int, power: int = 2, starts: int = 8, steps: int = 20) -> np.ndarray:
+    """Weighted k-means of a few vectors: k-means++ starts and Lloyd steps, the cheapest of ``starts``."""
+    rng = np.random.default_rng(seed)
+    best = (np.inf, x)
+    for _ in range(starts if len(x) > k else 1):
+        at = [int(rng.choice(len(x), p=weight / weight.sum()))]
+        while len(at) < min(k, len(x)):
+            far = _nearest_gap(x, x[at]) ** (power / 2.0) * np.maximum(weight, 1e-9)
+            if not far.sum() > 0:
+                break
+            at.append(int(rng.choice(len(x), p=far / far.sum())))
+        centers = x[at].copy()
+        for _ in range(steps):
+            code = costs(x, centers).argmin(axis=1)
+            total = np.bincount(code, weight, len(centers))
+            sums = np.zeros_like(centers)
+            np.add.at(sums, code, x * weight[:, None])
+            moved = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-300)[:, None], centers)
+            if np.array_equal(moved, centers):
+                break
+            centers = moved
+        loss = float((_nearest_gap(x, centers) * weight).sum())
+        best = min(best, (loss, centers), key=lambda f: f[0])
+    return best[1]
+
+
 def balanced_kmeans(emb: DataFrame, k: int, key: str = "item_id", vec: str = "embedding", max_iter: int = 100,
-                    seed: int = 0, level: int = 0, price_rounds: int = 8, tol: float = 1e-4, n_init: int = 1):
+                    seed: int = 0, level: int = 0, price_rounds: int = 8, tol: float = 1e-4, n_init: int = 3):
     """Size-bounded k-means; every cluster size within ``[max(1, n//k - 1), n//k + 1]``.
 
-    Lloyd iterations with a capacity-bounded assignment, until the centres move less than
-    ``tol`` (relative to their spread) or ``max_iter``; the best of ``n_init`` starts by
-    the sum of squared distances.  Every item is placed: the sizes add up to n.  With
-    fewer distinct vectors than codes the spare centres repeat chosen ones.
+    Lloyd iterations whose assignment is the cheapest inside the bounds (``balanced_assign``: a min-cost
+    flow between codes), from k-means|| seeds, until the centres move less than ``tol`` (relative to their spread) or
+    ``max_iter``; the best of ``n_init`` starts by the sum of squared distances.  Every item is
+    placed: the sizes add up to n.  With fewer distinct vectors than codes the spare centres repeat chosen ones.
     Returns (codebook, assigned).
     """
     n = emb.count()
     if n < k:
         raise ValueError("balanced k-means needs n >= k")
     data = cut_lineage(emb.select(key, vec))
-    best = None
-    for start in range(n_init):
-        found = _balanced_run(data, n, k, key, vec, max_iter, seed + 1000 * start, price_rounds, tol)
-        if best is None or found[0] < best[0]:
-            best = found
-    _, centers, assigned = best
+    # starts do not depend on each other: their small jobs share the cluster
+    with ThreadPoolExecutor(n_init) as pool:
+        runs = list(pool.map(lambda i: _balanced_run(data, n, k, key, vec, max_iter, seed + 1000 * i, price_rounds, tol), range(n_init)))
+    _, centers, assigned = min(runs, key=lambda found: found[0])
     return _codebook_df(emb.sparkSession, centers, level), assigned
 
 
 def _balanced_run(data, n, k, key, vec, max_iter, seed, price_rounds, tol):
-    centers = V.codebook_matrices(kmeanspp_seed(data, k, key, vec, seed))[0]
+    centers = V.codebook_matrices(kmeans_parallel_seed(data, k, key, vec, seed))[0]
     if len(centers) < k:  # fewer distinct vectors than codes
         centers = np.concatenate([centers, centers[np.arange(k - len(centers)) % len(centers)]])
+    prices = None
     for _ in range(max(1, max_iter)):
-        assigned = cut_lineage(_capacity_assign(data, centers, n, key, vec, price_rounds))
+        assigned, prices = balanced_assign(data, centers, n, key, vec, prices, price_rounds)
         means = V.mean_vector(assigned, "code", vec, "vector").select("code", "vector").limit(k).collect()  # K rows
         moved = centers.copy()
         for r in means:
@@ -99,75 +175,6 @@ def _balanced_run(data, n, k, key, vec, max_iter, seed, price_rounds, tol):
     return float(loss), centers, assigned
 
 
-def _capacity_assign(data: DataFrame, centers: np.ndarray, n: int, key: str, vec: str, rounds: int) -> DataFrame:
-    """Assign every row to a code with all sizes inside the bounds.
-
-    Prices on popular codes (an auction on K numbers, steps scaled by the spread of the
-    distances) even the demand out; then codes take their cheapest items up to quotas that
-    add up to n, the larger quotas going to the codes most asked for, and the rest try
-    their next choice.  A refused code is full, so everyone is placed after at most K tries.
-    """
-    spark = data.sparkSession
-    k = centers.shape[0]
-    lo, hi = max(1, n // k - 1), n // k + 1
-    bc = spark.sparkContext.broadcast(centers)
-    schema = T.StructType([data.schema[key], T.StructField("dists", T.ArrayType(T.DoubleType()))])
-
-    def dist_batches(batches):
-        c = bc.value
-        csq = (c * c).sum(1)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            d = (x * x).sum(1)[:, None] - 2.0 * (x @ c.T) + csq[None, :]
-            yield pdf[[key]].assign(dists=list(np.maximum(d, 0.0)))
-
-    dists = cut_lineage(data.mapInPandas(dist_batches, schema))
-    spread = dists.agg(F.avg(F.array_max("dists") - F.array_min("dists"))).first()[0] or 1.0
-    prices = np.zeros(k)
-
-    def priced(pr):
-        pl = F.array(*[F.lit(float(p)) for p in pr])
-        return F.zip_with("dists", pl, lambda d, p: d + p)
-
-    def choice(pr):
-        cost = priced(pr)
-        return (F.array_position(cost, F.array_min(cost)) - 1).cast("int")
-
-    step = spread / 4
-    for _ in range(rounds + 1):
-        counts = dict(dists.select(choice(prices).alias("c")).groupBy("c").count().collect())
-        size = np.array([counts.get(i, 0) for i in range(k)], dtype=np.float64)
-        if (size <= hi).all() and (size >= lo).all():
-            return dists.select(key, choice(prices).alias("code")).join(data, key)
-        prices = prices + step * np.clip(size * k / n - 1, -1, 1)
-        step *= 0.7
-    quota = np.full(k, n // k)
-    quota[np.argsort(-size, kind="stable")[: n % k]] += 1
-    cost = priced(prices)
-    order = F.transform(F.array_sort(F.transform(cost, lambda c, i: F.struct(c.alias("c"), i.alias("i")))), lambda s: s["i"])
-    pending = dists.select(key, "dists", order.alias("_order")).withColumn("_try", F.lit(1))
-    placed = None
-    while True:
-        cand = pending.withColumn("code", F.element_at("_order", F.col("_try")).cast("int")).withColumn(
-            "_cost", F.element_at("dists", F.col("code") + 1))
-        room = F.element_at(F.array(*[F.lit(int(q)) for q in quota]), F.col("code") + 1)
-        # rank inside each code without a per-code window (a popular code is split)
-        ranked = group_row_number(cand, ["code"], ["_cost", key], name="_r")
-        ok = cut_lineage(ranked.withColumn("_ok", F.col("_r") <= room))
-        acc = ok.filter("_ok").select(key, "code")
-        placed = acc if placed is None else placed.unionByName(acc)
-        for row in acc.groupBy("code").count().collect():
-            quota[int(row["code"])] -= int(row["count"])
-        if not quota.sum():
-            return placed.join(data, key)
-        # straight to the first choice that still has room
-        open_ = F.array(*[F.lit(int(i)) for i in np.nonzero(quota)[0]])
-        left = F.filter("_order", lambda c: F.array_contains(open_, c.cast("int")))
-        pending = ok.filter(~F.col("_ok")).select(key, "dists", left.alias("_order"), F.lit(1).alias("_try"))
-
-
 def residual_kmeans(emb: DataFrame, ks, key: str = "item_id", vec: str = "embedding", seed: int = 0,
                     balanced: bool = False, max_iter: int = 20):
     """C11: fit one k-means per level on the residuals of the previous levels.
@@ -214,10 +221,6 @@ def _log_sum(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return top, np.exp(s - top).sum(axis=0)
 
 
-def _matrix(col) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col])
-
-
 def sinkhorn_assign(emb: DataFrame, codebook: DataFrame, key: str = "item_id", vec: str = "embedding", level: int = 0,
                     eps: float = 0.003, iters: int = 50, batch: str | None = None) -> DataFrame:
     """Sinkhorn balanced assignment in the log domain.
@@ -242,7 +245,7 @@ def sinkhorn_assign(emb: DataFrame, codebook: DataFrame, key: str = "item_id", v
         c = bc.value
         for pdf in batches:
             if len(pdf):
-                x = _matrix(pdf[vec])
+                x = matrix(pdf[vec])
                 yield pdf[[key, b]].assign(d=list(np.stack([((x - row) ** 2).sum(axis=1) for row in c], axis=1)))
 
     numbers = T.ArrayType(T.DoubleType())
@@ -254,7 +257,7 @@ def sinkhorn_assign(emb: DataFrame, codebook: DataFrame, key: str = "item_id", v
     out = T.StructType([kind, T.StructField("code", T.IntegerType())])
 
     def in_task(pdf):
-        lq, u = _matrix(pdf["lq"]), np.zeros(len(centers))
+        lq, u = matrix(pdf["lq"]), np.zeros(len(centers))
         for _ in range(iters):
             top, total = _log_sum(_row_normal(lq, u))
             u = u + top + np.log(total)
@@ -267,35 +270,34 @@ def sinkhorn_assign(emb: DataFrame, codebook: DataFrame, key: str = "item_id", v
         large = items.filter(F.col("_n") > SINKHORN_TASK_ITEMS)
         if large.isEmpty():
             return small
-    done = _distributed_rounds(large, b, len(centers), iters).select(key, "code")
+    done = _distributed_rounds(large, b, len(centers), iters, batch is None).select(key, "code")
     return done if small is None else small.unionByName(done)
 
 
-def _distributed_rounds(items: DataFrame, b: str, k: int, iters: int) -> DataFrame:
+def _distributed_rounds(items: DataFrame, b: str, k: int, iters: int, one_batch: bool) -> DataFrame:
     """Sinkhorn rounds over batches of any size; ``u`` is one K-vector per batch."""
     cols = cut_lineage(items.select(b).distinct().withColumn("u", F.array_repeat(F.lit(0.0), k)))
-    numbers = T.ArrayType(T.DoubleType())
-    partial = T.StructType([items.schema[b], T.StructField("top", numbers), T.StructField("total", numbers), T.StructField("u", numbers)])
+    partial = T.StructType([items.schema[b], T.StructField("code", T.IntegerType()), T.StructField("v", T.DoubleType())])
 
     def shares(batches):
         for pdf in batches:
             for name, part in pdf.groupby(b, sort=False):
                 u = np.asarray(part["u"].iloc[0], dtype=np.float64)
-                top, total = _log_sum(_row_normal(_matrix(part["lq"]), u))
-                yield part.iloc[:1][[b]].assign(top=[top], total=[total], u=[u])
-
-    for i in range(iters):
-        parts = items.join(cols, b).select(b, "lq", "u").mapInPandas(shares, partial)
-        # a K-vector for each Arrow batch: merged by code with partial aggregates in two steps
-        long = parts.select(b, F.posexplode(F.arrays_zip("top", "total", "u")).alias("code", "p")).select(b, "code", "p.top", "p.total", "p.u")
-        high = long.groupBy(b, "code").agg(F.collect_list(F.struct("top", "total")).alias("l"), F.first("u").alias("u"))
-        m = F.array_max(F.transform("l", lambda x: x["top"]))
-        lse = m + F.log(F.aggregate("l", F.lit(0.0), lambda acc, x: acc + x["total"] * F.exp(x["top"] - m)))
-        new = high.select(b, "code", (F.col("u") + lse).alias("v"))
-        cols = new.groupBy(b).agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "v"))), lambda x: x["v"]).alias("u"))
+                top, total = _log_sum(_row_normal(matrix(part["lq"]), u))
+                with np.errstate(divide="ignore"):
+                    yield pd.DataFrame({b: np.repeat(part[b].iloc[:1].to_numpy(), k), "code": np.arange(k, dtype=np.int32), "v": u + top + np.log(total)})
+
+    # with one batch its K-vector goes to every task; batches of their own are joined by their name
+    beside = F.broadcast if one_batch else (lambda frame: frame)
+    for _ in range(iters):
+        parts = items.join(beside(cols), b).select(b, "lq", "u").mapInPandas(shares, partial)
+        # K numbers for each Arrow batch, merged by code with partial aggregates (nothing is gathered);
+        # what the codes were divided by before is inside the numbers already
+        new = log_sum_exp(parts, [b, "code"], "v", "u")
+        cols = new.groupBy(b).agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "u"))), lambda x: x["u"]).alias("u"))  # K rows
         cols = cut_lineage(cols)
     best = F.zip_with("lq", "u", lambda x, u: x - u)
-    return items.join(cols, b).withColumn("code", (F.array_position(best, F.array_max(best)) - 1).cast("int"))
+    return items.join(beside(cols), b).withColumn("code", (F.array_position(best, F.array_max(best)) - 1).cast("int"))
 
 
 def init_codebook(old: DataFrame, target_dim: int) -> DataFrame:

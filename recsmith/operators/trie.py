@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .logsum import log_sum_exp
 
 EOS = "</s>"
 
+#: Vocabulary bytes that are broadcast at a time.
+BROADCAST_BYTES = 64 << 20
+
 
 def build_trie(df: DataFrame, tokens: str = "tokens", eos: str = EOS) -> DataFrame:
     """``(depth, prefix, allowed array<string> sorted)`` from token lists; the
@@ -40,12 +44,26 @@ def allowed_next(trie: DataFrame, prefixes: DataFrame, depth: str = "depth", pre
 
 
 def log_softmax(df: DataFrame, keys, logit: str = "logit", name: str = "logp") -> DataFrame:
-    """Log-softmax of ``logit`` inside ``keys`` (max-shifted log-sum-exp, partial aggregate)."""
+    """Log-softmax of ``logit`` inside ``keys`` (mergeable log-sum-exp, one join)."""
     keys = list(keys)
-    mx = df.groupBy(*keys).agg(F.max(logit).alias("_mx"))
-    j = df.join(mx, keys)
-    lse = j.groupBy(*keys).agg((F.first("_mx") + F.log(F.sum(F.exp(F.col(logit) - F.col("_mx"))))).alias("_lse"))
-    return j.drop("_mx").join(lse, keys).withColumn(name, F.col(logit) - F.col("_lse")).drop("_lse")
+    return df.join(log_sum_exp(df, keys, logit, "_lse"), keys).withColumn(name, F.col(logit) - F.col("_lse")).drop("_lse")
+
+
+def over_vocabulary(prefixes: DataFrame, vocab: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Every prefix row with every token of the vocabulary (what a model scores at a step).
+
+    The vocabulary stays a table.  Its size is counted first: up to ``max_bytes`` it is
+    broadcast, a larger one in as many hash parts as it takes, one after the other, so
+    no task ever holds more than that much of it and prefixes are never shuffled.
+    """
+    held = vocab.agg((F.count(F.lit(1)) * 64 + F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).alias("b")).first()["b"]
+    parts = max(1, -(-held // max_bytes))
+    out = None
+    for i in range(parts):
+        part = vocab if parts == 1 else vocab.where(F.pmod(F.xxhash64("token"), F.lit(parts)) == i)
+        rows = prefixes.crossJoin(F.broadcast(part))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def constrain_scores(scores: DataFrame, trie: DataFrame, temperature: float = 1.0, query: str = "query_id",
@@ -79,25 +97,24 @@ def beam_topk(queries: DataFrame, trie: DataFrame, vocab: DataFrame, logit_fn, b
     the sequence text.  Each step keeps ``beams`` rows per query; the number of steps
     follows from the prefix table (its deepest prefix and the EOS after it).
 
-    The vocabulary travels inside the plan as one row with one array and never reaches
-    the driver; the prefixes of a level join by equality, the single root row by a
-    one-row cross join.
+    The vocabulary is a table: the scores of a step are rows (``over_vocabulary``) that a mergeable
+    log-sum-exp adds up to one normaliser for each beam.  The prefixes of a level join by equality; the root row
+    goes to every query by a broadcast.
     """
-    # the prefix table is read at every step: materialise it once
+    # the prefix table and the vocabulary are read at every step: materialise them once
     trie = cut_lineage(trie.select("depth", "prefix", "allowed"))
-    words = cut_lineage(vocab.agg(F.array_sort(F.collect_set("token")).alias("_voc")))
+    vocab = cut_lineage(vocab.select("token"))
     last = trie.agg(F.max("depth")).first()[0]
     steps = (0 if last is None else last + 1) if depth is None else depth
     cur = queries.select(query).distinct().select(query, F.lit("").alias("prefix"), F.lit(0.0).alias("score"), F.lit(False).alias("ended"))
     for d in range(steps):
-        lg = F.transform("_voc", lambda t: logit_fn(F.col(query), F.col("prefix"), t))
-        norm = cur.filter(~F.col("ended")).crossJoin(F.broadcast(words)).withColumn("_lg", lg).withColumn("_mx", F.array_max("_lg")).select(
-            query, "prefix", "score",
-            (F.col("_mx") + F.log(F.aggregate("_lg", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_mx"))))).alias("_lse"))
+        live = cur.filter(~F.col("ended")).select(query, "prefix", "score")
+        scored = over_vocabulary(live.select(query, "prefix"), vocab).select(query, "prefix", logit_fn(F.col(query), F.col("prefix"), F.col("token")).alias("_lg"))
+        norm = log_sum_exp(scored, [query, "prefix"], "_lg", "_lse")
         lvl = trie.filter(F.col("depth") == d)
         # depth 0 has the one root prefix: its row goes to every query without an exchange on ""
-        at = norm.crossJoin(F.broadcast(lvl.select("allowed"))) if d == 0 else norm.join(lvl.select("prefix", "allowed"), "prefix")
-        cand = at.select(query, "prefix", "score", "_lse", F.explode("allowed").alias("token")).withColumn(
+        at = live.crossJoin(F.broadcast(lvl.select("allowed"))) if d == 0 else live.join(lvl.select("prefix", "allowed"), "prefix")
+        cand = at.join(norm, [query, "prefix"]).select(query, "prefix", "score", "_lse", F.explode("allowed").alias("token")).withColumn(
             "score", F.col("score") + logit_fn(F.col(query), F.col("prefix"), F.col("token")) - F.col("_lse"))
         cand = cand.select(query, F.concat(F.col("prefix"), F.col("token")).alias("prefix"), "score", (F.col("token") == eos).alias("ended"))
         both = cand.unionByName(cur.filter("ended"))

@@ -69,8 +69,8 @@ def append_target(spark, d):
 
 @register("repeat_flag", FX.with_ctes(SEQ_CTES, "SELECT user_id, CAST(coalesce(history[len(history)] = target, false) AS BIGINT) AS is_repeat FROM inter"))
 def repeat_flag(spark, d):
-    """Target equals the last history item."""
-    i = inter(spark, d)
+    """Target equals the last history item; only each user's last two events leave their tasks."""
+    i = S.leave_last_out(S.last_items(FX.events(spark, d), "user_id", FX.EVENT_KEY, 2))
     return i.select("user_id", S.repeat_flag("history", "target").cast("bigint").alias("is_repeat"))
 
 
@@ -85,8 +85,8 @@ def pad_right(spark, d):
 @register("pad_history", FX.with_ctes(SEQ_CTES, f"""SELECT user_id,
        {_ids_sql("list_concat(" + X.tail_sql("history", 10) + ", list_transform(range(greatest(10 - len(history), 0)), lambda x: 0))")} AS padded FROM inter"""))
 def pad_history(spark, d):
-    """Keep the last 10 history items, then right pad with 0."""
-    i = inter(spark, d)
+    """Keep the last 10 history items, then right pad with 0; only each user's last 11 events leave their tasks."""
+    i = S.leave_last_out(S.last_items(FX.events(spark, d), "user_id", FX.EVENT_KEY, 11))
     return i.select("user_id", _ids(S.pad_history("history", 10, 0)).alias("padded"))
 
 

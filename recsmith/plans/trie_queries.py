@@ -82,9 +82,8 @@ def constrained_scores(spark, d):
     t = FX.eval_targets(spark, d, idx).join(idx.select(F.col("item_id").alias("target"), "tokens"), "target")
     q = t.select(F.col("user_id").alias("query_id"), F.lit(2).alias("depth"),
                  F.when(F.col("user_id") % 2 == 1, F.lit("<a_0><b_0>")).otherwise(F.array_join(F.slice("tokens", 1, 2), "")).alias("prefix"))
-    # the scores of a step: one row with the vocabulary as an array for all queries
-    voc = TR.vocabulary(idx).agg(F.collect_set("token").alias("_voc"))
-    sc = q.crossJoin(F.broadcast(voc)).withColumn("token", F.explode("_voc")).drop("_voc").withColumn("logit", TR.token_logit(F.col("query_id"), F.col("prefix"), F.col("token")))
+    # the scores of a step: every query's prefix with every token of the vocabulary table
+    sc = TR.over_vocabulary(q, TR.vocabulary(idx)).withColumn("logit", TR.token_logit(F.col("query_id"), F.col("prefix"), F.col("token")))
     c = TR.constrain_scores(sc, trie, temperature=0.7)
     return c.select("query_id", "token", X.r6("logp").alias("logp"))
 

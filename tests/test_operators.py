@@ -188,3 +188,17 @@ def test_gpr_parity_pairing(spark):
     assert "items [O_TOKEN]<s6>, [I_TOKEN]<s7>, [O_TOKEN] in" in par["prompt"]
     assert al["completion"] == "[I_TOKEN]<s8>\n" and al["final_value"] == 4.0
     assert al["prompt"].count("[USER_UNKNOWN] [CTX_HOMEPAGE]") == 1
+
+
+def test_last_items_keep_the_rank_limit_below_the_exchange(spark):
+    from recsmith.operators import sequences as S
+
+    # one user with a third of all events
+    ev = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 400 + 1).alias("user_id"), ((F.col("id") * 7919) % 3000).alias("ts"), F.col("id").alias("item_id"))
+    got = S.last_items(ev.repartition(6), "user_id", ["ts"], 3)
+    want = {}
+    for r in sorted(ev.collect(), key=lambda r: r["ts"]):
+        want.setdefault(r["user_id"], []).append(r["item_id"])
+    assert {r["user_id"]: r["items"] for r in got.collect()} == {u: v[-3:] for u, v in want.items() if len(v) >= 2}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Exchange hashpartitioning(user_id") < plan.rindex("WindowGroupLimit")

@@ -13,7 +13,7 @@ from .conftest import SF01
 def test_balanced_kmeans_bounds(spark):
     emb = FX.vectors(spark, SF01).select("item_id", "embedding")
     n, k = emb.count(), 16
-    _, a = Q.balanced_kmeans(emb, k, max_iter=2, seed=1)
+    _, a = Q.balanced_kmeans(emb, k, max_iter=2, seed=1, n_init=1)
     sizes = {r["code"]: r["count"] for r in a.groupBy("code").count().collect()}
     assert sum(sizes.values()) == n
     assert a.select("item_id").distinct().count() == n
@@ -29,10 +29,10 @@ def test_balanced_kmeans_far_centre_and_few_distinct_vectors(spark):
     rng = np.random.default_rng(1)
     near = [(i, (rng.normal(size=4) * 0.1 + np.eye(4)[i % 3] * 2).tolist()) for i in range(31)]
     emb = spark.createDataFrame([*near, (31, [50.0, 50.0, 50.0, 50.0])], "item_id bigint, embedding array<double>")
-    _, a = Q.balanced_kmeans(emb, 4, max_iter=4, seed=1)
+    _, a = Q.balanced_kmeans(emb, 4, max_iter=4, seed=1, n_init=1)
     assert sum(_sizes(a)) == 32 and all(7 <= s <= 9 for s in _sizes(a)) and len(_sizes(a)) == 4
     two = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(32)], "item_id bigint, embedding array<double>")
-    cb, a = Q.balanced_kmeans(two, 4, max_iter=3, seed=1)
+    cb, a = Q.balanced_kmeans(two, 4, max_iter=3, seed=1, n_init=1)
     assert cb.count() == 4 and sum(_sizes(a)) == 32 and all(7 <= s <= 9 for s in _sizes(a))
     assert a.select("item_id").distinct().count() == 32
 
