@@ -8,7 +8,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, MapType, StructField, StructType, VariantType
 
 from .common import map_texts
 from .tokens import text_ids
@@ -91,7 +91,8 @@ def pack(pieces: DataFrame, size: int = 1024, open_bins: int = OPEN_BINS, length
     Only the narrow piece rows are exchanged (balanced by Spark to the advisory size, so
     the number of packing tasks follows the data and a hot document or source has no
     task of its own).  Each task packs what it gets with ``open_bins`` open sequences;
-    numbers are the partition's number in the high bits.  Places with a null length are
+    numbers are the partition's number in the high bits.  A task's rows are sorted first, so a task
+    run again after an executor was lost places every piece where it was.  Places with a null length are
     an error; an empty table gives no rows.
     """
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
@@ -106,7 +107,8 @@ def pack(pieces: DataFrame, size: int = 1024, open_bins: int = OPEN_BINS, length
                 names=[*batch.schema.names, "sequence_id", "offset"],
             )
 
-    return pieces.hint("rebalance").mapInArrow(run, schema)
+    order = [f.name for f in pieces.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return pieces.hint("rebalance").sortWithinPartitions(*[f"`{c}`" for c in order]).mapInArrow(run, schema)
 
 
 def pack_documents(

@@ -6,6 +6,7 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import numpy as np
@@ -78,6 +79,7 @@ _TRIGGER = re.compile(r"[0-9]|@|[(\[]at[)\]]|[ \]\)]dot[ \[\(]|[(\[]dot[)\]]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[ \t]+|\s|.", re.S)
 _AT = frozenset({"@", "at"})
 _NUMBER_SIGNS = frozenset(" +().-/")
+_GAP = re.compile(r"\s")
 REACH, MARGIN = 24, 32
 
 _CONTEXT = {
@@ -112,10 +114,15 @@ def stretches(text: str) -> list[tuple[int, int]]:
     for s, e, digits, marked in out:
         if marked or digits >= 7:
             s, e = max(0, s - MARGIN), min(len(text), e + MARGIN)
-            while s and not text[s - 1].isspace() and s > (got[-1][1] if got else 0):
+            done = got[-1][1] if got else 0
+            while s > done and not text[s - 1].isspace():
                 s -= 1
-            while e < len(text) and not text[e].isspace():
-                e += 1
+            if e <= done:  # the run before was widened over this place already
+                e = done
+            elif gap := _GAP.search(text, e):
+                e = gap.start()
+            else:
+                e = len(text)
             if got and s <= got[-1][1]:
                 got[-1] = (got[-1][0], e)
             else:
@@ -327,11 +334,24 @@ def fit_field(n: int = WINDOWS, epochs: int = 25, seed: int = 11) -> np.ndarray:
 def all_spans(text: str, weights: np.ndarray, base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
     """Base spans and, where they do not overlap one, the field's."""
     base = base_spans(text) if base is None else base
+    # base spans as disjoint stretches in order: whether one meets a place is a binary search
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def meets_base(s: int, e: int) -> bool:
+        at = bisect_left(starts, e)
+        return bool(at) and ends[at - 1] > s
+
     added = []
     for s, e in stretches(text):
-        inside = [b for b in base if b[1] < e and s < b[2]]
         if (w := window(text, s, e)) is not None:
-            added += [x for x in decode(w, weights) if not any(b[1] < x[2] and x[1] < b[2] for b in inside)]
+            added += [x for x in decode(w, weights) if not meets_base(x[1], x[2])]
     return sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2])) if added else base
 
 

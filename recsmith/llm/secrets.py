@@ -9,6 +9,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -33,7 +34,8 @@ DICTIONARY = (
 _RUN = re.compile(r"[A-Za-z0-9_+/\-]{12,}={0,2}")
 _ASSIGN = re.compile(r"[:=]")
 _NAME = re.compile(r"([A-Za-z][A-Za-z0-9_\-]{1,39})[\"']?[ \t]{0,3}\Z")
-_VALUE = re.compile(r"[ \t]{0,3}([\"']?)([^\s\"'<>]{8,})")
+_HEAD, _TAIL = re.compile(r"[ \t]{0,3}[\"']?"), re.compile(r"[^\s\"'<>]*")
+_SECRET_NAME = re.compile("|".join(map(re.escape, SECRET_NAMES)), re.I)
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
 _KEY_FORMAT = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{30,}|glpat-[A-Za-z0-9_\-]{16,}")
 _KEY_INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{_KEY_FORMAT.pattern})(?![A-Za-z0-9])")
@@ -51,17 +53,41 @@ FEATURES = (
 _RANK = {"private_key": 0, "key": 1, "assignment": 2, "string": 3}
 
 
+def _assigned(text: str) -> list[tuple[int, int, str]]:
+    """Values of assignments whose name is a secret's, in one pass over the text.
+
+    Names are looked at first, and a run without white space, quotes or angle brackets
+    is walked once, however many assignments stand in it.  A value ends with its run, or
+    where the name of the run's next such assignment begins.
+    """
+    names = [m.end() for m in _SECRET_NAME.finditer(text)] if "=" in text or ":" in text else []
+    found, start, end = [], 0, -1
+    for m in _ASSIGN.finditer(text) if names else ():
+        at = bisect_right(names, m.start())
+        if not at or names[at - 1] < m.start() - CONTEXT:
+            continue
+        near = max(0, m.start() - CONTEXT)
+        name = _NAME.search(text[near : m.start()])
+        if name and any(s in name[1].lower() for s in SECRET_NAMES):
+            value = _HEAD.match(text, m.end()).end()
+            if not start <= value <= end:
+                start, end = value, _TAIL.match(text, value).end()
+            found.append((near + name.start(1), value, end))
+    out = []
+    for i, (_, value, stop) in enumerate(found):
+        cut = i + 1 < len(found) and value <= found[i + 1][0] < stop
+        stop = found[i + 1][0] if cut else stop
+        if stop - value >= 8 and not text.startswith("//", value):
+            while stop > value + 8 and text[stop - 1] in (".,;:!?)]}&" if cut else ".,;:!?)]}"):
+                stop -= 1
+            out.append((value, stop, "assignment"))
+    return out
+
+
 def _places(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of every place worth scoring; places may overlap, each pair of ends comes once."""
     found = [(m.start(), m.end(), "private_key") for m in _PEM.finditer(text)] if "PRIVATE KEY-----" in text else []
-    for m in _ASSIGN.finditer(text) if "=" in text or ":" in text else ():
-        value = _VALUE.match(text, m.end())
-        name = _NAME.search(text[max(0, m.start() - CONTEXT) : m.start()]) if value else None
-        if name and any(s in name[1].lower() for s in SECRET_NAMES) and not value[2].startswith("//"):
-            end = value.end(2)
-            while end > value.start(2) + 8 and text[end - 1] in ".,;:!?)]}":
-                end -= 1
-            found.append((value.start(2), end, "assignment"))
+    found += _assigned(text)
     for m in _RUN.finditer(text):
         v = m[0]
         if v.islower() and v.isalpha():
@@ -200,8 +226,8 @@ def secret_scan(df: DataFrame, model: Forest, threshold: float = 0.5, id_col: st
     points, ``stop`` exclusive; the value itself is not returned).  ``kept`` candidates
     are secrets, the others are what the forest removed.  Candidates are private key
     blocks, known key formats (also inside a path or after a name, where no letter or
-    digit touches them), assigned values of 8 characters or more, and runs of 12 or more
-    with a digit; shorter ones are not looked at.  One pass, no shuffle.  Null and
+    digit touches them), assigned values of 8 characters or more (up to white space, a
+    quote or the next secret's name in the same run), and runs of 12 or more with a digit; shorter ones are not looked at.  One pass, no shuffle.  Null and
     empty texts have no candidates; null and repeated ids and rows are scanned like any;
     an empty table gives no rows; other columns are ignored.
     """
@@ -225,10 +251,12 @@ def mask_secrets(text: Column, model: Forest, threshold: float = 0.5, mask: str
         whole = [t or "" for t in texts]
         out = []
         for given, t, found in zip(texts, whole, scan(whole, model, threshold), strict=True):
-            for s, e, _, _, kept in reversed(found):
+            parts, at = [], 0
+            for s, e, _, _, kept in found:
                 if kept:
-                    t = t[:s] + mask + t[e:]
-            out.append(None if given is None else t)
+                    parts += [t[at:s], mask]
+                    at = e
+            out.append(None if given is None else "".join([*parts, t[at:]]))
         return pd.Series(out, dtype=object)
 
     return masked(text)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, map_texts
@@ -80,13 +82,7 @@ def simhash_components(
     fingerprint and a null ``component_id``.  Repeated rows each give a row.  An empty
     table gives no rows; other columns are ignored.
     """
-    prints = cut_lineage(simhash(df, shingle, seed, id_col, text_col))
-    nodes = cut_lineage(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(ball_links(nodes, max_bits))
-    classes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(smallest, "root").select(F.col("fp").alias("_node"), "component_id")
-    out = prints.join(named, prints["fp"] == named["_node"], "left")
+    out = _classes(df, shingle, max_bits, seed, id_col, text_col)
     return out.select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -94,21 +90,49 @@ def simhash_components(
     )
 
 
+def _classes(df: DataFrame, shingle: int, max_bits: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, fp, root, component_id`` of every row: the class by its smallest fingerprint and by its smallest id."""
+    prints = cut_lineage(simhash(df, shingle, seed, id_col, text_col))
+    nodes = cut_lineage(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(ball_links(nodes, max_bits))
+    classes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = classes.join(smallest, "root").select(F.col("fp").alias("_node"), "root", "component_id")
+    return prints.join(named, prints["fp"] == named["_node"], "left").drop("_node")
+
+
 def near_dedup(
     df: DataFrame, shingle: int = 3, max_bits: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Keep the rows of one document (the smallest id) of each near-duplicate class, all columns as given.
+    """Keep one row (of the smallest id) of each near-duplicate class, all columns as given.
 
-    Only the ids to drop are joined to the documents.  Rows that repeat an id are one
-    document: the smallest row stays.  Rows with a null id cannot be named and all stay.
-    An empty table gives no rows.
+    Only the ids to drop are joined to the documents.  Rows that repeat an id are told
+    apart by their texts: each belongs to its own text's class, and of those that share class and
+    smallest id the one with the smallest fingerprint stays (then by the row's content), so no text is lost
+    whose class has no other row.  Rows with a null id cannot be named and all stay.  Columns may have
+    any name and type.  An empty table gives no rows.
     """
-    classes = cut_lineage(simhash_components(df, shingle, max_bits, seed, id_col, text_col))
-    dropped = classes.where("component_id != doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    kept = df.join(dropped, F.col(id_col) == F.col("_drop"), "left_anti")
-    repeated = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
-    if repeated.isEmpty():
-        return kept
-    same = F.col(id_col) == F.col("_again")
-    first = kept.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias("_again")).agg(F.min(F.struct(*[F.col(c) for c in df.columns])).alias("_row"))
-    return kept.join(repeated, same, "left_anti").unionByName(first.select("_row.*"))
+    classes = cut_lineage(_classes(df, shingle, max_bits, seed, id_col, text_col))
+    # names that no column of the input has
+    again, gone, fp, root, best, turn = (f"_{uuid.uuid4().hex}" for _ in range(6))
+    named = F.col(f"`{id_col}`").cast("bigint")
+    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again))
+    several = not repeated.isEmpty()
+    dropped = classes.where("component_id != doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    if not several:
+        return df.join(dropped, named == F.col(gone), "left_anti")
+    repeated = cut_lineage(repeated)
+    single = df.join(repeated, named == F.col(again), "left_anti").join(dropped, named == F.col(gone), "left_anti")
+
+    @F.pandas_udf("bigint")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t or "", shingle, seed) for t in texts], np.uint64).view(np.int64))
+
+    # only rows whose id repeats are hashed again, with their columns
+    rows = df.join(repeated, named == F.col(again), "left_semi").withColumn(fp, print_of(F.col(f"`{text_col}`").cast("string")))
+    of = classes.select(F.col("fp").alias(again), F.col("root").alias(root), F.col("component_id").alias(best)).distinct()
+    rows = rows.join(of, F.col(fp) == F.col(again)).where(named == F.col(best))
+    content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    first = Window.partitionBy(best, root).orderBy(fp, F.xxhash64(content))  # Spark keeps each task's first row only
+    rows = rows.withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1)
+    return single.unionByName(rows.select(*[F.col(f"`{c}`") for c in df.columns]))
