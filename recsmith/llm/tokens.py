@@ -14,8 +14,8 @@ from .bpe_codec import byte_characters
 from .common import map_texts
 from .segments import PieceCache
 
-#: Entries of a worker's cache of encoded words (about 100 MB at most).
-CACHE_ENTRIES = 500_000
+#: Entries of a worker's cache of encoded words (about 60 MB at most).
+CACHE_ENTRIES = 300_000
 
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _FIRST = frozenset(" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
