@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, cut_lineage, ensure_checkpoint_dir, remove_folder
+from .common import byte_slices, cut_lineage, ensure_checkpoint_dir, release_shuffles, remove_folder
 
 #: Shards of one cycle: longer phrases may start after each (every step is a few small jobs besides its scan).
 SHARDS = 2
@@ -288,6 +288,8 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
         # the latest step stands in the rows, so the steps run the same generated code
         enough = sum((F.col(h) for h in by_shard[1:]), F.col(by_shard[0])) >= threshold
         counts = cut_lineage(merged.withColumn("reached", F.coalesce("reached", F.when(enough, F.col("at")))))
+        del rows, merged
+        release_shuffles(spark)
         if step == shards - 1:
             totals = cut_lineage(_total(counts.where("words = 1"), by_shard).groupBy("lang").agg(F.sum("hits").alias("hits")))
         counts = counts.where(F.col("reached").isNotNull() | (F.col("at") > step - shards))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir, ship_package
 #: UTF-8 bytes of text that one step of a Python worker holds at a time.
 SLICE_BYTES = 8 << 20
 
-__all__ = ["SLICE_BYTES", "byte_slices", "cut_lineage", "id_text", "map_texts", "prepare", "remove_folder", "sample_order", "table"]
+__all__ = ["SLICE_BYTES", "byte_slices", "cut_lineage", "id_text", "map_texts", "prepare", "release_shuffles", "remove_folder", "sample_order", "table"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -30,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle and checkpoint files of frames that are no longer used.
+
+    The cleaner acts when the driver's JVM collects its references, which a loop over
+    large tables and a quiet driver may wait for too long while disks fill.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system (a table that was only needed meanwhile)."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
