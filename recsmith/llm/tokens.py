@@ -14,8 +14,9 @@ from .bpe_codec import byte_characters
 from .common import map_texts
 from .segments import PieceCache
 
-#: Entries of a worker's cache of encoded words (about 60 MB at most).
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's caches of encoded words (about 100 MB each at most); ids take more room than lengths.
+CACHE_ENTRIES = 500_000
+ID_ENTRIES = 300_000
 
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _FIRST = frozenset(" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -93,7 +94,7 @@ def _length_cache(path: str) -> PieceCache:
 
 @functools.lru_cache(maxsize=2)
 def _id_cache(path: str) -> PieceCache:
-    return PieceCache(_encoder(path), CACHE_ENTRIES)
+    return PieceCache(_encoder(path), ID_ENTRIES)
 
 
 def _whole(texts: list[str], path: str) -> dict[int, str]:
