@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, MapType, StructField, StructType, VariantType
 
-from .common import map_texts
+from .common import byte_slices, id_text
 from .tokens import text_ids
 
 #: Open sequences a packing task holds.
@@ -72,17 +72,22 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def tokenised_pieces(df: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document as ids plus ``end_id``, cut to ``size``: one row per piece with the CRC-32 of its ids."""
     end = int(end_id).to_bytes(4, "little")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def run(ids: list, texts: list[str]) -> dict:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for doc, data in zip(ids, text_ids(texts, tokenizer_path), strict=True):
-            data += end
-            for k, (start, length) in enumerate(cut(len(data) // 4, size)):
-                for name, value in zip(out, (doc, k, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])), strict=True):
-                    out[name].append(value)
-        return out
-
-    return map_texts(df, run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", id_col, text_col)
+    def run(batches):
+        for batch in batches:
+            for part in byte_slices(batch, 1):
+                out: list[tuple] = []
+                for doc, data in zip(part.column(0).to_pylist(), text_ids(part.column(1), tokenizer_path), strict=True):
+                    last = len(data) // 4
+                    for k, (start, length) in enumerate(cut(last + 1, size)):
+                        crc = zlib.crc32(data[4 * start : 4 * (start + length)])
+                        # the end id stands behind the text's own
+                        out.append((doc, k, start, length, zlib.crc32(end, crc) if start + length > last else crc))
+                columns = list(zip(*out)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns)], names=names)
+
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(pieces: DataFrame, size: int = 1024, open_bins: int = OPEN_BINS, length_col: str = "length") -> DataFrame:

@@ -8,15 +8,17 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe_codec import byte_characters
 from .common import map_texts
-from .segments import PieceCache
+from .segments import PieceCache, WordTable
 
 #: Entries of a worker's caches of encoded words (about 100 MB each at most); ids take more room than lengths.
 CACHE_ENTRIES = 500_000
-ID_ENTRIES = 300_000
+ID_ENTRIES = 400_000
 
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _FIRST = frozenset(" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -47,19 +49,26 @@ class WordEncoder:
     their work.  Words of anything else go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
+        self.entries = entries
         self.tokenizer = _tokenizer(path)
         self.model = Tokenizer(self.tokenizer.model)  # no pre-tokenizer: one string, one pre-token
-        self.table = dict(enumerate(byte_characters()))
-        self.space = self.table[32]
+        self.table = dict(enumerate(byte_characters())) | {0: 0}
         self.known: dict[str, bytes] = {}
 
-    def _mapped(self, part: str) -> str:
-        if part.isascii() and part[1:].isalpha() and part[0] == " ":
-            return self.space + part[1:]
-        return part.encode().decode("latin-1").translate(self.table)
+    def _alone(self, parts: list[str], step: int = 1 << 14) -> list[bytes]:
+        """Ids of parts that are a pre-token each: a call's list of pre-tokens gives one run of ids with their words' numbers."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), step):
+            # no part holds the zero character
+            some = "\0".join(parts[at : at + step]).encode().decode("latin-1").translate(self.table).split("\0")
+            got = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(got.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
 
     def __call__(self, words: list[str]) -> list[bytes]:
         split: list[tuple | list | None] = []
@@ -68,11 +77,11 @@ class WordEncoder:
                 split.append((w,))
             else:
                 split.append(_PARTS.findall(w) if _PLAIN.fullmatch(w) else None)
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > self.entries:
             self.known.clear()
         known = self.known
         missing = list({part for s in split if s is not None for part in s} - known.keys())
-        known.update(zip(missing, _ids(self.model, list(map(self._mapped, missing))), strict=True))
+        known.update(zip(missing, self._alone(missing), strict=True))
         others = iter(_ids(self.tokenizer, [w for w, s in zip(words, split, strict=True) if s is None]))
         return [next(others) if s is None else known[s[0]] if len(s) == 1 else b"".join([known[x] for x in s]) for s in split]
 
@@ -93,8 +102,8 @@ def _length_cache(path: str) -> PieceCache:
 
 
 @functools.lru_cache(maxsize=2)
-def _id_cache(path: str) -> PieceCache:
-    return PieceCache(_encoder(path), ID_ENTRIES)
+def _id_table(path: str) -> WordTable:
+    return WordTable(WordEncoder(path, 0), ID_ENTRIES)  # its pieces are the encoder's parts: kept once
 
 
 def _whole(texts: list[str], path: str) -> dict[int, str]:
@@ -112,12 +121,15 @@ def text_lengths(texts: list[str], path: str) -> list[int]:
     return got
 
 
-def text_ids(texts: list[str], path: str) -> list[bytes]:
-    """Token ids (little-endian unsigned 32-bit) as the library gives them."""
-    whole = _whole(texts, path)
-    got = [first + b"".join(rest) for first, rest in _id_cache(path).lookup([("" if i in whole else t) for i, t in enumerate(texts)])]
-    for i, t in whole.items():
-        got[i] = np.array(_tokenizer(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+def text_ids(texts: pa.StringArray, path: str) -> list[memoryview]:
+    """Token ids (little-endian unsigned 32-bit) as the library gives them; ``texts`` without nulls."""
+    data, at = _id_table(path).lookup(texts)
+    bounds = at.tolist()
+    got = [data[a:b] for a, b in zip(bounds, bounds[1:])]
+    # the library cuts at the strings of added tokens first, so texts that hold one go to it whole
+    for token in _added(path):
+        for i in np.nonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False))[0].tolist():
+            got[i] = memoryview(_ids(_tokenizer(path), [texts[i].as_py()])[0])
     return got
 
 

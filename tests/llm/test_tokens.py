@@ -7,13 +7,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from recsmith.llm import bpe_codec, packing, tokens
+from recsmith.llm import bpe_codec, packing, segments, tokens
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 PARTS = ["a", "é", " ", "  ", "\n", "\t", "'s", "1", "22", "!", "%", "\x85", "\xa0", "\u2003", "\x1c", "\r\n", "word", "<|endoftext|>", "中", "'ll", " '", "\u200b", "\x0b", "😀", "ß", "e\u0301", "_", "Word.\nNext"]
@@ -34,7 +35,7 @@ def ranked():
 def test_cutting_never_changes_ids(texts):
     library = tokens._tokenizer(JSON)
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.text_ids(texts, JSON)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.text_ids(pa.array(texts, pa.string()), JSON)] == want
     assert tokens.text_lengths(texts, JSON) == list(map(len, want))
     codec = bpe_codec.codec(RANKS, P.PATTERN)
     ranked = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
@@ -47,7 +48,11 @@ def test_full_caches_start_anew():
     texts = ["some words here, and there"] * 3 + [f"word{i} other{i}" for i in range(50)]
     cache = tokens.PieceCache(tokens.WordEncoder(JSON), 7)
     got = [a + b"".join(b) for t in texts for a, b in cache.lookup([t])]
-    assert got == tokens.text_ids(texts, JSON)
+    assert got == tokens.text_ids(pa.array(texts, pa.string()), JSON)
+    table = segments.WordTable(tokens.WordEncoder(JSON), 7)
+    for t in texts:
+        data, at = table.lookup(pa.array([t, "", t], pa.string()).slice(1))
+        assert (bytes(data), at.tolist()) == (got[texts.index(t)], [0, 0, len(data)])
 
 
 def test_token_counts(odd, none, all_texts, library):
