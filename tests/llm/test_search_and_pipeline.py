@@ -49,6 +49,25 @@ def test_recall_with_many_lists(spark):
     assert got[100] == [(i, pytest.approx(1.0)) for i in range(101, 106)]  # ties to the smaller id
 
 
+def test_few_vectors_are_compared_at_the_wanted_recall(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 16))[rng.integers(0, 400, 8000)] + rng.normal(size=(8000, 16)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    asks = F.col("vec_id") % 50 == 0
+    got, want = found(ann.nearest_neighbours(df, asks, recall=0.93)), brute(np.arange(8000), x, range(0, 8000, 50))
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    posted, asked = ann.searched_pairs(df, asks, 5, 4, 1.25, None, None, 0.93, "vec_id", "embedding")
+    pairs = posted.groupBy(*ann._TASK).count().join(asked.groupBy(*ann._TASK).agg(F.count("*").alias("asks")), list(ann._TASK))
+    assert pairs.agg(F.sum(F.col("count") * F.col("asks"))).first()[0] < 0.3 * len(want) * 8000
+
+
+def test_vectors_of_any_size_have_a_direction(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [1e200, 1e199]), (3, [0.0, 5e-324]), (4, [1.7e308, 1.7e308])]
+    got = found(ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.lit(True)))
+    assert [i for i, _ in got[1]] == [2, 4, 3] and [i for i, _ in got[3]] == [4, 2, 1]
+    assert dict(got[1])[4] == pytest.approx(0.5**0.5) and dict(got[2])[1] == pytest.approx(10 / 101**0.5)
+
+
 def test_graph_search_with_full_width_is_exact():
     rng = np.random.default_rng(2)
     index = ann.Index(c := ann._unit(rng.normal(size=(60, 8))), ann.neighbour_graph(c))
