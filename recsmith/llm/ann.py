@@ -18,12 +18,12 @@ MAX_FIT_ROWS = 65_536
 LIST_ROWS = 32
 MAX_LISTS = 16_384
 #: Queries compared with every vector to find how many lists the wanted recall takes.
-CALIBRATION_QUERIES = 256
+CALIBRATION_QUERIES = 512
 #: A task compares at most about so many vectors of a list with so many queries.
 SHARD_ROWS = 4_096
 QUERY_BLOCK = 4_096
 #: Centroids the graph search keeps in view at least.
-LEAST_WIDTH = 16
+LEAST_WIDTH = 48
 
 
 class Index(NamedTuple):
