@@ -64,41 +64,48 @@ def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 class PhraseFilter(NamedTuple):
-    """Bloom filters of the phrases that have reached the threshold, and of those that did so within the last cycle."""
+    """Bloom filters of the phrases that have reached the threshold (``known``), and of those that did so
+    within the last ``1, 2, ...`` steps (``recent``)."""
 
     bits: int
     known: np.ndarray
-    recent: np.ndarray
+    recent: tuple[np.ndarray, ...]
 
     @staticmethod
-    def _holds(table: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
-        held = np.ones(len(places[0]), dtype=bool)
-        for at in places:
+    def _holds(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+        held = np.ones(len(hashes), dtype=bool)
+        for at in _places(hashes, bits):
             held &= (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return held
 
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        places = _places(hashes, self.bits)
-        known = self._holds(self.known, places)
-        return known, known & self._holds(self.recent, places)
+        """Whether each phrase is known, and the steps since it became so (``len(recent)``: more than a cycle)."""
+        known = self._holds(self.known, hashes, self.bits)
+        some = np.nonzero(known)[0]
+        age, ages = np.full(len(hashes), len(self.recent), np.int8), np.full(len(some), len(self.recent), np.int8)
+        for steps in range(len(self.recent) - 1, -1, -1):
+            ages[self._holds(self.recent[steps], hashes[some], self.bits)] = steps
+        age[some] = ages
+        return known, age
 
 
-def phrase_filter(frequent: DataFrame, since: int, n: int) -> PhraseFilter:
-    """The filters of ``frequent`` (``lang, phrase, reached``); recent are those with ``reached >= since``.
+def phrase_filter(frequent: DataFrame, step: int, shards: int, n: int) -> PhraseFilter:
+    """The filters of ``frequent`` (``h, reached``) for the scan of ``step``: ``recent[a]`` has ``reached >= step - 1 - a``.
 
     Tasks set bits, equal blocks of bits are merged in Spark, and what reaches the driver
     is bounded by ``MAX_BITS`` whatever the number of phrases: a fuller filter lets more
-    phrases through to the exact join, none less.
+    phrases through to the counts, none less.
     """
     bits = min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(16 * max(1, n)))))
 
     def run(batches):
-        tables = np.zeros((2, bits // 8), np.uint8)
+        tables = np.zeros((1 + shards, bits // 8), np.uint8)
         for batch in batches:
-            reached = batch.column(2).to_numpy()
-            for at in _places(phrase_hashes(batch.column(0), batch.column(1)), bits):
-                for table, rows in zip(tables, (slice(None), reached >= since)):
-                    np.bitwise_or.at(table, at[rows] >> 3, np.left_shift(1, at[rows] & 7).astype(np.uint8))
+            hashes, age = batch.column(0).to_numpy().view(np.uint64), step - 1 - batch.column(1).to_numpy()
+            for at in _places(hashes, bits):
+                for a, table in enumerate(tables):
+                    rows = at if a == 0 else at[age < a]
+                    np.bitwise_or.at(table, rows >> 3, np.left_shift(1, rows & 7).astype(np.uint8))
         for which, table in enumerate(tables):
             blocks = table.reshape(-1, BLOCK_BYTES)
             used = np.nonzero(blocks.any(axis=1))[0]
@@ -115,25 +122,12 @@ def phrase_filter(frequent: DataFrame, since: int, n: int) -> PhraseFilter:
         return pd.DataFrame({"which": [key[0]], "block": [key[1]], "bits": [table.tobytes()]})
 
     schema = "which int, block int, bits binary"
-    blocks = frequent.select("lang", "phrase", "reached").mapInArrow(run, schema)
-    tables = np.zeros((2, bits // 8 // BLOCK_BYTES, BLOCK_BYTES), np.uint8)
+    blocks = frequent.select("h", "reached").mapInArrow(run, schema)
+    tables = np.zeros((1 + shards, bits // 8 // BLOCK_BYTES, BLOCK_BYTES), np.uint8)
     # a block appears once for each task that set bits in it
     for row in blocks.groupBy("which", "block").applyInPandas(merge, schema).collect():
         tables[row["which"], row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return PhraseFilter(bits, tables[0].reshape(-1), tables[1].reshape(-1))
-
-
-def phrase_hashes(langs: pa.StringArray, phrases: pa.StringArray) -> np.ndarray:
-    """Hashes of space-joined phrases as the scans compute them."""
-    split = Slice(langs, phrases)
-    out = np.zeros(len(phrases), np.uint64)
-    first = np.searchsorted(split.row, np.arange(len(phrases)))
-    length = np.bincount(split.row, minlength=len(phrases))
-    out[:] = split.word_hash[split.key[first]]
-    for k in range(1, int(length.max(initial=1))):
-        more = length > k
-        out[more] = _extend(out[more], split.bare_hash[split.word[first[more] + k]])
-    return out
+    return PhraseFilter(bits, tables[0].reshape(-1), tuple(t.reshape(-1) for t in tables[1:]))
 
 
 # ---------------------------------------------------------------- words of a slice
@@ -171,38 +165,68 @@ class Slice:
         self.word_hash = _extend(np.repeat(lang_hash, len(self.vocabulary)), np.tile(self.bare_hash, len(self.langs)))
 
 
-def scan_slice(part: Slice, known: PhraseFilter | None, singles: bool, longest: int):
-    """``(langs, phrases, words, hits)`` arrays of what this scan counts, for each length: single words in the
-    first cycle, and longer phrases both of whose next shorter parts the filter holds, one of them recently."""
+def _grow(part: Slice, table: PhraseFilter, longest: int):
+    """For each length from 2: ``(length, places, hashes, age, known)`` of the phrases both of whose next shorter
+    parts the filter holds; the age is the younger part's."""
     n = len(part.word)
-    if singles and n:
-        count = np.bincount(part.key[part.own], minlength=len(part.word_hash))
-        held = np.nonzero(count)[0]
-        yield part.langs.take(pa.array(held // part.v)), part.vocabulary.take(pa.array(held % part.v)), 1, count[held]
-    if known is None or n < 2:
-        return
-    frequent, recent = (table[part.key] for table in known.look(part.word_hash))
-    number, hashes = part.key, part.word_hash
+    held, age = (found[part.key] for found in table.look(part.word_hash))
+    hashes = part.word_hash[part.key]
     for k in range(2, longest + 1):
-        if n < k:
-            return
-        at = np.nonzero(frequent[: n - k + 1] & frequent[1 : n - k + 2] & (part.piece[: n - k + 1] == part.piece[k - 1 :]))[0]
+        m = max(0, n - k + 1)
+        at = np.nonzero(held[:m] & held[1 : m + 1] & (part.piece[:m] == part.piece[k - 1 :]))[0]
         if not len(at):
             return
-        kinds, first, which = np.unique(number[at] * part.v + part.word[at + k - 1], return_index=True, return_inverse=True)
-        hashes = _extend(hashes[kinds // part.v], part.bare_hash[kinds % part.v])
-        active = (recent[at] | recent[at + 1])[first]
+        found = _extend(hashes[at], part.bare_hash[part.word[at + k - 1]])
+        known, ages = table.look(found)
+        yield k, at, found, np.minimum(age[at], age[at + 1]), known
+        hashes, held, age = np.zeros(n, np.uint64), np.zeros(n, bool), np.zeros(n, np.int8)
+        hashes[at], held[at], age[at] = found, known, ages
+
+
+def _tally(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and the number of each row's value among them."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
+def count_active(part: Slice, table: PhraseFilter | None, step: int, singles: bool, longest: int):
+    """``(hashes, words, hits, since)`` of what this step counts: single words in the first cycle, and longer phrases
+    that became active (at step ``since``) when the younger of their next shorter parts reached the threshold, within a cycle."""
+    if singles and len(part.word):
+        hashes, which = _tally(part.word_hash[part.key[part.own]].view(np.int64))
+        yield hashes, 1, np.bincount(which, minlength=len(hashes)), np.zeros(len(hashes), np.int32)
+    if table is None:
+        return
+    for k, at, found, age, _ in _grow(part, table, longest):
+        take = part.own[at] & (age < len(table.recent))
+        if take.any():
+            hashes, which = _tally(found[take].view(np.int64))
+            since = np.zeros(len(hashes), np.int32)
+            since[which] = step - age[take].astype(np.int32)
+            yield hashes, k, np.bincount(which, minlength=len(hashes)), since
+
+
+def count_known(part: Slice, table: PhraseFilter, longest: int):
+    """``(langs, phrases, words, hits)`` of the phrases that the filter holds, told apart by their words; and each
+    language's word occurrences, as phrase null with 0 words."""
+    count = np.bincount(part.key[part.own], minlength=len(part.word_hash))
+    total = count.reshape(len(part.langs), -1).sum(axis=1) if len(part.langs) else count
+    yield part.langs, pa.nulls(len(part.langs), pa.string()), 0, total
+    kinds = np.nonzero((count > 0) & table.look(part.word_hash)[0])[0] if len(part.word) else np.zeros(0, np.int64)
+    yield part.langs.take(pa.array(kinds // part.v)), part.vocabulary.take(pa.array(kinds % part.v)), 1, count[kinds]
+    number = part.key
+    for k, at, _, _, known in _grow(part, table, longest):
+        at = at[known]
+        kinds, which = _tally(number[at] * part.v + part.word[at + k - 1])
         count = np.bincount(which[part.own[at]], minlength=len(kinds))
-        take = np.nonzero(active & (count > 0))[0]
-        if len(take):
-            begin = at[first[take]]
-            words = [part.vocabulary.take(pa.array(part.word[begin + i])) for i in range(k)]
-            yield part.langs.take(pa.array(part.key[begin] // part.v)), pc.binary_join_element_wise(*words, " "), k, count[take]
-        if k == longest:
-            return
-        is_known, is_recent = known.look(hashes)
-        number, frequent, recent = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
-        number[at], frequent[at], recent[at] = which, is_known[which], is_recent[which]
+        place = np.zeros(len(kinds), np.int64)
+        place[which] = at
+        held = np.nonzero(count)[0]
+        begin = place[held]
+        words = [part.vocabulary.take(pa.array(part.word[begin + i])) for i in range(k)]
+        yield part.langs.take(pa.array(part.key[begin] // part.v)), pc.binary_join_element_wise(*words, " "), k, count[held]
+        number = np.zeros(len(part.word), np.int64)
+        number[at] = which
 
 
 def _segments(data: bytes, longest: int, limit: int = SLICE):
@@ -235,25 +259,44 @@ def _first_word(data: bytes, at: int) -> int:
     return _scan_for(data, at, True)
 
 
+def _slices(batches, longest: int):
+    """The words of each few megabytes of ``lang, text`` rows."""
+    for batch in batches:
+        for part in byte_slices(batch, 1, SLICE):
+            langs, texts = part.column(0), part.column(1)
+            if part.num_rows > 1:
+                yield Slice(langs, texts)
+            else:
+                for piece, own in _segments(texts[0].as_buffer().to_pybytes(), longest):
+                    yield Slice(langs, pa.array([piece], pa.binary()), np.array([own]))
+
+
 def scan(shard: DataFrame, known, step: int, singles: bool, longest: int) -> DataFrame:
-    """One step's counts of a shard's active phrases, one row per slice and phrase: ``lang, phrase, words, hits, at``."""
+    """One step's counts of a shard's active phrases, one row per slice and phrase: ``h, words, hits, since``."""
 
     def run(batches):
         table = known.value if known is not None else None
-        for batch in batches:
-            for part in byte_slices(batch, 1, SLICE):
-                langs, texts = part.column(0), part.column(1)
-                todo = [(langs, texts, None)]
-                if part.num_rows == 1:
-                    todo = ((langs, pa.array([p], pa.binary()), np.array([own])) for p, own in _segments(texts[0].as_buffer().to_pybytes(), longest))
-                for one in todo:
-                    for lang, phrase, words, hits in scan_slice(Slice(*one), table, singles, longest):
-                        yield pa.RecordBatch.from_arrays(
-                            [lang, phrase, pa.array(np.full(len(hits), words), pa.int32()), pa.array(hits, pa.int64()), pa.array(np.full(len(hits), step), pa.int32())],
-                            names=["lang", "phrase", "words", "hits", "at"],
-                        )
+        for part in _slices(batches, longest):
+            for hashes, words, hits, since in count_active(part, table, step, singles, longest):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes, pa.int64()), pa.array(np.full(len(hits), words), pa.int32()), pa.array(hits, pa.int64()), pa.array(since, pa.int32())],
+                    names=["h", "words", "hits", "since"],
+                )
 
-    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, words int, hits bigint, at int")
+    return shard.select("lang", "text").mapInArrow(run, "h bigint, words int, hits bigint, since int")
+
+
+def scan_known(texts: DataFrame, known, longest: int) -> DataFrame:
+    """Counts of the filter's phrases by their words, one row per slice and phrase: ``lang, phrase, words, hits``."""
+
+    def run(batches):
+        for part in _slices(batches, longest):
+            for lang, phrase, words, hits in count_known(part, known.value, longest):
+                yield pa.RecordBatch.from_arrays(
+                    [lang, phrase, pa.array(np.full(len(hits), words), pa.int32()), pa.array(hits, pa.int64())], names=["lang", "phrase", "words", "hits"]
+                )
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, words int, hits bigint")
 
 
 # ---------------------------------------------------------------- cycles
@@ -264,12 +307,12 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
     Step ``t`` scans shard ``t % shards``.  Single words are counted over the first cycle.  A
     longer phrase becomes active at the step after both its next shorter parts have reached the
     threshold in what is counted so far, and is counted for one full cycle.  Scans find
-    active phrases by a bounded broadcast filter.  Counts stand by shard and a shard's later
-    count of a phrase replaces its earlier one, so a phrase that the filter lets through out of its turn
-    is never counted twice: what stands is at most its true count, and all of it once its
-    cycle is complete.  Phrases that have not reached the threshold and were not met for a cycle are
-    dropped.  Counts live in written tables, a step is one shuffle; only the filter's bits and one row a
-    step reach the driver.
+    active phrases by a bounded broadcast filter, and count them by 64-bit hash.  Counts stand by shard and
+    a shard's later count of a phrase replaces a smaller earlier one.  Phrases that share a hash, and phrases that
+    the filter lets through out of turn, only raise a count or keep it for longer, so every phrase found
+    ``threshold`` times reaches it; phrases that end their cycle below it are dropped.  A last scan counts the
+    phrases that did reach it by their words, so what is returned is exact.  Counts live in written
+    tables, a step is one shuffle of numbers; only the filter's bits and one row a step reach the driver.
     """
     spark = docs.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/phrases-{uuid.uuid4().hex}"
@@ -277,44 +320,38 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
     dealt.write.partitionBy("shard").parquet(f"{base}/texts")
     stored = spark.read.schema("lang string, text string, shard int").parquet(f"{base}/texts")
     by_shard = [f"h{j}" for j in range(shards)]
-    counts, totals, step, known = None, None, 0, None
+    counts, step, known = None, 0, None
     while True:
         now = step % shards
         rows = scan(stored.where(F.col("shard") == now), known, step, step < shards, longest)
-        rows = rows.select("lang", "phrase", "words", "hits", "at", *[F.lit(0).cast("bigint").alias(h) for h in by_shard], F.lit(None).cast("int").alias("reached"))
+        rows = rows.select("h", "words", "hits", "since", *[F.lit(0).cast("bigint").alias(c) for c in by_shard], F.lit(None).cast("int").alias("reached"))
         if counts is not None:
             rows = rows.unionByName(counts.select("*", F.lit(0).cast("bigint").alias("hits")))
-        merged = rows.groupBy("lang", "phrase", "words").agg(F.sum("hits").alias("hits"), F.max("at").alias("at"), *[F.max(h).alias(h) for h in by_shard], F.min("reached").alias("reached"))
+        merged = rows.groupBy("h", "words").agg(F.sum("hits").alias("hits"), F.max("since").alias("since"), *[F.max(c).alias(c) for c in by_shard], F.min("reached").alias("reached"))
         merged = merged.withColumn(by_shard[now], F.greatest("hits", by_shard[now])).drop("hits")
-        # the latest step stands in the rows, so the steps run the same generated code
-        enough = sum((F.col(h) for h in by_shard[1:]), F.col(by_shard[0])) >= threshold
+        enough = sum((F.col(c) for c in by_shard[1:]), F.col(by_shard[0])) >= threshold
+        merged = merged.withColumn("reached", F.coalesce("reached", F.when(enough, F.lit(step))))
         # a written table cuts the lineage in a fifth of a checkpoint's bytes; the step before is no longer needed
-        merged.withColumn("reached", F.coalesce("reached", F.when(enough, F.col("at")))).write.parquet(f"{base}/counts-{step}")
+        merged.where(F.col("reached").isNotNull() | (F.col("since") > step - shards + 1)).write.parquet(f"{base}/counts-{step}")
         counts = spark.read.schema(merged.schema).parquet(f"{base}/counts-{step}")
         remove_folder(spark, f"{base}/counts-{step - 1}")
         del rows, merged
         release_shuffles(spark)
-        if step == shards - 1:
-            totals = cut_lineage(_total(counts.where("words = 1"), by_shard).groupBy("lang").agg(F.sum("hits").alias("hits")))
-        counts = counts.where(F.col("reached").isNotNull() | (F.col("at") > step - shards))
         shorter = F.when((F.col("words") < longest) & (F.col("reached") > step - shards), True)
         state = counts.agg(F.count("reached").alias("n"), F.count(shorter).alias("open")).first()
         step += 1
-        if step >= shards and not state["open"]:
-            break
         if known is not None:
             known.unpersist()
-        known = spark.sparkContext.broadcast(phrase_filter(counts.where(F.col("reached").isNotNull() & (F.col("words") < longest)), step - shards, state["n"])) if state["n"] else None
-    done = _total(counts.where("reached is not null"), by_shard).select("lang", "phrase", "words", "hits")
-    done = cut_lineage(done.unionByName(totals.select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("words"), "hits")))
+        known = spark.sparkContext.broadcast(phrase_filter(counts.where("reached is not null").select("h", "reached"), step, shards, state["n"]))
+        if step >= shards and not state["open"]:
+            break
+    exact = scan_known(stored, known, longest).groupBy("lang", "phrase", "words").agg(F.sum("hits").alias("hits"))
+    done = cut_lineage(exact.where((F.col("words") == 0) | (F.col("hits") >= threshold)))
+    known.unpersist()
     remove_folder(spark, base)
     return done
 
 
-def _total(counts: DataFrame, by_shard: list[str]) -> DataFrame:
-    return counts.withColumn("hits", sum((F.col(h) for h in by_shard[1:]), F.col(by_shard[0])))
-
-
 # ---------------------------------------------------------------- scores
 def collocations(
     df: DataFrame, threshold: int = 100, longest: int = 5, top: int = 2_000, cover_percent: int = 100, scale: int = 1_000, shards: int = SHARDS,

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,27 +249,37 @@ def test_collocations_against_plain_counts(spark, threshold, shards):
 
 
 def test_collocations_with_a_full_filter_are_the_same(spark, monkeypatch):
-    """A filter too small for its phrases lets more through; the exact join still decides."""
+    """A filter too small for its phrases lets more through; the last scan's counts still decide."""
     monkeypatch.setattr(C, "MIN_BITS", C.BLOCK_BYTES * 8)
     monkeypatch.setattr(C, "MAX_BITS", C.BLOCK_BYTES * 8)
-    monkeypatch.setattr(C.PhraseFilter, "look", lambda self, hashes: (np.ones(len(hashes), bool), np.ones(len(hashes), bool)))
+    monkeypatch.setattr(C.PhraseFilter, "look", lambda self, hashes: (np.ones(len(hashes), bool), np.zeros(len(hashes), np.int8)))
     rows = phrase_rows()[:120]
     assert sorted(tuple(r) for r in C.collocations(documents(spark, rows), threshold=8).collect()) == plain_collocations(rows, 8)
 
 
+def test_phrases_that_share_a_hash_are_told_apart(monkeypatch):
+    """With hashes of 4 bits the steps count colliding phrases together; the last scan counts words."""
+    monkeypatch.setattr(C, "_mix", lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60))
+    letters = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    part = C.Slice(pa.array(["en"]), pa.array([letters.encode()], pa.binary()))
+    steps = [(words, hashes, hits) for hashes, words, hits, _ in C.count_active(part, ALL, 1, True, 2)]
+    assert [(words, int(hits.sum())) for words, _, hits in steps] == [(1, 26), (2, 25)]
+    assert all(len(hashes) <= 16 for _, hashes, _ in steps)
+    counted = {p: int(h) for _, phrases, words, hits in C.count_known(part, ALL, 2) if words == 2 for p, h in zip(phrases.to_pylist(), hits)}
+    assert counted == {letters[i : i + 3]: 1 for i in range(0, 50, 2)}
+
+
 def test_collocations_of_empty_tables(spark):
     assert C.collocations(spark.createDataFrame([], DOCS)).count() == 0
     assert C.collocations(documents(spark, [("en", "a b")])).count() == 0
 
 
 def test_long_texts_are_cut_between_words_without_loss():
-    import pyarrow as pa
-
     text = " ".join(random.Random(3).choice(["ab", "c", "dé", "x. y", "fgh,"]) for _ in range(4000))
 
 
     def count(part, own, into):
-        for _, phrases, _, hits in C.scan_slice(C.Slice(pa.array(["en"]), pa.array([part], pa.binary()), own), ALL, True, 5):
+        for _, phrases, _, hits in C.count_known(C.Slice(pa.array(["en"]), pa.array([part], pa.binary()), own), ALL, 5):
             for p, c in zip(phrases.to_pylist(), hits.tolist()):
                 into[p] += c
 
@@ -280,8 +291,10 @@ def test_long_texts_are_cut_between_words_without_loss():
 
 
 class _All:
+    recent = (None, None)
+
     def look(self, hashes):
-        return np.ones(len(hashes), bool), np.ones(len(hashes), bool)
+        return np.ones(len(hashes), bool), np.zeros(len(hashes), np.int8)
 
 
 ALL = _All()
