@@ -22,6 +22,8 @@ SLICE = 4 << 20
 #: Bits of the broadcast filter of frequent phrases: 16 for each phrase within these bounds.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
 BLOCK_BYTES = 1 << 13
+#: Rows of the last scan that a task holds to add them up before they leave it.
+HELD_ROWS = 1 << 19
 
 #: Word, gap (space, tab) or end of a piece, for each byte value; A-Z in lower case.
 _KIND = np.zeros(256, np.uint8)
@@ -286,17 +288,36 @@ def scan(shard: DataFrame, known, step: int, singles: bool, longest: int) -> Dat
     return shard.select("lang", "text").mapInArrow(run, "h bigint, words int, hits bigint, since int")
 
 
+def _added_up(tables, limit: int = HELD_ROWS):
+    """The rows of ``tables`` with equal phrases added up while no more than about ``limit`` are held."""
+    held, rows = [], 0
+    for table in tables:
+        held.append(table)
+        rows += table.num_rows
+        if rows >= limit:
+            one = _sum_hits(held)
+            held, rows = [one], one.num_rows
+            if rows >= limit // 2:
+                yield from one.to_batches()
+                held, rows = [], 0
+    if held:
+        yield from _sum_hits(held).to_batches()
+
+
+def _sum_hits(tables: list[pa.Table]) -> pa.Table:
+    keys = ["lang", "phrase", "words"]
+    return pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("hits", "sum")]).rename_columns([*keys, "hits"])
+
+
 def scan_known(texts: DataFrame, known, longest: int) -> DataFrame:
-    """Counts of the filter's phrases by their words, one row per slice and phrase: ``lang, phrase, words, hits``."""
+    """Counts of the filter's phrases by their words, added up over a task's slices: ``lang, phrase, words, hits``."""
 
-    def run(batches):
+    def tables(batches):
         for part in _slices(batches, longest):
             for lang, phrase, words, hits in count_known(part, known.value, longest):
-                yield pa.RecordBatch.from_arrays(
-                    [lang, phrase, pa.array(np.full(len(hits), words), pa.int32()), pa.array(hits, pa.int64())], names=["lang", "phrase", "words", "hits"]
-                )
+                yield pa.table({"lang": lang, "phrase": phrase, "words": pa.array(np.full(len(hits), words), pa.int32()), "hits": pa.array(hits, pa.int64())})
 
-    return texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, words int, hits bigint")
+    return texts.select("lang", "text").mapInArrow(lambda batches: _added_up(tables(batches)), "lang string, phrase string, words int, hits bigint")
 
 
 # ---------------------------------------------------------------- cycles

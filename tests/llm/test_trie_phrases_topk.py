@@ -269,6 +269,23 @@ def test_phrases_that_share_a_hash_are_told_apart(monkeypatch):
     assert counted == {letters[i : i + 3]: 1 for i in range(0, 50, 2)}
 
 
+def test_rows_held_by_a_task_are_added_up_without_loss():
+    pick = random.Random(5)
+    rows = [(pick.choice(["en", "de"]), pick.choice([None, "a b", "b c", "c", "d e f"]), 2, pick.randrange(9)) for _ in range(500)]
+    tables = [pa.table({c: [r[i] for r in rows[at : at + 7]] for i, c in enumerate(["lang", "phrase", "words", "hits"])}) for at in range(0, 500, 7)]
+    total = Counter()
+    for row in rows:
+        total[row[:3]] += row[3]
+    for limit in (1, 16, 64, 10_000):
+        got, seen = Counter(), 0
+        for batch in C._added_up(iter(tables), limit):
+            seen += batch.num_rows
+            for row in batch.to_pylist():
+                got[row["lang"], row["phrase"], row["words"]] += row["hits"]
+        assert +got == +total
+    assert seen == len(total)  # one row a phrase where all are held
+
+
 def test_collocations_of_empty_tables(spark):
     assert C.collocations(spark.createDataFrame([], DOCS)).count() == 0
     assert C.collocations(documents(spark, [("en", "a b")])).count() == 0
