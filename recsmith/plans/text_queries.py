@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -70,6 +71,44 @@ def item_text_title_only(spark, d):
     return TX.item_text(FX.items(spark, d), TX.FEATURE_SETS["amazon_text_feature2"], unescape=False)
 
 
+#: The presets beside ``title`` and ``title, description``, which have queries of their own.
+OTHER_PRESETS = ["amazon_text_feature1", "amazon_text_feature1_ro1", "amazon_text_feature1_re1", "amazon_text_feature3", "amazon_text_feature4"]
+CATALOGUE_SQL = """SELECT p_partkey AS item_id, p_name AS title, [p_type, p_brand] AS description,
+       [p_type] AS category, p_brand AS brand, p_type AS main_cat FROM part"""
+LIST_FIELDS = ("description", "category")
+
+
+@register("item_text_presets", FX.with_ctes({"it": CATALOGUE_SQL}, " UNION ALL ".join(
+    f"SELECT '{p}' AS preset, item_id, text FROM ({_item_text_sql(TX.FEATURE_SETS[p], LIST_FIELDS)})" for p in OTHER_PRESETS)))
+def item_text_presets(spark, d):
+    """B2 + B3: item text by each of the five other presets, one row per preset and item."""
+    items = FX.table(spark, d, "part").select(
+        F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.array("p_type", "p_brand").alias("description"),
+        F.array("p_type").alias("category"), F.col("p_brand").alias("brand"), F.col("p_type").alias("main_cat"))
+    texts = [TX.item_text(items, TX.FEATURE_SETS[p], list_fields=LIST_FIELDS, unescape=False).select(F.lit(p).alias("preset"), "item_id", "text") for p in OTHER_PRESETS]
+    return reduce(lambda a, b: a.unionByName(b), texts)
+
+
+#: Short names that stand in for the dataset names of a catalogue; the last two are in no table.
+SHORT_NAMES = ["Beauty", "Sports", "Toys", "Games", "Industrial_and_Scientific", "Books", "Toys_and_Games", "Office_Products", "Nowhere", ""]
+
+
+def _lookup_sql(mapping: dict, col: str) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
+
+
+@register("dataset_names", FX.with_ctes(
+    {"it": f"SELECT p_partkey AS item_id, {SHORT_NAMES!r}[p_size % {len(SHORT_NAMES)} + 1] AS name FROM part"},
+    f"""SELECT item_id, name, {_lookup_sql(TX.AMAZON18_FULL_NAMES, 'name')} AS full_name_18,
+       {_lookup_sql(TX.AMAZON14_FULL_NAMES, 'name')} AS full_name_14, {_lookup_sql(TX.CATEGORY_LABELS, 'name')} AS label FROM it"""))
+def dataset_names(spark, d):
+    """B4 + B14: each item's dataset short name with its full names and prompt phrase; unknown names stay null."""
+    names = F.array(*[F.lit(n) for n in SHORT_NAMES])
+    it = FX.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.element_at(names, F.col("p_size") % len(SHORT_NAMES) + 1).alias("name"))
+    return it.select("item_id", "name", TX.dataset_full_name("name").alias("full_name_18"),
+                     TX.dataset_full_name("name", amazon14=True).alias("full_name_14"), TX.category_label("name").alias("label"))
+
+
 @register("word_drop", f"""SELECT doc_id, array_to_string(list_filter(string_split(text, ' '),
        lambda w, i: ({X.portable_hash_sql('doc_id', 'i - 1', seed=7)} + 1) / {float(X.HASH_PRIME)} > 0.1), ' ') AS text FROM documents""")
 def word_drop(spark, d):
@@ -170,19 +209,45 @@ def _template_sql(template: str, cols: dict[str, str]) -> str:
     return " || ".join(out)
 
 
-@register("annotation_prompts", FX.with_ctes({**_HT_CTES,
-    "tt": "SELECT inter.user_id, it.title AS target_title FROM inter JOIN it ON it.item_id = inter.target"},
-    "SELECT ht.user_id, " + _template_sql(TX.PREFERENCE_PROMPT_1, {
-        "dataset_full_name": "'Industrial_and_Scientific'",
-        "item_titles": "array_to_string(list_transform(titles, lambda x: '\"' || x || '\"'), ', ')",
-        "target_item_info": "tt.target_title"}) + " AS prompt FROM ht JOIN tt ON tt.user_id = ht.user_id"))
-def annotation_prompts(spark, d):
-    """Preference-annotation prompts rendered from each user's history (the model call is not built)."""
+def _preference_sql(template: str) -> str:
+    return FX.with_ctes({**_HT_CTES,
+        "tt": "SELECT inter.user_id, it.title AS target_title FROM inter JOIN it ON it.item_id = inter.target"},
+        "SELECT ht.user_id, " + _template_sql(template, {
+            "dataset_full_name": "'Industrial_and_Scientific'",
+            "item_titles": "array_to_string(list_transform(titles, lambda x: '\"' || x || '\"'), ', ')",
+            "target_item_info": "tt.target_title"}) + " AS prompt FROM ht JOIN tt ON tt.user_id = ht.user_id")
+
+
+def _preference_prompts(spark, d, template: str):
     from .sequence_queries import inter
 
     h = _history_titles(spark, d)
     tt = inter(spark, d).join(FX.items(spark, d).select(F.col("item_id").alias("target"), F.col("title").alias("target_title")), "target")
     j = h.join(tt.select("user_id", "target_title"), "user_id")
-    p = TX.fill_template(TX.PREFERENCE_PROMPT_1, dataset_full_name=F.lit("Industrial_and_Scientific"),
+    p = TX.fill_template(template, dataset_full_name=F.lit("Industrial_and_Scientific"),
                          item_titles=TX.render_titles("titles", ", "), target_item_info=F.col("target_title"))
     return j.select("user_id", p.alias("prompt"))
+
+
+@register("annotation_prompts", _preference_sql(TX.PREFERENCE_PROMPT_1))
+def annotation_prompts(spark, d):
+    """Preference-annotation prompts rendered from each user's history (the model call is not built)."""
+    return _preference_prompts(spark, d, TX.PREFERENCE_PROMPT_1)
+
+
+@register("annotation_prompts_second_form", _preference_sql(TX.PREFERENCE_PROMPT_2))
+def annotation_prompts_second_form(spark, d):
+    """The second preference form."""
+    return _preference_prompts(spark, d, TX.PREFERENCE_PROMPT_2)
+
+
+@register("intention_prompts", FX.with_ctes({"it": FX.ITEMS_SQL},
+    "SELECT doc_id, " + _template_sql(TX.INTENTION_PROMPT, {"dataset_full_name": "'Industrial_and_Scientific'", "item_title": "it.title", "review": "documents.text"})
+    + " AS prompt FROM documents JOIN it ON it.item_id = documents.doc_id"))
+def intention_prompts(spark, d):
+    """Intention prompts from an item's title and a review's whole text (a document stands in for the review of its
+    number's item); a null title or review gives a null prompt."""
+    reviews = FX.table(spark, d, "documents").select("doc_id", "text")
+    j = reviews.join(FX.items(spark, d).select(F.col("item_id").alias("doc_id"), "title"), "doc_id")
+    p = TX.fill_template(TX.INTENTION_PROMPT, dataset_full_name=F.lit("Industrial_and_Scientific"), item_title=F.col("title"), review=F.col("text"))
+    return j.select("doc_id", F.when(F.col("title").isNotNull() & F.col("text").isNotNull(), p).alias("prompt"))
