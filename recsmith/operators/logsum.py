@@ -19,14 +19,27 @@ def log_sum_exp(df: DataFrame, keys, value: str | Column, name: str = "lse") ->
     whose values are all minus infinity gives that, and one with an infinity gives infinity.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    band, scaled, top, held = _apart(keys, ["_band", "_scaled", "_top", "_held"])
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     endless = F.lit(float("inf"))
     finite = lambda c: F.abs(c) < endless
     # an infinite value is a band of its own: its place decides, its sum does not matter
-    rows = df.select(*keys, v.alias("_v")).withColumn("_b", F.when(finite("_v"), F.floor(F.col("_v") / BAND).cast("double")).otherwise(F.col("_v")))
-    part = F.when(finite("_v"), F.exp(F.col("_v") - F.col("_b") * BAND))
-    bands = rows.groupBy(*keys, "_b").agg(F.sum(part).alias("_s"))
+    rows = df.select(*keys, v.alias(scaled)).withColumn(band, F.when(finite(F.col(scaled)), F.floor(F.col(scaled) / BAND).cast("double")).otherwise(F.col(scaled)))
+    part = F.when(finite(F.col(scaled)), F.exp(F.col(scaled) - F.col(band) * BAND))
+    bands = rows.groupBy(*keys, band).agg(F.sum(part).alias(scaled))
     # at most a handful of bands: one for each 256 of the values' range
-    top = bands.groupBy(*keys).agg(F.max("_b").alias("_t"), F.collect_list(F.struct("_b", "_s")).alias("_l"))
-    scaled = F.aggregate("_l", F.lit(0.0), lambda a, x: a + F.coalesce(F.when(finite(x["_b"]), x["_s"] * F.exp((x["_b"] - F.col("_t")) * BAND)), F.lit(0.0)))
-    return top.select(*keys, F.when(finite("_t"), F.col("_t") * BAND + F.log(scaled)).otherwise(F.col("_t")).alias(name))
+    tops = bands.groupBy(*keys).agg(F.max(band).alias(top), F.collect_list(F.struct(band, scaled)).alias(held))
+    total = F.aggregate(held, F.lit(0.0), lambda a, x: a + F.coalesce(F.when(finite(x[band]), x[scaled] * F.exp((x[band] - F.col(top)) * BAND)), F.lit(0.0)))
+    return tops.select(*keys, F.when(finite(F.col(top)), F.col(top) * BAND + F.log(total)).otherwise(F.col(top)).alias(name))
+
+
+def _apart(keys: list[str], names: list[str]) -> list[str]:
+    """Column names that no key has (Spark does not tell upper from lower case)."""
+    taken = {k.lower() for k in keys}
+    fresh = []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        fresh.append(n)
+    return fresh

@@ -126,3 +126,24 @@ def test_best_codebook(spark):
                                 "run string, collision_rate double, loss double")
     r = D.best_codebook(log).first()
     assert r["best_by_collision"] == "c" and r["best_by_loss"] == "d"
+
+
+def test_sinkhorn_sums_beyond_one_band(spark):
+    """One batch whose sums leave the first band of 256 (more rows or rounds, or a far code) keeps every code."""
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(64, 6)), rng.normal(size=(5, 6)) * 2
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id bigint, embedding array<double>")
+    cb = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(c)], "level int, code int, vector array<double>")
+    d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+    got = {r.item_id: r.code for r in Q.sinkhorn_assign(emb, cb, eps=0.002, iters=3).collect()}
+    assert [got[i] for i in range(64)] == _plain_sinkhorn(d, 0.002, 3).tolist()
+
+
+def test_log_sum_exp_keys_of_any_name(spark):
+    from recsmith.operators.logsum import log_sum_exp
+
+    rows = [(g, h, v) for g in (1, 2) for h in (3, 4) for v in (-700.0, 10.0 * g, 600.0 + h)]
+    df = spark.createDataFrame(rows, "_band int, _b int, _v double")
+    got = {(r["_band"], r["_b"]): r["lse"] for r in log_sum_exp(df, ["_band", "_b"], "_v").collect()}
+    assert got.keys() == {(g, h) for g in (1, 2) for h in (3, 4)}
+    assert all(abs(v - (600.0 + h)) < 1e-9 for (_, h), v in got.items())
