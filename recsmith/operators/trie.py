@@ -87,11 +87,12 @@ def vocabulary(index: DataFrame, tokens: str = "tokens", eos: str = EOS) -> Data
 
 
 def beam_topk(queries: DataFrame, trie: DataFrame, vocab: DataFrame, logit_fn, beams: int, depth: int | None = None,
-              query: str = "query_id", eos: str = EOS) -> DataFrame:
+              query: str = "query_id", eos: str = EOS, text_key=None) -> DataFrame:
     """Constrained beam search until every beam has ended.
 
     ``logit_fn(query_col, prefix_col, token_col) -> Column`` gives the model score of a
-    token after a prefix; each step normalises it by log-softmax over the whole
+    token after a prefix (of their ``text_key`` values if that is given: computed once for
+    each prefix and token, not for each pair); each step normalises it by log-softmax over the whole
     vocabulary, keeps allowed tokens only and sums the log-probs (length penalty 0).  EOS
     is a scored step; a beam that has taken it is carried on unchanged.  Ties break by
     the sequence text.  Each step keeps ``beams`` rows per query; the number of steps
@@ -102,27 +103,32 @@ def beam_topk(queries: DataFrame, trie: DataFrame, vocab: DataFrame, logit_fn, b
     goes to every query by a broadcast.
     """
     # the prefix table and the vocabulary are read at every step: materialise them once
+    key = text_key or (lambda c: c)
     trie = cut_lineage(trie.select("depth", "prefix", "allowed"))
-    vocab = cut_lineage(vocab.select("token"))
+    vocab = cut_lineage(vocab.select("token", key(F.col("token")).alias("_tk")))
     last = trie.agg(F.max("depth")).first()[0]
     steps = (0 if last is None else last + 1) if depth is None else depth
     cur = queries.select(query).distinct().select(query, F.lit("").alias("prefix"), F.lit(0.0).alias("score"), F.lit(False).alias("ended"))
+    cur = cut_lineage(cur.withColumn("_pk", key(F.col("prefix"))))  # kept as a column: not derived again for each token
     for d in range(steps):
-        live = cur.filter(~F.col("ended")).select(query, "prefix", "score")
-        scored = over_vocabulary(live.select(query, "prefix"), vocab).select(query, "prefix", logit_fn(F.col(query), F.col("prefix"), F.col("token")).alias("_lg"))
-        norm = log_sum_exp(scored, [query, "prefix"], "_lg", "_lse")
+        live = cur.filter(~F.col("ended") & F.col(query).isNotNull()).select(query, "prefix", "score", "_pk")
+        beam = [query, "prefix", "score", "_pk"]
+        scored = over_vocabulary(live, vocab).select(*beam, logit_fn(F.col(query), F.col("_pk"), F.col("_tk")).alias("_lg"))
+        # grouped by all columns of a beam: nothing has to be joined back to it
+        norm = log_sum_exp(scored, beam, "_lg", "_lse")
         lvl = trie.filter(F.col("depth") == d)
         # depth 0 has the one root prefix: its row goes to every query without an exchange on ""
-        at = live.crossJoin(F.broadcast(lvl.select("allowed"))) if d == 0 else live.join(lvl.select("prefix", "allowed"), "prefix")
-        cand = at.join(norm, [query, "prefix"]).select(query, "prefix", "score", "_lse", F.explode("allowed").alias("token")).withColumn(
-            "score", F.col("score") + logit_fn(F.col(query), F.col("prefix"), F.col("token")) - F.col("_lse"))
+        at = norm.crossJoin(F.broadcast(lvl.select("allowed"))) if d == 0 else norm.join(lvl.select("prefix", "allowed"), "prefix")
+        cand = at.select(*beam, "_lse", F.explode("allowed").alias("token")).withColumn(
+            "score", F.col("score") + logit_fn(F.col(query), F.col("_pk"), key(F.col("token"))) - F.col("_lse"))
         cand = cand.select(query, F.concat(F.col("prefix"), F.col("token")).alias("prefix"), "score", (F.col("token") == eos).alias("ended"))
-        both = cand.unionByName(cur.filter("ended"))
+        both = cand.unionByName(cur.filter("ended").drop("_pk"))
         # per query at most beams x allowed rows: a bounded window
         w = Window.partitionBy(query).orderBy(F.desc("score"), F.asc("prefix"))
-        cur = cut_lineage(both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= beams).drop("_r"))
+        best = both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= beams).drop("_r")
+        cur = cut_lineage(best.withColumn("_pk", key(F.col("prefix"))))
     w = Window.partitionBy(query).orderBy(F.desc("score"), F.asc("prefix"))
-    ranked = cur.withColumn("beam_rank", F.row_number().over(w).cast("bigint"))
+    ranked = cur.drop("_pk").withColumn("beam_rank", F.row_number().over(w).cast("bigint"))
     return ranked.withColumn("prefix", F.when(F.col("ended"), F.expr(f"left(prefix, length(prefix) - {len(eos)})")).otherwise(F.col("prefix")))
 
 
@@ -130,7 +136,12 @@ def token_logit(q: Column, prefix: Column, token: Column) -> Column:
     """Deterministic stand-in model score used by the fixtures (string keys via MD5)."""
     from ..functions.expr import string_key
 
-    return ((q * 31 + (string_key(prefix) % 1000) * 7 + (string_key(token) % 1000) * 13) % 1000) / F.lit(100.0)
+    return key_logit(q, string_key(prefix), string_key(token))
+
+
+def key_logit(q: Column, prefix_key: Column, token_key: Column) -> Column:
+    """``token_logit`` of the string keys."""
+    return ((q * 31 + (prefix_key % 1000) * 7 + (token_key % 1000) * 13) % 1000) / F.lit(100.0)
 
 
 def token_logit_sql(q: str, prefix: str, token: str) -> str:

@@ -111,5 +111,5 @@ def beam_top5(spark, d):
     idx = FX.sid_index(spark, d)
     trie = TR.build_trie(idx, "tokens")
     q = FX.eval_targets(spark, d, idx).select(F.col("user_id").alias("query_id"))
-    b = TR.beam_topk(q, trie, TR.vocabulary(idx), TR.token_logit, BEAMS)
+    b = TR.beam_topk(q, trie, TR.vocabulary(idx), TR.key_logit, BEAMS, text_key=X.string_key)
     return b.select("query_id", "beam_rank", F.col("prefix").alias("sid"), X.r6("score").alias("score"))

@@ -94,6 +94,24 @@ def test_beams_end_in_full_identifiers(spark):
     assert {r.prefix for r in none} == {""}
 
 
+def test_beam_keys_computed_once_a_text(spark):
+    """Keys of prefixes and tokens are columns of their tables: the scored pairs hold no MD5."""
+    index = spark.createDataFrame([(["<a_1>", "<b_1>"],), (["<a_1>", "<b_2>", "<c_1>"],), (["<a_2>", "<b_1>"],)], "tokens array<string>")
+    queries = spark.createDataFrame([(1,), (2,), (None,)], "query_id bigint")
+    trie, voc, seen = TR.build_trie(index), TR.vocabulary(index), []
+
+    def logit(q, prefix_key, token_key):
+        seen.append((str(prefix_key), str(token_key)))
+        return TR.key_logit(q, prefix_key, token_key)
+
+    want = TR.beam_topk(queries, trie, voc, TR.token_logit, beams=2).collect()
+    got = TR.beam_topk(queries, trie, voc, logit, beams=2, text_key=X.string_key).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 4
+    # each step scores the vocabulary by the kept keys, then the few allowed tokens
+    assert all("md5" not in p for p, _ in seen) and all("md5" not in t for _, t in seen[::2])
+
+
+
 def test_beam_query_returns_identifiers_of_the_index(spark):
     from recsmith.plans import fixtures as FX
     from recsmith.plans import trie_queries as TQ
