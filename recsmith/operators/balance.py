@@ -13,6 +13,8 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ from ..session import cut_lineage
 #: Bytes of the listed items' distances on the driver at most, and items listed for a pair at most.
 LIST_BYTES = 128 << 20
 LIST_ITEMS = 64
+#: Rows (and bytes of their vectors) from which prices are foreseen, for tables of more than twice as many.
+PRICE_ROWS = 8192
+PRICE_BYTES = 32 << 20
 
 
 def matrix(col) -> np.ndarray:
@@ -119,21 +124,100 @@ class ResidualFlow:
         return False
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The rows of a list column as one matrix, without Python objects if all are of one length."""
+    sizes = pc.list_value_length(column)
+    if column.null_count or pc.count_distinct(sizes).as_py() != 1:
+        return matrix(column.to_pylist())
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
 def _coded(data: DataFrame, bc, prices: np.ndarray, key: str, vec: str) -> DataFrame:
     """Every row with the code of least distance plus price (the first on ties)."""
     schema = T.StructType([data.schema[key], data.schema[vec], T.StructField("code", T.IntegerType())])
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(code=(costs(matrix(pdf[vec]), bc.value) + prices).argmin(axis=1).astype(np.int32))
+        for batch in batches:
+            if batch.num_rows:
+                code = (costs(_vectors(batch.column(1)), bc.value) + prices).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.int32())], names=[key, vec, "code"])
+
+    return data.select(key, vec).mapInArrow(run, schema)
+
+
+def _sizes(data: DataFrame, bc, prices: np.ndarray, vec: str) -> np.ndarray:
+    """How many rows each code would get: a task passes on K numbers, never its rows."""
+
+    def run(batches):
+        size = np.zeros(len(prices), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                size += np.bincount((costs(_vectors(batch.column(0)), bc.value) + prices).argmin(axis=1), minlength=len(prices))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(prices)), pa.int32()), pa.array(size)], names=["code", "size"])
+
+    found = data.select(vec).mapInArrow(run, "code int, size bigint").groupBy("code").agg(F.sum("size").alias("size")).collect()  # K rows
+    size = np.zeros(len(prices), np.int64)
+    for r in found:
+        size[r["code"]] = r["size"]
+    return size
+
 
-    return data.select(key, vec).mapInPandas(run, schema)
+def price_sample(data: DataFrame, n: int, key: str, vec: str) -> np.ndarray | None:
+    """At most ``PRICE_ROWS`` vectors in a fixed pseudo-random order, or None for a table of less than twice as many.
+
+    They only foresee how sizes follow prices; sizes themselves are always counted over all rows.
+    """
+    if n <= 2 * PRICE_ROWS:
+        return None
+    width = data.select(F.max(F.size(vec))).first()[0]
+    few = max(1, min(PRICE_ROWS, PRICE_BYTES // (8 * max(1, width))))
+    return matrix(r[0] for r in data.orderBy(F.xxhash64(key), key).limit(few).select(vec).collect())
+
+
+def _soft_shares(d: np.ndarray, prices: np.ndarray, heat: float) -> tuple[np.ndarray, float]:
+    s = -(d + prices) / heat
+    top = s.max(axis=1, keepdims=True)
+    w = np.exp(s - top)
+    total = w.sum(axis=1, keepdims=True)
+    return w / total, float(-heat * (top + np.log(total)).mean())
+
+
+def _prices_for(d: np.ndarray, share: np.ndarray, prices: np.ndarray, heat: float) -> np.ndarray:
+    """Prices at which softened codes of the rows with distances ``d`` have these shares (Newton on the concave dual)."""
+    k = d.shape[1]
+    w, value = _soft_shares(d, prices, heat)
+    for _ in range(60):
+        gap = w.mean(axis=0) - share
+        if np.abs(gap).max() < 1e-7:
+            break
+        bend = (np.diag(w.mean(axis=0)) - w.T @ w / len(d)) / heat + np.eye(k) * 1e-9 / heat
+        step = np.linalg.solve(bend, gap)
+        length, slope = 1.0, float(gap @ step)
+        while length > 1e-6:
+            tried = prices + length * step
+            new_w, new_value = _soft_shares(d, tried, heat)
+            if new_value - share @ tried >= value - share @ prices + 1e-4 * length * slope:
+                break
+            length /= 2
+        else:
+            break
+        prices, w, value = tried - tried.mean(), new_w, new_value - float(tried.mean())
+    return prices
 
 
-def _sizes(coded: DataFrame, k: int) -> np.ndarray:
-    found = {r["code"]: r["count"] for r in coded.groupBy("code").count().collect()}  # K rows
-    return np.array([found.get(c, 0) for c in range(k)], dtype=np.int64)
+def _foreseen(sample: np.ndarray, centers: np.ndarray, prices: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Better prices from the sizes that all rows gave at ``prices``: the sample tells how much sizes move, and what
+    it got wrong at ``prices`` is added to what it is asked for."""
+    k, n = len(centers), size.sum()
+    d = costs(sample, centers)
+    near = np.partition(d, 1, axis=1) if k > 1 else d
+    heat = 0.05 * float(np.median(near[:, min(1, k - 1)] - near[:, 0])) or 1e-6 * max(1.0, float(d.max()))
+    wrong = size / n - _soft_shares(d, prices, heat)[0].mean(axis=0)
+    share = np.full(k, 1 / k)
+    if np.abs(size * k / n - 1).max() < 0.5:  # near enough for the error to hold
+        share = np.maximum(share - wrong, 0.2 / k)
+        share /= share.sum()
+    return _prices_for(d, share, prices, heat)
 
 
 def _lists(coded: DataFrame, bc, key: str, vec: str, m: int) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -170,11 +254,14 @@ def _lists(coded: DataFrame, bc, key: str, vec: str, m: int) -> tuple[pd.DataFra
     return cheap, coded.join(F.broadcast(chosen), key, "left_semi").select(key, vec).toPandas()
 
 
-def balanced_assign(data: DataFrame, centers: np.ndarray, n: int, key: str, vec: str, prices: np.ndarray | None = None, price_rounds: int = 8):
+def balanced_assign(data: DataFrame, centers: np.ndarray, n: int, key: str, vec: str, prices: np.ndarray | None = None, price_rounds: int = 8,
+                    sample: np.ndarray | None = None):
     """Rows with a code each, sizes inside ``[max(1, n//k - 1), n//k + 1]``, at the least sum of squared distances.
 
     Prices (K numbers) first even out demand while more items are misplaced than the lists could move;
-    any prices do, for the flow ends at the least cost from each start.  Returns the coded rows and the prices.
+    any prices do, for the flow ends at the least cost from each start.  With a ``sample`` (``price_sample``) the
+    next prices are foreseen from it, so that few rounds leave few items to move however many rows there are.
+    Returns the coded rows and the prices.
     """
     spark = data.sparkSession
     k = len(centers)
@@ -182,19 +269,24 @@ def balanced_assign(data: DataFrame, centers: np.ndarray, n: int, key: str, vec:
     bc = spark.sparkContext.broadcast(centers)  # a codebook: bounded by its caller
     m = int(max(1, min(LIST_ITEMS, LIST_BYTES // (8 * k**3))))
     prices = np.zeros(k) if prices is None else prices
-    step = None
-    for _ in range(price_rounds + 1):
-        coded = _coded(data, bc, prices, key, vec)
-        size = _sizes(coded, k)
+    step, best = None, None
+    for turn in range(price_rounds + 1):
+        size = _sizes(data, bc, prices, vec)
         misplaced = np.maximum(size - hi, 0).sum() + np.maximum(lo - size, 0).sum()
-        if misplaced <= k * m:
+        if best is None or sample is None or misplaced < best[0]:
+            best = (misplaced, prices, size)
+        if misplaced <= k * m or turn == price_rounds:
             break
+        if sample is not None:
+            prices = _foreseen(sample, centers, prices, size)
+            continue
         if step is None:
             spread = np.sort(((centers[:, None] - centers[None]) ** 2).sum(axis=2), axis=1)
             step = float(spread[:, min(1, k - 1)].mean()) or 1.0
         prices = prices + step * np.clip(size * k / n - 1, -1, 1)
         step *= 0.7
-    coded = cut_lineage(coded)
+    _, prices, size = best
+    coded = cut_lineage(_coded(data, bc, prices, key, vec))
     while True:
         cheap, vectors = _lists(coded, bc, key, vec, m)
         place = {v: i for i, v in enumerate(vectors[key].tolist())}

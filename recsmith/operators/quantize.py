@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..functions import expr as X
 from ..session import cut_lineage
 from . import vectors as V
-from .balance import balanced_assign, costs, matrix
+from .balance import balanced_assign, costs, matrix, price_sample
 from .logsum import log_sum_exp
 
 
@@ -148,20 +148,21 @@ def balanced_kmeans(emb: DataFrame, k: int, key: str = "item_id", vec: str = "em
     if n < k:
         raise ValueError("balanced k-means needs n >= k")
     data = cut_lineage(emb.select(key, vec))
+    sample = price_sample(data, n, key, vec)
     # starts do not depend on each other: their small jobs share the cluster
     with ThreadPoolExecutor(n_init) as pool:
-        runs = list(pool.map(lambda i: _balanced_run(data, n, k, key, vec, max_iter, seed + 1000 * i, price_rounds, tol), range(n_init)))
+        runs = list(pool.map(lambda i: _balanced_run(data, n, k, key, vec, max_iter, seed + 1000 * i, price_rounds, tol, sample), range(n_init)))
     _, centers, assigned = min(runs, key=lambda found: found[0])
     return _codebook_df(emb.sparkSession, centers, level), assigned
 
 
-def _balanced_run(data, n, k, key, vec, max_iter, seed, price_rounds, tol):
+def _balanced_run(data, n, k, key, vec, max_iter, seed, price_rounds, tol, sample=None):
     centers = V.codebook_matrices(kmeans_parallel_seed(data, k, key, vec, seed))[0]
     if len(centers) < k:  # fewer distinct vectors than codes
         centers = np.concatenate([centers, centers[np.arange(k - len(centers)) % len(centers)]])
     prices = None
     for _ in range(max(1, max_iter)):
-        assigned, prices = balanced_assign(data, centers, n, key, vec, prices, price_rounds)
+        assigned, prices = balanced_assign(data, centers, n, key, vec, prices, price_rounds, sample)
         means = V.mean_vector(assigned, "code", vec, "vector").select("code", "vector").limit(k).collect()  # K rows
         moved = centers.copy()
         for r in means:

@@ -150,3 +150,28 @@ def test_sinkhorn_fifty_rounds_in_distributed_rounds(spark, monkeypatch):
     assert [got[i] for i in range(90)] == lq.argmax(axis=1).tolist()
     plan = log_sum_exp(spark.range(9).select((F.col("id") % 2).alias("k"), F.col("id").alias("v")), "k", "v")
     assert plan.count() == 2
+
+
+def test_prices_are_foreseen_for_larger_tables(spark, monkeypatch):
+    """However far from balance a large table is, a few counted rounds leave few rows to move, at the same cost."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 4)) * [1, 1, 3, 1]
+    centers, n = x[:6] * 0.3, len(x)
+    data = _frame(spark, x).cache()
+    monkeypatch.setattr(B, "PRICE_ROWS", 600)
+    monkeypatch.setattr(B, "LIST_ITEMS", 8)
+    assert B.price_sample(data.limit(1200), 1200, "item_id", "embedding") is None
+    sample = B.price_sample(data, n, "item_id", "embedding")
+    assert sample.shape == (600, 4)
+    bc, prices, rounds = spark.sparkContext.broadcast(centers), np.zeros(6), 0
+    while True:
+        size = B._sizes(data, bc, prices, "embedding")
+        assert size.tolist() == np.bincount((B.costs(x, centers) + prices).argmin(axis=1), minlength=6).tolist()
+        if np.abs(size - n // 6).sum() <= 6 * 8:
+            break
+        prices, rounds = B._foreseen(sample, centers, prices, size), rounds + 1
+    assert 1 <= rounds <= 4
+    plain, _ = B.balanced_assign(data, centers, n, "item_id", "embedding")
+    coded, _ = B.balanced_assign(data, centers, n, "item_id", "embedding", sample=sample)
+    assert sorted(r["count"] for r in coded.groupBy("code").count().collect())[0] >= n // 6 - 1
+    assert abs(_cost(coded.collect(), centers) - _cost(plain.collect(), centers)) < 1e-6
