@@ -1,7 +1,7 @@
 """Text and scalar column functions.
 
 Everything is a built-in expression except HTML entity decoding, which has no
-JVM builtin and runs as an Arrow-batched ``pandas_udf`` (``html.unescape``).
+JVM builtin and runs as an ``arrow_udf`` (``html.unescape``).
 """
 
 from __future__ import annotations
@@ -9,7 +9,10 @@ from __future__ import annotations
 import ast
 import html
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,17 +102,38 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
-    """HTML entity decoding (no JVM builtin); Arrow batches, one call per batch."""
-    return s.map(lambda v: html.unescape(v) if isinstance(v, str) else v)
+#: Text bytes that are Python strings at a time while entities are decoded.
+UNESCAPE_BYTES = 1 << 20
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def html_unescape_list(s: pd.Series) -> pd.Series:
+def _unescaped(texts: pa.Array) -> pa.Array:
+    """``html.unescape`` of every text.  Only texts with an ``&`` become Python strings, about a megabyte at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    step = np.cumsum(sizes, dtype=np.int64) // UNESCAPE_BYTES
+    cuts = [0, *(np.nonzero(np.diff(step))[0] + 1).tolist(), len(texts)]
+    parts = []
+    for start, end in zip(cuts, cuts[1:]):
+        part = texts.slice(start, end - start)
+        found = pc.fill_null(pc.match_substring(part, "&"), False)
+        if pc.any(found).as_py():
+            part = pc.replace_with_mask(part, found, pa.array((html.unescape(v.as_py()) for v in part.filter(found)), part.type))
+        parts.append(part)
+    return pa.concat_arrays(parts)
+
+
+@F.arrow_udf(T.StringType())
+def html_unescape(s: pa.Array) -> pa.Array:
+    """HTML entity decoding (no JVM builtin) on Arrow arrays."""
+    return _unescaped(s)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def html_unescape_list(s: pa.Array) -> pa.Array:
     """Element-wise HTML entity decoding of string arrays (a Python UDF cannot sit
     inside a higher-order lambda, so the whole array goes through one Arrow call)."""
-    return s.map(lambda v: None if v is None else [html.unescape(x) if isinstance(x, str) else x for x in v])
+    sizes = pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), _unescaped(s.flatten()), mask=s.is_null())
 
 
 def _dots(c: Column) -> Column:

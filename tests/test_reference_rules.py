@@ -142,3 +142,25 @@ def test_metric_maps_become_log_rows(spark):
     nested = spark.createDataFrame([(7, {"rewards/mean": {"rule": 1.0, "a/b": 2.0}, "kl": {}})], "step bigint, metrics map<string,map<string,double>>")
     got = {tuple(r) for r in RP.metric_map_rows(nested, "rl").collect()}
     assert got == {("rl", "rl/rewards_mean/rule", 7, 1.0), ("rl", "rl/rewards_mean/a/b", 7, 2.0)}
+
+
+def test_entities_are_decoded_in_small_pieces(spark, monkeypatch):
+    """Only texts with an ``&`` become Python strings, a bounded number of bytes at a time, whatever the batch."""
+    import html
+
+    import pyarrow as pa
+
+    held = []
+    real = html.unescape
+    texts = ["a &amp; b", None, "", "x" * 30, "&lt;&notit;", "&#x80;&bogus", "é &eacute;", "&"] * 4
+    monkeypatch.setattr(TX, "UNESCAPE_BYTES", 40)
+    monkeypatch.setattr(TX.html, "unescape", lambda v: held.append(v) or real(v))
+    want = [None if t is None else real(t) for t in texts]
+    assert TX._unescaped(pa.array(texts)).to_pylist() == want and all("&" in v for v in held)
+    assert TX._unescaped(pa.array(texts).slice(3, 9)).to_pylist() == want[3:12]
+    assert TX._unescaped(pa.array([], pa.string())).to_pylist() == []
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, t, None if i % 5 == 0 else [t, "&gt;"]) for i, t in enumerate(texts)], "i int, t string, l array<string>")
+    got = df.select("i", TX.html_unescape("t").alias("t"), TX.html_unescape_list("l").alias("l")).orderBy("i").collect()
+    assert [r.t for r in got] == want
+    assert [r.l for r in got] == [None if i % 5 == 0 else [w, ">"] for i, w in enumerate(want)]
