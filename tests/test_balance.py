@@ -157,7 +157,7 @@ def test_prices_are_foreseen_for_larger_tables(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 4)) * [1, 1, 3, 1]
     centers, n = x[:6] * 0.3, len(x)
-    data = _frame(spark, x).cache()
+    data = _frame(spark, x)
     monkeypatch.setattr(B, "PRICE_ROWS", 600)
     monkeypatch.setattr(B, "LIST_ITEMS", 8)
     assert B.price_sample(data.limit(1200), 1200, "item_id", "embedding") is None
