@@ -269,6 +269,39 @@ def test_phrases_that_share_a_hash_are_told_apart(monkeypatch):
     assert counted == {letters[i : i + 3]: 1 for i in range(0, 50, 2)}
 
 
+def test_a_hash_of_several_phrases_is_marked():
+    part = C.Slice(pa.array(["en", "de"]), pa.array([b"a b. a b", b"a a. a"], pa.binary()), keys=np.array([7, 9], np.int32))
+    at = np.arange(len(part.word))
+    hashes, _, hits, marks = C._counted(part, at, 1, np.zeros(len(at), np.uint64), np.zeros(len(at), np.int32))
+    assert (hashes.tolist(), hits.tolist(), marks.check.tolist()) == ([0], [7], [-1])
+    _, _, hits, marks = C._counted(part, at, 1, part.word_hash[part.key], np.zeros(len(at), np.int32))
+    assert sorted(zip(hits.tolist(), marks.key.tolist())) == [(2, 7), (2, 7), (3, 9)]
+    assert min(marks.check) >= 0 and len(set(marks.check.tolist())) == 3
+
+
+@pytest.mark.parametrize("alone", [lambda: F.lit(False), lambda: F.col("h") % 2 == 0])
+def test_phrases_whose_hash_is_shared_are_counted_by_their_words(spark, monkeypatch, alone):
+    monkeypatch.setattr(C, "one_phrase", alone)
+    rows = phrase_rows()
+    assert sorted(tuple(r) for r in C.collocations(documents(spark, rows), threshold=20).collect()) == plain_collocations(rows, 20)
+
+
+def test_each_phrase_is_named_once_however_many_tasks_hold_it(spark, monkeypatch):
+    """The last scan made a row for each phrase in each task that met it."""
+    seen, scan = [], C.scan_names
+
+    def counted(texts, longest):
+        names = scan(texts, longest)
+        seen.append(names.count())
+        return names
+
+    monkeypatch.setattr(C, "scan_names", counted)
+    rows = [("en", "one two three four five six. new york")] * 300
+    docs = documents(spark, rows).repartition(24).select("doc_id", "lang", "text", F.lit("x").alias("_id"))
+    done = C.frequent_phrases(docs, 100, 5)
+    assert seen == [done.count()] == [1 + 8 + 6 + 4 + 3 + 2]
+
+
 def test_rows_held_by_a_task_are_added_up_without_loss():
     pick = random.Random(5)
     rows = [(pick.choice(["en", "de"]), pick.choice([None, "a b", "b c", "c", "d e f"]), 2, pick.randrange(9)) for _ in range(500)]
